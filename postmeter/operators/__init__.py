@@ -1,0 +1,48 @@
+"""Cleaning, metrics, rankings and trends over posts."""
+
+from .clean import (
+    clean_posts,
+    drop_invalid_dates,
+    fill_categories,
+    fill_engagements,
+    normalize_columns,
+    null_tokens,
+    parse_dates,
+)
+from .metrics import (
+    CHARTS,
+    campaign_cube,
+    category_counts,
+    category_share,
+    daily_engagement,
+    platform_engagement,
+    total_posts,
+)
+from .ranking import preview, ranked, top_locations
+from .trends import daily_trend, dominant, lowest_day, peak_day, post_trend, top_platform
+
+__all__ = [
+    "CHARTS",
+    "campaign_cube",
+    "category_counts",
+    "category_share",
+    "clean_posts",
+    "daily_engagement",
+    "daily_trend",
+    "dominant",
+    "drop_invalid_dates",
+    "fill_categories",
+    "fill_engagements",
+    "lowest_day",
+    "normalize_columns",
+    "null_tokens",
+    "parse_dates",
+    "peak_day",
+    "platform_engagement",
+    "post_trend",
+    "preview",
+    "ranked",
+    "top_locations",
+    "top_platform",
+    "total_posts",
+]

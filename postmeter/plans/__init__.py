@@ -1,0 +1,27 @@
+"""Insights, summaries, prompts and reports built from the operators."""
+
+from .insights import (
+    campaign_insights,
+    engagement_insights,
+    location_insights,
+    media_type_insights,
+    platform_insights,
+    sentiment_insights,
+)
+from .report import report_document, report_lines, write_report
+from .summary import campaign_prompts, campaign_summary, prompt_findings
+
+__all__ = [
+    "campaign_insights",
+    "campaign_prompts",
+    "campaign_summary",
+    "engagement_insights",
+    "location_insights",
+    "media_type_insights",
+    "platform_insights",
+    "prompt_findings",
+    "report_document",
+    "report_lines",
+    "sentiment_insights",
+    "write_report",
+]

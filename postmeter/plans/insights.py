@@ -112,10 +112,7 @@ def _day_insights() -> Column:
 
 
 def campaign_insights(
-    df: DataFrame,
-    by: By = (),
-    charts: Sequence[str] = tuple(CHARTS),
-    one_scan: bool = False,
+    df: DataFrame, by: By = (), charts: Sequence[str] = tuple(CHARTS)
 ) -> DataFrame:
     """The insights of the given charts.
 
@@ -126,11 +123,13 @@ def campaign_insights(
     """
     keys = by_columns(df, by)
     group = [*keys, F.col("chart")]
-    labels = campaign_cube(df, by, charts, one_scan).withColumn(
+    labels = campaign_cube(df, by, charts).withColumn(
         "value", chart_value(F.col("chart"))
     )
     order = Window.partitionBy(*group).orderBy(F.desc("value"), F.asc("label"))
-    entry = F.struct("label", "value")
+    # The count rides along so that both readers of the labels need the same
+    # columns, which is what lets Spark reuse the shuffle.
+    entry = F.struct("label", "value", "n")
     top = (
         labels.withColumn("_rank", F.row_number().over(order))
         .filter(F.col("_rank") <= 3)

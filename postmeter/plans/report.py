@@ -29,12 +29,13 @@ def _campaign_bests(df: DataFrame, by: By) -> DataFrame:
     def of(chart: str, field: str) -> Column:
         return F.max(F.when(F.col("chart") == chart, F.col(field)))
 
-    return per_chart.groupBy(*keys).agg(
+    bests = per_chart.groupBy(*keys).agg(
         *[of(c, "best").alias(f"_{c}") for c in ("sentiment", "platform", "media_type", "location")],
         of("day", "labels").alias("_days"),
         of("day", "first").alias("_first"),
         of("day", "last").alias("_last"),
     )
+    return bests.filter(F.col("_sentiment").isNotNull())
 
 
 def _findings() -> dict[str, Column]:
