@@ -11,6 +11,8 @@ from .columns import (
     parse_engagements,
     percent_text,
     quoted,
+    sql_name,
+    sql_text,
     whole_text,
 )
 
@@ -25,5 +27,7 @@ __all__ = [
     "parse_engagements",
     "percent_text",
     "quoted",
+    "sql_name",
+    "sql_text",
     "whole_text",
 ]

@@ -44,8 +44,6 @@ ISO_DATE = (
 )
 NUMBER = "^ *[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)? *$"
 
-_WHOLE_DOUBLES_END = float(2**53)
-
 
 def normalize_name(name: str) -> str:
     """Lower-case a header and put ``_`` for each space; nothing is trimmed."""
@@ -61,79 +59,93 @@ def normalized_names(names: Sequence[str]) -> list[str]:
     return out
 
 
+def sql_name(name: str) -> str:
+    """A column name as it stands in a SQL expression, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_text(text: str) -> str:
+    """A text literal for a SQL expression."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def quoted(name: str) -> Column:
     """Column by its exact name, also when the name holds dots."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(sql_name(name))
+
 
+# The expressions below are built as SQL text: one call to the JVM each, where
+# a tree of Column calls takes dozens.
 
-def null_if_token(value: Column) -> Column:
-    """Null for a standard null marker, else the text as it is."""
-    return F.when(~value.isin(*NULL_TOKENS), value)
 
+def null_if_token(name: str) -> Column:
+    """Null where column ``name`` holds a standard null marker, else its text."""
+    c = sql_name(name)
+    markers = ", ".join(sql_text(t) for t in NULL_TOKENS)
+    return F.expr(f"if({c} in ({markers}), null, {c})").alias(name)
 
-def parse_date(value: Column, dtype: T.DataType, formats: Iterable[str] = ()) -> Column:
-    """Wall-clock timestamp of ``value``, null where it is no date.
+
+def parse_date(name: str, dtype: T.DataType, formats: Iterable[str] = ()) -> Column:
+    """Wall-clock timestamp in column ``name``, null where it is no date.
 
     ISO dates and date-times are read as they stand; a zone suffix is accepted
     and ignored.  ``formats`` (Spark datetime patterns) are tried after that, in
     order, in the session time zone.
     """
+    c = sql_name(name)
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return value.cast("timestamp_ntz")
-    text = value.cast("string")
-    iso = F.when(text.rlike(ISO_DATE), text.try_cast("timestamp_ntz"))
-    others = [
-        F.try_to_timestamp(F.trim(text), F.lit(f)).cast("timestamp_ntz") for f in formats
+        return F.expr(f"cast({c} as timestamp_ntz)")
+    if not isinstance(dtype, T.StringType):
+        c = f"cast({c} as string)"
+    # The match is empty when the form is wrong, and that casts to null.
+    tries = [f"try_cast(regexp_extract({c}, {sql_text(ISO_DATE)}, 0) as timestamp_ntz)"] + [
+        f"cast(try_to_timestamp(trim({c}), {sql_text(f)}) as timestamp_ntz)" for f in formats
     ]
-    return F.coalesce(iso, *others) if others else iso
+    return F.expr(tries[0] if len(tries) == 1 else f"coalesce({', '.join(tries)})")
 
 
-def parse_engagements(value: Column, dtype: T.DataType) -> Column:
-    """Finite double of ``value``; zero where it is null, no number or not finite."""
+def parse_engagements(name: str, dtype: T.DataType) -> Column:
+    """Finite double in column ``name``; zero where it is null, no number or not finite."""
+    c = sql_name(name)
     if isinstance(dtype, T.NumericType):
-        number = value.cast("double")
+        number = f"cast({c} as double)"
     elif isinstance(dtype, T.BooleanType):
-        number = value.cast("int").cast("double")
+        number = f"cast(cast({c} as int) as double)"
     else:
-        text = value.cast("string")
-        number = F.when(text.rlike(NUMBER), text.try_cast("double"))
+        if not isinstance(dtype, T.StringType):
+            c = f"cast({c} as string)"
+        number = f"try_cast(regexp_extract({c}, {sql_text(NUMBER)}, 0) as double)"
     # NaN sorts above infinity in Spark, so one comparison drops both.
-    return F.coalesce(F.when(F.abs(number) < F.lit(float("inf")), number), F.lit(0.0))
+    return F.expr(f"coalesce(if(abs({number}) < double('infinity'), {number}, null), 0.0D)")
 
 
-def day_text(day: Column) -> Column:
-    return F.date_format(day, "yyyy-MM-dd")
+def day_text(day: str) -> str:
+    """SQL for a date as ``YYYY-MM-DD``."""
+    return f"date_format({day}, 'yyyy-MM-dd')"
 
 
-def whole_text(number: Column) -> Column:
-    """The whole part of a double as text, cut towards zero."""
-    exact = F.abs(number) < F.lit(_WHOLE_DOUBLES_END)
+def whole_text(number: str) -> str:
+    """SQL for the whole part of a double as text, cut towards zero."""
     # Beyond 2^53 every double is whole, so the decimal cast only changes the type.
-    return F.coalesce(
-        F.when(exact, number.try_cast("bigint").cast("string")),
-        number.try_cast("decimal(38,0)").cast("string"),
-        number.cast("string"),
+    return (
+        f"coalesce(if(abs({number}) < 9007199254740992D, cast(try_cast({number} as bigint) as string), null),"
+        f" cast(try_cast({number} as decimal(38,0)) as string), cast({number} as string))"
     )
 
 
-def number_text(number: Column) -> Column:
-    """A total as text: without decimals when it is whole."""
-    return F.when(number == F.floor(number), whole_text(number)).otherwise(number.cast("string"))
+def number_text(number: str) -> str:
+    """SQL for a total as text: without decimals when it is whole."""
+    return f"if({number} % 1 = 0, {whole_text(number)}, cast({number} as string))"
 
 
-def percent_text(n: Column, total: Column) -> Column:
-    """``n / total`` as a percentage with one decimal, halves rounded up.
+def percent_text(n: str, total: str) -> str:
+    """SQL for ``n / total`` as a percentage with one decimal, halves rounded up.
 
-    Integer arithmetic only, so the text does not depend on how a ratio is
+    Whole-number arithmetic only, so the text does not depend on how a ratio is
     rounded in binary.
     """
-    tenths = F.call_function("div", n * 2000 + total, total * 2)
-    return F.concat(
-        F.call_function("div", tenths, F.lit(10)).cast("string"),
-        F.lit("."),
-        (tenths % 10).cast("string"),
-        F.lit("%"),
-    )
+    tenths = f"((2000 * {n} + {total}) div (2 * {total}))"
+    return f"concat({tenths} div 10, '.', {tenths} % 10, '%')"
 
 
 def order_columns(df: DataFrame, first: Sequence[str]) -> list[Column]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
@@ -17,6 +17,7 @@ from ..functions.columns import (
     parse_date,
     parse_engagements,
     quoted,
+    sql_text,
 )
 from ..schema import CATEGORIES, CLEAN_SCHEMA, UNKNOWN
 
@@ -30,48 +31,58 @@ def null_tokens(raw: DataFrame) -> DataFrame:
     """Turn the standard null markers into null in every text column."""
     return raw.select(
         *[
-            null_if_token(quoted(name)).alias(name) if kind == "string" else quoted(name)
+            null_if_token(name) if kind == "string" else quoted(name)
             for name, kind in raw.dtypes
         ]
     )
 
 
-def parse_dates(df: DataFrame, formats: Iterable[str] = ()) -> DataFrame:
-    """Make ``date`` a wall-clock timestamp, null where the value is no date."""
+def _date(df: DataFrame, formats: Iterable[str]) -> dict[str, Column]:
     if "date" not in df.columns:
         raise ValueError("column 'date' not found")
-    dtype = df.schema["date"].dataType
-    return df.withColumn("date", parse_date(F.col("date"), dtype, tuple(formats)))
+    return {"date": parse_date("date", df.schema["date"].dataType, formats)}
+
+
+def _engagements(df: DataFrame) -> dict[str, Column]:
+    if "engagements" not in df.columns:
+        return {"engagements": F.lit(0.0)}
+    return {"engagements": parse_engagements("engagements", df.schema["engagements"].dataType)}
+
+
+def _categories(df: DataFrame) -> dict[str, Column]:
+    present = set(df.columns)
+    return {
+        c: F.expr(f"coalesce(cast({c} as string), {sql_text(UNKNOWN)})")
+        if c in present
+        else F.lit(UNKNOWN)
+        for c in CATEGORIES
+    }
+
+
+def parse_dates(df: DataFrame, formats: Iterable[str] = ()) -> DataFrame:
+    """Make ``date`` a wall-clock timestamp, null where the value is no date."""
+    return df.withColumns(_date(df, formats))
 
 
 def drop_invalid_dates(df: DataFrame) -> DataFrame:
     """Keep the posts that have a date."""
-    return df.filter(F.col("date").isNotNull())
+    return df.filter("date is not null")
 
 
 def fill_engagements(df: DataFrame) -> DataFrame:
     """Make ``engagements`` a finite number, zero where it is bad, null or absent."""
-    if "engagements" not in df.columns:
-        return df.withColumn("engagements", F.lit(0.0))
-    dtype = df.schema["engagements"].dataType
-    return df.withColumn("engagements", parse_engagements(F.col("engagements"), dtype))
+    return df.withColumns(_engagements(df))
 
 
 def fill_categories(df: DataFrame) -> DataFrame:
     """Put ``Unknown`` for a null or absent category."""
-    return df.withColumns(
-        {
-            c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN))
-            if c in df.columns
-            else F.lit(UNKNOWN)
-            for c in CATEGORIES
-        }
-    )
+    return df.withColumns(_categories(df))
 
 
 def clean_posts(raw: DataFrame, formats: Iterable[str] = ()) -> DataFrame:
     """The whole cleaner: one projection and one filter, extra columns kept."""
     if not raw.columns:
         return raw.sparkSession.createDataFrame([], CLEAN_SCHEMA)
-    posts = parse_dates(normalize_columns(raw), formats)
-    return fill_categories(fill_engagements(drop_invalid_dates(posts)))
+    posts = normalize_columns(raw)
+    steps = {**_date(posts, formats), **_engagements(posts), **_categories(posts)}
+    return drop_invalid_dates(posts.withColumns(steps))

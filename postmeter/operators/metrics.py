@@ -95,9 +95,9 @@ def _chart_rows(df: DataFrame, chart: str, by: By) -> DataFrame:
         F.count("*").alias("n"), F.sum("engagements").alias("engagements")
     )
     # The day text is made from the few days, not for every post.
-    label = day_text(F.col("_label")) if chart == "day" else F.col("_label")
+    label = day_text("_label") if chart == "day" else "_label"
     return sums.select(
-        *keys, F.lit(chart).alias("chart"), label.alias("label"), "n", "engagements"
+        *keys, F.lit(chart).alias("chart"), F.expr(label).alias("label"), "n", "engagements"
     )
 
 
@@ -138,7 +138,7 @@ def campaign_cube(
     label_of = F.lit(None).cast("string")
     for i, (chart, name) in enumerate(own.items()):
         left_in = F.col("_set") == F.lit(everything - 2 ** (len(own) - 1 - i))
-        text = day_text(F.col(name)) if chart == "day" else F.col(name)
+        text = F.expr(day_text(name)) if chart == "day" else F.col(name)
         chart_of = F.when(left_in, F.lit(chart)).otherwise(chart_of)
         label_of = F.when(left_in, text).otherwise(label_of)
     return cube.select(

@@ -6,16 +6,16 @@ answer does not depend on row order and no post is sorted globally.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import sql_name
 from .metrics import By, by_columns, category_counts, daily_engagement, platform_engagement
 
 
-def direction(first: Column, last: Column, flat: str) -> Column:
-    return F.when(last > first, F.lit("rising")).when(last < first, F.lit("falling")).otherwise(
-        F.lit(flat)
-    )
+def direction(first: str, last: str, flat: str) -> str:
+    """SQL for rising, falling or ``flat``."""
+    return f"case when {last} > {first} then 'rising' when {last} < {first} then 'falling' else '{flat}' end"
 
 
 def post_trend(df: DataFrame, by: By = (), order_col: str | None = None) -> DataFrame:
@@ -24,15 +24,14 @@ def post_trend(df: DataFrame, by: By = (), order_col: str | None = None) -> Data
     Posts on the same date are told apart by ``order_col``; without it the one
     with the fewest engagements is taken at both ends.
     """
-    e = F.col("engagements")
-    tie = [F.col(order_col)] if order_col else []
+    tie = f"{sql_name(order_col)}, " if order_col else ""
     out = df.groupBy(*by_columns(df, by)).agg(
-        F.count("*").alias("n_posts"),
-        F.min_by(e, F.struct(F.col("date"), *tie, e)).alias("first_engagements"),
-        F.max_by(e, F.struct(F.col("date"), *tie, -e)).alias("last_engagements"),
+        F.expr("count(*) as n_posts"),
+        F.expr(f"min_by(engagements, struct(date, {tie}engagements)) as first_engagements"),
+        F.expr(f"max_by(engagements, struct(date, {tie}-engagements)) as last_engagements"),
     )
-    trend = direction(F.col("first_engagements"), F.col("last_engagements"), "none")
-    return out.withColumn("trend", trend)
+    trend = direction("first_engagements", "last_engagements", "none")
+    return out.withColumn("trend", F.expr(trend))
 
 
 def daily_trend(df: DataFrame, by: By = ()) -> DataFrame:
@@ -40,52 +39,46 @@ def daily_trend(df: DataFrame, by: By = ()) -> DataFrame:
 
     ``trend`` has four values; ``is_rising`` is null with fewer than two days.
     """
-    days = daily_engagement(df, by)
-    out = days.groupBy(*by_columns(df, by)).agg(
-        F.count("*").alias("n_days"),
-        F.min_by("engagements", "day").alias("first_engagements"),
-        F.max_by("engagements", "day").alias("last_engagements"),
+    out = daily_engagement(df, by).groupBy(*by_columns(df, by)).agg(
+        F.expr("count(*) as n_days"),
+        F.expr("min_by(engagements, day) as first_engagements"),
+        F.expr("max_by(engagements, day) as last_engagements"),
     )
-    first, last = F.col("first_engagements"), F.col("last_engagements")
-    enough = F.col("n_days") >= 2
+    trend = direction("first_engagements", "last_engagements", "stable")
     return out.withColumns(
         {
-            "trend": F.when(enough, direction(first, last, "stable")).otherwise(
-                F.lit("not_enough_data")
-            ),
-            "is_rising": F.when(enough, last > first),
+            "trend": F.expr(f"if(n_days >= 2, {trend}, 'not_enough_data')"),
+            "is_rising": F.expr("if(n_days >= 2, last_engagements > first_engagements, null)"),
         }
     )
 
 
-def _best_row(table: DataFrame, fields: list[str], key: Column, by: By) -> DataFrame:
+def _best_row(table: DataFrame, fields: list[str], key: str, by: By) -> DataFrame:
     """The row of an aggregated table with the smallest ``key``, per campaign."""
     keys = by_columns(table, by)
-    best = table.groupBy(*keys).agg(F.min_by(F.struct(*fields), key).alias("_best"))
-    return best.filter(F.col("_best").isNotNull()).select(
-        *keys, *[F.col(f"_best.{f}").alias(f) for f in fields]
+    best = table.groupBy(*keys).agg(
+        F.expr(f"min_by(struct({', '.join(fields)}), struct({key})) as _best")
     )
+    return best.filter("_best is not null").select(*keys, "_best.*")
 
 
 def peak_day(df: DataFrame, by: By = ()) -> DataFrame:
     """The day with the largest engagement total, the earliest of equals."""
-    key = F.struct(-F.col("engagements"), F.col("day"))
-    return _best_row(daily_engagement(df, by), ["day", "engagements"], key, by)
+    return _best_row(daily_engagement(df, by), ["day", "engagements"], "-engagements, day", by)
 
 
 def lowest_day(df: DataFrame, by: By = ()) -> DataFrame:
     """The day with the smallest engagement total, the earliest of equals."""
-    key = F.struct(F.col("engagements"), F.col("day"))
-    return _best_row(daily_engagement(df, by), ["day", "engagements"], key, by)
+    return _best_row(daily_engagement(df, by), ["day", "engagements"], "engagements, day", by)
 
 
 def top_platform(df: DataFrame, by: By = ()) -> DataFrame:
     """The platform with the largest engagement total."""
-    key = F.struct(-F.col("engagements"), F.col("platform"))
-    return _best_row(platform_engagement(df, by), ["platform", "engagements"], key, by)
+    sums = platform_engagement(df, by)
+    return _best_row(sums, ["platform", "engagements"], "-engagements, platform", by)
 
 
 def dominant(df: DataFrame, category: str, by: By = ()) -> DataFrame:
     """The most frequent label of ``category``."""
-    key = F.struct(-F.col("n"), F.col(category))
-    return _best_row(category_counts(df, category, by), [category, "n"], key, by)
+    c = sql_name(category)
+    return _best_row(category_counts(df, category, by), [c, "n"], f"-n, {c}", by)

@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import percent_text, quoted, whole_text
+from ..functions.columns import percent_text, sql_name, sql_text, whole_text
 from ..operators.metrics import CHARTS, By, by_columns, campaign_cube
 from ..operators.trends import direction
 
@@ -40,75 +40,61 @@ RANK_TEXTS = {
 WITH_SHARE = ("sentiment", "media_type")
 
 
-def chart_value(chart: Column) -> Column:
-    """What the labels of a chart are ranked by: posts or engagements."""
-    by_sum = [c for c, v in CHARTS.items() if v == "engagements"]
-    return F.when(chart.isin(*by_sum), F.col("engagements")).otherwise(F.col("n").cast("double"))
+# What the labels of a chart are ranked by: posts or engagements.
+CHART_VALUE = "if(chart in ('platform', 'day'), engagements, cast(n as double))"
 
 
-def _insight(position: int, code: Column, label: Column, value: Column, share: Column, text: Column):
-    return F.struct(
-        F.lit(position).alias("position"),
-        code.alias("code"),
-        label.alias("label"),
-        value.cast("double").alias("value"),
-        share.cast("double").alias("share"),
-        text.alias("text"),
+def _insight(position: int, code: str, label: str, value: str, share: str, text: str) -> str:
+    return (
+        f"named_struct('position', {position}, 'code', {code}, 'label', {label},"
+        f" 'value', cast({value} as double), 'share', cast({share} as double), 'text', {text})"
     )
 
 
-def _rank_insights(chart: str) -> Column:
+def _rank_insights(chart: str) -> str:
     rows = []
-    for i, (code, before, after) in enumerate(RANK_TEXTS[chart]):
-        entry = F.col(f"_top{i + 1}")
-        label, value = entry["label"], entry["value"]
-        share = value / F.col("_posts") if chart in WITH_SHARE else F.lit(None)
-        parts = [F.lit(before), label, F.lit(after)]
+    for i, (code, before, after) in enumerate(RANK_TEXTS[chart], start=1):
+        label, value = f"_top{i}.label", f"_top{i}.value"
+        parts = [sql_text(before), label, sql_text(after)]
         if code == "dominant":
-            parts += [percent_text(value.cast("bigint"), F.col("_posts")), F.lit(" of the total.")]
-        row = _insight(i + 1, F.lit(code), label, value, share, F.concat(*parts))
-        rows.append(F.when(entry.isNotNull(), row))
-    return F.array(*rows)
+            parts += [percent_text("_top1.n", "_posts"), "' of the total.'"]
+        share = f"{value} / _posts" if chart in WITH_SHARE else "null"
+        row = _insight(i, sql_text(code), label, value, share, f"concat({', '.join(parts)})")
+        rows.append(f"if(_top{i} is not null, {row}, null)")
+    return f"array({', '.join(rows)})"
 
 
-def _day_insights() -> Column:
-    first, last = F.col("_first"), F.col("_last")
-    peak, lowest = F.col("_top1"), F.col("_lowest")
-    none = F.lit(None).cast("string")
-    trend = direction(first, last, "stable")
+def _day_insights() -> str:
+    # The best of the days by value is the peak; equal days are ranked by date.
+    trend = direction("_first", "_last", "stable")
     trend_text = (
-        F.when(trend == "rising", "Engagement rises from the first day to the last.")
-        .when(trend == "falling", "Engagement falls from the first day to the last.")
-        .otherwise("Engagement ends at the level of the first day.")
+        f"case {trend} when 'rising' then 'Engagement rises from the first day to the last.'"
+        " when 'falling' then 'Engagement falls from the first day to the last.'"
+        " else 'Engagement ends at the level of the first day.' end"
     )
-    rows = [
-        _insight(1, F.lit("trend"), trend, last - first, F.lit(None), trend_text),
-        *[
-            _insight(
-                position,
-                F.lit(code),
-                day["label"],
-                day["value"],
-                F.lit(None),
-                F.concat(
-                    F.lit(words), day["label"], F.lit(" with "), whole_text(day["value"]), F.lit(".")
-                ),
-            )
-            for position, code, words, day in (
-                (2, "peak_day", "Engagement was highest on ", peak),
-                (3, "lowest_day", "Engagement was lowest on ", lowest),
-            )
-        ],
+    rows = [_insight(1, "'trend'", trend, "_last - _first", "null", trend_text)] + [
+        _insight(
+            position,
+            sql_text(code),
+            f"{day}.label",
+            f"{day}.value",
+            "null",
+            f"concat({sql_text(words)}, {day}.label, ' with ', {whole_text(day + '.value')}, '.')",
+        )
+        for position, code, words, day in (
+            (2, "peak_day", "Engagement was highest on ", "_top1"),
+            (3, "lowest_day", "Engagement was lowest on ", "_lowest"),
+        )
     ]
     too_few = _insight(
         1,
-        F.lit("not_enough_data"),
-        none,
-        F.lit(None),
-        F.lit(None),
-        F.lit("There are too few days to see a trend."),
+        "'not_enough_data'",
+        "cast(null as string)",
+        "null",
+        "null",
+        "'There are too few days to see a trend.'",
     )
-    return F.when(F.col("_labels") >= 2, F.array(*rows)).otherwise(F.array(too_few))
+    return f"if(_labels >= 2, array({', '.join(rows)}), array({too_few}))"
 
 
 def campaign_insights(
@@ -123,47 +109,40 @@ def campaign_insights(
     """
     keys = by_columns(df, by)
     group = [*keys, F.col("chart")]
-    labels = campaign_cube(df, by, charts).withColumn(
-        "value", chart_value(F.col("chart"))
-    )
+    labels = campaign_cube(df, by, charts).withColumn("value", F.expr(CHART_VALUE))
     order = Window.partitionBy(*group).orderBy(F.desc("value"), F.asc("label"))
     # The count rides along so that both readers of the labels need the same
     # columns, which is what lets Spark reuse the shuffle.
-    entry = F.struct("label", "value", "n")
+    entry = "struct(label, value, n)"
     top = (
         labels.withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= 3)
-        .select(*group, "_rank", entry.alias("_entry"))
+        .filter("_rank <= 3")
+        .select(*group, "_rank", F.expr(entry).alias("_entry"))
     )
     facts = labels.groupBy(*group).agg(
-        F.sum("n").alias("_posts"),
-        F.count("*").alias("_labels"),
-        F.min_by("value", "label").alias("_first"),
-        F.max_by("value", "label").alias("_last"),
-        F.min_by(entry, F.struct("value", "label")).alias("_lowest"),
+        F.expr("sum(n) as _posts"),
+        F.expr("count(*) as _labels"),
+        F.expr("min_by(value, label) as _first"),
+        F.expr("max_by(value, label) as _last"),
+        F.expr(f"min_by({entry}, struct(value, label)) as _lowest"),
     )
     # At most four rows per chart meet here.
     both = top.unionByName(facts, allowMissingColumns=True)
     per_chart = both.groupBy(*group).agg(
+        *[F.expr(f"max(_entry) filter (where _rank = {i}) as _top{i}") for i in (1, 2, 3)],
         *[
-            F.max(F.when(F.col("_rank") == i, F.col("_entry"))).alias(f"_top{i}")
-            for i in (1, 2, 3)
+            F.expr(f"max({c}) as {c}")
+            for c in ("_posts", "_labels", "_first", "_last", "_lowest")
         ],
-        *[F.max(c).alias(c) for c in ("_posts", "_labels", "_first", "_last", "_lowest")],
     )
-    rows = F.lit(None)
-    for chart in charts:
-        found = _day_insights() if chart == "day" else _rank_insights(chart)
-        rows = F.when(F.col("chart") == chart, found).otherwise(rows)
-    return per_chart.select(*group, F.inline(F.array_compact(rows))).select(
-        *[quoted(c) for c in by],
-        F.when(F.col("chart") == "day", "engagement").otherwise(F.col("chart")).alias("chart"),
-        "position",
-        "code",
-        "label",
-        "value",
-        "share",
-        "text",
+    found = " ".join(
+        f"when '{c}' then {_day_insights() if c == 'day' else _rank_insights(c)}" for c in charts
+    )
+    names = ["position", "code", "label", "value", "share", "text"]
+    return per_chart.selectExpr(
+        *[sql_name(c) for c in by], "chart", f"inline(array_compact(case chart {found} end))"
+    ).selectExpr(
+        *[sql_name(c) for c in by], "if(chart = 'day', 'engagement', chart) as chart", *names
     )
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import quoted
+from ..functions.columns import sql_name, sql_text
 from ..operators.metrics import By, by_columns, campaign_cube
-from .insights import chart_value
+from .insights import CHART_VALUE
 
 TITLE = "Campaign report"
 ANALYSIS_HEADING = "Analysis and recommendations"
@@ -18,50 +18,47 @@ FOOTER = "End of report"
 def _campaign_bests(df: DataFrame, by: By) -> DataFrame:
     """Per campaign: the leading label of each chart, and the first and last day's totals."""
     keys = by_columns(df, by)
-    labels = campaign_cube(df, by).withColumn("value", chart_value(F.col("chart")))
+    labels = campaign_cube(df, by).withColumn("value", F.expr(CHART_VALUE))
     per_chart = labels.groupBy(*keys, "chart").agg(
-        F.count("*").alias("labels"),
-        F.min_by("label", F.struct(-F.col("value"), F.col("label"))).alias("best"),
-        F.min_by("value", "label").alias("first"),
-        F.max_by("value", "label").alias("last"),
+        F.expr("count(*) as labels"),
+        F.expr("min_by(label, struct(-value, label)) as best"),
+        F.expr("min_by(value, label) as first"),
+        F.expr("max_by(value, label) as last"),
     )
 
-    def of(chart: str, field: str) -> Column:
-        return F.max(F.when(F.col("chart") == chart, F.col(field)))
+    def of(chart: str, field: str, name: str) -> Column:
+        return F.expr(f"max({field}) filter (where chart = '{chart}') as {name}")
 
     bests = per_chart.groupBy(*keys).agg(
-        *[of(c, "best").alias(f"_{c}") for c in ("sentiment", "platform", "media_type", "location")],
-        of("day", "labels").alias("_days"),
-        of("day", "first").alias("_first"),
-        of("day", "last").alias("_last"),
+        *[of(c, "best", f"_{c}") for c in ("sentiment", "platform", "media_type", "location")],
+        of("day", "labels", "_days"),
+        of("day", "first", "_first"),
+        of("day", "last", "_last"),
     )
-    return bests.filter(F.col("_sentiment").isNotNull())
-
-
-def _findings() -> dict[str, Column]:
-    def line(words: str, label: Column) -> Column:
-        return F.concat(F.lit(words), label, F.lit("."))
-
-    rising = (
-        F.when(F.col("_last") > F.col("_first"), "Engagement is rising overall.")
-        .otherwise("Engagement is level or falling overall.")
+    return bests.filter("_sentiment is not null")
+
+
+# Finding -> SQL of its line; null leaves the line out.
+FINDINGS = {
+    "dominant_sentiment": "concat('Dominant sentiment: ', _sentiment, '.')",
+    "engagement_trend": (
+        "if(_days >= 2, if(_last > _first, 'Engagement is rising overall.',"
+        " 'Engagement is level or falling overall.'), null)"
+    ),
+    "best_platform": "concat('Best performing platform: ', _platform, '.')",
+    "main_media_type": "concat('Main media type: ', _media_type, '.')",
+    "top_location": "concat('Most active location: ', _location, '.')",
+}
+
+
+def _lines(df: DataFrame, by: By, field: str, lines: list[tuple[int, str, str]]) -> DataFrame:
+    """One row per line that has a text, from one row per campaign."""
+    rows = ", ".join(
+        f"named_struct('position', {i}, '{field}', '{name}', 'text', {text})"
+        for i, name, text in lines
     )
-    return {
-        "dominant_sentiment": line("Dominant sentiment: ", F.col("_sentiment")),
-        "engagement_trend": F.when(F.col("_days") >= 2, rising),
-        "best_platform": line("Best performing platform: ", F.col("_platform")),
-        "main_media_type": line("Main media type: ", F.col("_media_type")),
-        "top_location": line("Most active location: ", F.col("_location")),
-    }
-
-
-def _numbered(df: DataFrame, by: By, lines: Column) -> DataFrame:
-    return df.select(*[quoted(c) for c in by], F.inline(lines))
-
-
-def _line(position: int, field: str, name: str, text: Column) -> Column:
-    return F.struct(
-        F.lit(position).alias("position"), F.lit(name).alias(field), text.alias("text")
+    return df.selectExpr(
+        *[sql_name(c) for c in by], f"inline(filter(array({rows}), x -> x.text is not null))"
     )
 
 
@@ -70,9 +67,8 @@ def report_lines(df: DataFrame, by: By = ()) -> DataFrame:
 
     The trend line is left out with fewer than two days; its position stays free.
     """
-    lines = [_line(i, "code", c, t) for i, (c, t) in enumerate(_findings().items(), start=1)]
-    found = F.filter(F.array(*lines), lambda x: x["text"].isNotNull())
-    return _numbered(_campaign_bests(df, by), by, found)
+    lines = [(i, c, t) for i, (c, t) in enumerate(FINDINGS.items(), start=1)]
+    return _lines(_campaign_bests(df, by), by, "code", lines)
 
 
 def report_document(
@@ -83,20 +79,15 @@ def report_document(
     ``analysis`` is the text an analyst or a language model wrote: one text, or
     a table ``(by, analysis)`` with one row per campaign.
     """
-    bests = _campaign_bests(df, by)
-    text = F.lit(analysis if isinstance(analysis, str) else None).cast("string")
-    given = F.lit(ANALYSIS_HEADING) if analysis is not None else F.lit(None).cast("string")
-    lines = [
-        _line(1, "section", "title", F.lit(TITLE)),
-        _line(2, "section", "analysis_heading", given),
-        _line(3, "section", "analysis", text),
-        _line(4, "section", "findings_heading", F.lit(FINDINGS_HEADING)),
-        *[_line(i, "section", "finding", t) for i, t in enumerate(_findings().values(), start=5)],
-        _line(10, "section", "footer", F.lit(FOOTER)),
-    ]
-    document = _numbered(
-        bests, by, F.filter(F.array(*lines), lambda x: x["text"].isNotNull())
-    )
+    lines = [(1, "title", sql_text(TITLE))]
+    if analysis is not None:
+        lines.append((2, "analysis_heading", sql_text(ANALYSIS_HEADING)))
+    if isinstance(analysis, str):
+        lines.append((3, "analysis", sql_text(analysis)))
+    lines.append((4, "findings_heading", sql_text(FINDINGS_HEADING)))
+    lines += [(i, "finding", t) for i, t in enumerate(FINDINGS.values(), start=5)]
+    lines.append((10, "footer", sql_text(FOOTER)))
+    document = _lines(_campaign_bests(df, by), by, "section", lines)
     if not isinstance(analysis, DataFrame):
         return document
     keys = by_columns(analysis, by)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import number_text, quoted
+from ..functions.columns import number_text, quoted, sql_name, sql_text
 from ..operators.metrics import By, by_columns, campaign_cube
 from ..operators.ranking import ranked
-from ..operators.trends import direction, post_trend
-from .insights import chart_value
+from ..operators.trends import post_trend
+from .insights import CHART_VALUE
 
 TREND_TEXTS = {
     "rising": "engagement rises over the campaign",
@@ -23,13 +23,6 @@ REQUEST = (
 )
 
 
-def _entries(best_first: Column) -> Column:
-    return F.transform(
-        best_first,
-        lambda e: F.struct(e["label"].alias("key"), e["value"].alias("value")),
-    )
-
-
 def summary_facts(df: DataFrame, by: By = (), order_col: str | None = None) -> DataFrame:
     """Per campaign: number of posts, post trend, and the label totals, best first.
 
@@ -38,136 +31,103 @@ def summary_facts(df: DataFrame, by: By = (), order_col: str | None = None) -> D
     aggregated to labels before anything is collected.
     """
     keys = by_columns(df, by)
-    value = chart_value(F.col("chart"))
     labels = campaign_cube(df, by, ["sentiment", "platform", "media_type"]).withColumn(
-        "value", value
-    )
-    places = ranked(
-        campaign_cube(df, by, ["location"]).withColumn("value", value), "label", "value", 3, by
-    )
-    best_first = F.array_sort(
-        F.collect_list(F.struct((-F.col("value")).alias("minus"), F.col("label"), F.col("value")))
+        "value", F.expr(CHART_VALUE)
     )
+    places = campaign_cube(df, by, ["location"]).withColumn("value", F.expr(CHART_VALUE))
+    top_places = ranked(places, "label", "value", 3, by)
     lists = (
         labels.select(*keys, "chart", "label", "value")
-        .unionByName(places.select(*keys, "chart", "label", "value"))
+        .unionByName(top_places.select(*keys, "chart", "label", "value"))
         .groupBy(*keys, "chart")
-        .agg(best_first.alias("_list"))
+        .agg(F.expr("array_sort(collect_list(struct(-value as minus, label, value))) as _list"))
     )
-    trend = post_trend(df, by, order_col)
     # At most five rows per campaign meet here.
-    both = lists.unionByName(trend, allowMissingColumns=True)
+    both = lists.unionByName(post_trend(df, by, order_col), allowMissingColumns=True)
     return both.groupBy(*keys).agg(
-        F.max("n_posts").alias("n_posts"),
-        F.max("first_engagements").alias("_first"),
-        F.max("last_engagements").alias("_last"),
+        F.expr("max(n_posts) as n_posts"),
+        F.expr("max(trend) as trend"),
         *[
-            F.coalesce(
-                F.max(F.when(F.col("chart") == c, F.col("_list"))), F.array().cast(_LIST_TYPE)
-            ).alias(f"_{c}")
+            F.expr(f"coalesce(max(_list) filter (where chart = '{c}'), cast(array() as {_LIST})) as _{c}")
             for c in ("sentiment", "platform", "media_type", "location")
         ],
     )
 
 
-_LIST_TYPE = "array<struct<minus:double,label:string,value:double>>"
+_LIST = "array<struct<minus:double,label:string,value:double>>"
 
 
-def _list_text(best_first: Column) -> Column:
-    return F.array_join(
-        F.transform(
-            best_first, lambda e: F.concat(e["label"], F.lit(" "), number_text(e["value"]))
-        ),
-        ", ",
+def _list_text(best_first: str) -> str:
+    return (
+        f"array_join(transform({best_first},"
+        f" e -> concat(e.label, ' ', {number_text('e.value')})), ', ')"
     )
 
 
-def _trend() -> Column:
-    return direction(F.col("_first"), F.col("_last"), "none")
-
-
-def _summary_text() -> Column:
-    trend_text = F.lit(TREND_TEXTS["none"])
-    for code in ("rising", "falling"):
-        trend_text = F.when(_trend() == code, TREND_TEXTS[code]).otherwise(trend_text)
-    text = F.concat(
-        F.lit("Posts: "),
-        F.col("n_posts").cast("string"),
-        F.lit("\nPosts per sentiment: "),
-        _list_text(F.col("_sentiment")),
-        F.lit("\nEngagement per platform: "),
-        _list_text(F.col("_platform")),
-        F.lit("\nPosts per media type: "),
-        _list_text(F.col("_media_type")),
-        F.lit("\nTop locations: "),
-        _list_text(F.col("_location")),
-        F.lit("\nTrend: "),
-        trend_text,
-    )
-    return F.when(F.col("n_posts") > 0, text).otherwise(NO_DATA)
-
-
-def _findings_text() -> Column:
-    words = {
-        "sentiment": "leading sentiment: ",
-        "platform": "platform with most engagement: ",
-        "media_type": "most frequent media type: ",
-        "location": "busiest location: ",
-    }
-    best = F.array(
-        *[F.concat(F.lit(w), F.get(F.col(f"_{c}"), F.lit(0))["label"]) for c, w in words.items()]
+def _summary_text() -> str:
+    trends = " ".join(f"when '{k}' then {sql_text(v)}" for k, v in TREND_TEXTS.items())
+    lines = [
+        ("Posts: ", "n_posts"),
+        ("\nPosts per sentiment: ", _list_text("_sentiment")),
+        ("\nEngagement per platform: ", _list_text("_platform")),
+        ("\nPosts per media type: ", _list_text("_media_type")),
+        ("\nTop locations: ", _list_text("_location")),
+        ("\nTrend: ", f"case trend {trends} end"),
+    ]
+    text = ", ".join(f"{sql_text(words)}, {value}" for words, value in lines)
+    return f"if(n_posts > 0, concat({text}), {sql_text(NO_DATA)})"
+
+
+def _findings_text() -> str:
+    best = ", '; ', ".join(
+        f"{sql_text(words)}, get(_{c}, 0).label"
+        for c, words in (
+            ("sentiment", "leading sentiment: "),
+            ("platform", "platform with most engagement: "),
+            ("media_type", "most frequent media type: "),
+            ("location", "busiest location: "),
+        )
     )
-    return F.array_join(best, "; ")
+    return f"concat({best})"
 
 
 def campaign_summary(df: DataFrame, by: By = (), order_col: str | None = None) -> DataFrame:
     """Totals, label maps, top three locations and post trend of each campaign."""
 
-    def as_map(c: str, kind: str) -> Column:
-        return F.map_from_entries(
-            F.transform(
-                F.col(f"_{c}"),
-                lambda e: F.struct(e["label"].alias("key"), e["value"].cast(kind).alias("value")),
-            )
-        )
-
-    return summary_facts(df, by, order_col).select(
-        *[quoted(c) for c in by],
-        F.col("n_posts").alias("total_posts"),
-        as_map("sentiment", "bigint").alias("sentiment_counts"),
-        as_map("platform", "double").alias("platform_engagements"),
-        as_map("media_type", "bigint").alias("media_type_counts"),
-        as_map("location", "bigint").alias("top_locations"),
-        _trend().alias("trend"),
-        _summary_text().alias("summary"),
+    def as_map(c: str, kind: str, name: str) -> str:
+        pairs = f"transform(_{c}, e -> struct(e.label, cast(e.value as {kind})))"
+        return f"map_from_entries({pairs}) as {name}"
+
+    return summary_facts(df, by, order_col).selectExpr(
+        *[sql_name(c) for c in by],
+        "n_posts as total_posts",
+        as_map("sentiment", "bigint", "sentiment_counts"),
+        as_map("platform", "double", "platform_engagements"),
+        as_map("media_type", "bigint", "media_type_counts"),
+        as_map("location", "bigint", "top_locations"),
+        "trend",
+        f"{_summary_text()} as summary",
     )
 
 
 def prompt_findings(df: DataFrame, by: By = ()) -> DataFrame:
     """The leading label of four charts in one line per campaign."""
-    return (
-        summary_facts(df, by)
-        .filter(F.col("n_posts") > 0)
-        .select(*[quoted(c) for c in by], _findings_text().alias("findings"))
-    )
+    return campaign_prompts(df, by).select(*[quoted(c) for c in by], "findings")
 
 
 def campaign_prompts(df: DataFrame, by: By = (), order_col: str | None = None) -> DataFrame:
     """Summary, findings and request as one prompt per campaign with posts."""
-    prompt = F.concat(
-        F.lit("Summary of the campaign data:\n"),
-        _summary_text(),
-        F.lit("\n\nMain findings: "),
-        _findings_text(),
-        F.lit("\n\n" + REQUEST),
-    )
-    return (
+    own = [sql_name(c) for c in by]
+    texts = (
         summary_facts(df, by, order_col)
-        .filter(F.col("n_posts") > 0)
-        .select(
-            *[quoted(c) for c in by],
-            _summary_text().alias("summary"),
-            _findings_text().alias("findings"),
-            prompt.alias("prompt"),
-        )
+        .filter("n_posts > 0")
+        .selectExpr(*own, f"{_summary_text()} as summary", f"{_findings_text()} as findings")
+    )
+    heading, middle = sql_text("Summary of the campaign data:\n"), sql_text("\n\nMain findings: ")
+    request = sql_text("\n\n" + REQUEST)
+    return texts.selectExpr(
+        *own,
+        "summary",
+        "findings",
+        f"concat({heading}, summary, {middle}, findings, {request}) as prompt",
     )
