@@ -141,9 +141,10 @@ def _upload_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _fresh(spark, "uploads")
     raw = _raw(spark, sf_dir)
     raw.write.option("header", True).option("escape", '"').csv(f"{path}/in")
-    pm.append_uploads(
-        spark, f"{path}/in", f"{path}/clean", f"{path}/state", raw.columns
-    ).awaitTermination()
+    for query in pm.append_uploads(
+        spark, f"{path}/in", f"{path}/clean", f"{path}/rejects", f"{path}/state", raw.columns
+    ):
+        query.awaitTermination()
     return pm.read_clean(spark, f"{path}/clean")
 
 

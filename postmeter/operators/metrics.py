@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import day_text, quoted
+from ..functions.columns import day_text, quoted, sql_name
 
 By = Sequence[str]
 
@@ -88,17 +88,19 @@ def category_share(df: DataFrame, category: str, by: By = ()) -> DataFrame:
     )
 
 
+# Column names of the cube and of the tables made from it.
+_CUBE_COLUMNS = {"chart", "label", "n", "engagements", "value"}
+
+
 def _chart_rows(df: DataFrame, chart: str, by: By) -> DataFrame:
-    keys = by_columns(df, by)
-    key = F.to_date("date") if chart == "day" else F.col(chart)
-    sums = df.groupBy(*keys, key.alias("_label")).agg(
-        F.count("*").alias("n"), F.sum("engagements").alias("engagements")
+    key = "to_date(date)" if chart == "day" else sql_name(chart)
+    sums = df.groupBy(*by_columns(df, by), F.expr(f"{key} as _label")).agg(
+        F.expr("count(*) as n"), F.expr("sum(engagements) as engagements")
     )
     # The day text is made from the few days, not for every post.
     label = day_text("_label") if chart == "day" else "_label"
-    return sums.select(
-        *keys, F.lit(chart).alias("chart"), F.expr(label).alias("label"), "n", "engagements"
-    )
+    own = [sql_name(c) for c in by]
+    return sums.selectExpr(*own, f"'{chart}' as chart", f"{label} as label", "n", "engagements")
 
 
 def campaign_cube(
@@ -113,6 +115,9 @@ def campaign_cube(
     takes the copying plan (grouping sets), for sources where reading twice
     costs more.
     """
+    clash = _CUBE_COLUMNS & set(by)
+    if clash:
+        raise ValueError(f"by columns need another name: {', '.join(sorted(clash))}")
     if not one_scan:
         return reduce(DataFrame.unionByName, [_chart_rows(df, c, by) for c in charts])
     keys = by_columns(df, by)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.clean import clean_posts
@@ -20,23 +20,31 @@ def append_uploads(
     spark: SparkSession,
     path: str,
     clean_path: str,
+    rejects_path: str,
     checkpoint: str,
     headers: Sequence[str] = RAW_HEADERS,
     formats: Iterable[str] = (),
-    strict: bool = False,
     follow: bool = False,
-) -> StreamingQuery:
-    """Append the posts of new ``.csv`` files in ``path`` to the clean table.
+) -> tuple[StreamingQuery, StreamingQuery]:
+    """Append new ``.csv`` files in ``path`` to the clean table, once each.
 
-    ``follow`` keeps waiting for files; otherwise the query ends when all
+    Records with too many cells are appended to ``rejects_path`` by a query of
+    its own, so both tables are written exactly once whatever fails.
+    ``follow`` keeps waiting for files; otherwise both queries end when all
     present files are done.
     """
-    posts, _ = stream_posts_csv(spark, path, headers, strict)
-    writer = (
-        clean_posts(posts, formats)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", clean_path)
-        .option("checkpointLocation", checkpoint)
+    posts, rejects = stream_posts_csv(spark, path, headers)
+
+    def append(table: DataFrame, out: str, state: str) -> StreamingQuery:
+        writer = (
+            table.writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", out)
+            .option("checkpointLocation", f"{checkpoint}/{state}")
+        )
+        return writer.start() if follow else writer.trigger(availableNow=True).start()
+
+    return (
+        append(clean_posts(posts, formats), clean_path, "posts"),
+        append(rejects, rejects_path, "rejects"),
     )
-    return writer.start() if follow else writer.trigger(availableNow=True).start()

@@ -128,11 +128,20 @@ def test_null_markers_become_unknown(spark, tmp_path):
 
 
 def test_stream_appends_each_upload_once(spark, tmp_path):
-    incoming, out, state = (str(tmp_path / d) for d in ("in", "out", "state"))
+    incoming, out, bad, state = (str(tmp_path / d) for d in ("in", "out", "bad", "state"))
     os.mkdir(incoming)
+
+    def run():
+        for query in append_uploads(spark, incoming, out, bad, state):
+            query.awaitTermination()
+
     put(incoming, "1.csv", f"{HEADER}\n{SEED}\nnot a date,a,b,c,1,d,e,f\n")
-    append_uploads(spark, incoming, out, state).awaitTermination()
+    run()
     put(incoming, "2.csv", f"{HEADER}\n{SEED},too long\n2023-01-02,TikTok,,Bali,x,Video,B,Reel\n")
-    append_uploads(spark, incoming, out, state).awaitTermination()
-    got = sorted((r["platform"], r["sentiment"], r["engagements"]) for r in read_clean(spark, out).collect())
+    run()
+    run()
+    posts = read_clean(spark, out).collect()
+    got = sorted((r["platform"], r["sentiment"], r["engagements"]) for r in posts)
     assert got == [("Instagram", "Positive", 1500.0), ("TikTok", "Unknown", 0.0)]
+    rejects = spark.read.parquet(bad).collect()
+    assert [r["record"] for r in rejects] == [f"{SEED},too long"]

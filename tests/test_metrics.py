@@ -106,6 +106,8 @@ def test_by_columns_may_be_null_or_oddly_named(spark):
 def test_unknown_by_column(spark, event_posts):
     with pytest.raises(ValueError, match="nope"):
         pm.total_posts(event_posts, ["nope"])
+    with pytest.raises(ValueError, match="another name"):
+        pm.campaign_insights(event_posts.withColumn("label", F.lit("x")), ["label"])
     with pytest.raises(TypeError):
         pm.total_posts(event_posts, "influencer_brand")
 
