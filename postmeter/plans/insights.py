@@ -104,8 +104,9 @@ def campaign_insights(
 
     Posts are aggregated to one row per label first.  From those, the three
     best labels per chart come from a rank that Spark limits before the
-    shuffle, and everything else from one ``groupBy``, so no task ever holds
-    all labels of a campaign.  Both read the same shuffle.
+    shuffle; totals and day extremes come from a ``groupBy``, over the charts
+    that need them.  No task ever holds all labels of a campaign, and both read
+    the same shuffle.
     """
     keys = by_columns(df, by)
     group = [*keys, F.col("chart")]
@@ -119,21 +120,25 @@ def campaign_insights(
         .filter("_rank <= 3")
         .select(*group, "_rank", F.expr(entry).alias("_entry"))
     )
-    facts = labels.groupBy(*group).agg(
-        F.expr("sum(n) as _posts"),
-        F.expr("count(*) as _labels"),
-        F.expr("min_by(value, label) as _first"),
-        F.expr("max_by(value, label) as _last"),
-        F.expr(f"min_by({entry}, struct(value, label)) as _lowest"),
-    )
+    with_facts = [c for c in charts if c in WITH_SHARE or c == "day"]
+    facts = []
+    if with_facts:
+        of_charts = campaign_cube(df, by, with_facts).withColumn("value", F.expr(CHART_VALUE))
+        top = top.unionByName(
+            of_charts.groupBy(*group).agg(
+                F.expr("sum(n) as _posts"),
+                F.expr("count(*) as _labels"),
+                F.expr("min_by(value, label) as _first"),
+                F.expr("max_by(value, label) as _last"),
+                F.expr(f"min_by({entry}, struct(value, label)) as _lowest"),
+            ),
+            allowMissingColumns=True,
+        )
+        facts = ["_posts", "_labels", "_first", "_last", "_lowest"]
     # At most four rows per chart meet here.
-    both = top.unionByName(facts, allowMissingColumns=True)
-    per_chart = both.groupBy(*group).agg(
+    per_chart = top.groupBy(*group).agg(
         *[F.expr(f"max(_entry) filter (where _rank = {i}) as _top{i}") for i in (1, 2, 3)],
-        *[
-            F.expr(f"max({c}) as {c}")
-            for c in ("_posts", "_labels", "_first", "_last", "_lowest")
-        ],
+        *[F.expr(f"max({c}) as {c}") for c in facts],
     )
     found = " ".join(
         f"when '{c}' then {_day_insights() if c == 'day' else _rank_insights(c)}" for c in charts
