@@ -31,8 +31,15 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pm.null_tokens(_raw(spark, sf_dir))
 
 
+_defined: dict[tuple[str, str], DataFrame] = {}
+
+
 def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pm.clean_posts(_marked(spark, sf_dir))
+    """Clean posts; the lazy table is defined once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _defined:
+        _defined[key] = pm.clean_posts(_marked(spark, sf_dir))
+    return _defined[key]
 
 
 def entry(spark: SparkSession) -> DataFrame:
