@@ -19,10 +19,6 @@ from ..operators.clean import null_tokens
 from ..schema import RAW_HEADERS
 
 ONLY_CSV = "*.[cC][sS][vV]"
-# Up to this many files, every header is read first, so the files may order
-# their columns differently.
-HEADERS_READ = 256
-
 _RECORD = "_malformed_record"
 _END = "\u0001"
 
@@ -101,16 +97,18 @@ def _header(spark: SparkSession, file: str) -> tuple[str, ...] | None:
     return tuple(h if h else f"_c{i}" for i, h in enumerate(first))
 
 
-def _layouts(spark: SparkSession, path: str) -> tuple[dict[tuple[str, ...], list[str]], bool]:
+def _layouts(
+    spark: SparkSession, path: str, header_files: int
+) -> tuple[dict[tuple[str, ...], list[str]], bool]:
     """Header -> files, and whether every file was looked at."""
     listing = (
         spark.read.format("binaryFile").option("pathGlobFilter", ONLY_CSV).load(path)
         .filter("length > 0").select("path")
     )
-    files = sorted(r["path"] for r in listing.limit(HEADERS_READ + 1).collect())
+    files = sorted(r["path"] for r in listing.limit(header_files + 1).collect())
     if not files:
         raise ValueError(f"no .csv file with content in {path}")
-    complete = len(files) <= HEADERS_READ
+    complete = len(files) <= header_files
     to_read = files if complete else files[:1]
     with ThreadPoolExecutor(8) as pool:
         headers = list(pool.map(lambda f: _header(spark, f), to_read))
@@ -124,19 +122,27 @@ def _layouts(spark: SparkSession, path: str) -> tuple[dict[tuple[str, ...], list
 
 
 def read_posts_csv(
-    spark: SparkSession, path: str, strict: bool = False, multi_line: bool = True
+    spark: SparkSession,
+    path: str,
+    strict: bool = False,
+    multi_line: bool = True,
+    header_files: int = 256,
 ) -> tuple[DataFrame, DataFrame]:
     """Read the ``.csv`` files of ``path``: ``(posts, rejects)``.
 
     Standard null markers become null.  Short records are padded with null;
     records with too many cells go to ``rejects``, or make the read of the posts
-    fail with ``strict``.  In a folder of more than 256 files all must have the
-    same header; one that differs makes the read fail.
+    fail with ``strict``.
+
+    Up to ``header_files`` files, every header is read first, so the files may
+    hold different columns in different orders.  In a larger folder all must
+    have the header of the first; one that differs makes the read fail, and a
+    larger ``header_files`` reads it.
 
     ``multi_line`` allows line breaks inside quotes, at the price of one task
     per file.  Turn it off for large files without them, so Spark splits them.
     """
-    layouts, complete = _layouts(spark, path)
+    layouts, complete = _layouts(spark, path, header_files)
     parts = []
     for header, files in layouts.items():
         normalized_names(header)

@@ -3,7 +3,6 @@ import os
 import pytest
 
 from postmeter import append_uploads, clean_posts, read_clean, read_posts_csv
-from postmeter.sources import csv_posts
 
 HEADER = "Date,Platform,Sentiment,Location,Engagements,Media Type,Influencer Brand,Post Type"
 SEED = "2023-01-01,Instagram,Positive,Jakarta,1500,Image,BrandX,Feed Post"
@@ -100,15 +99,16 @@ def test_upper_case_suffix(spark, tmp_path):
     assert read_posts_csv(spark, str(tmp_path))[0].count() == 1
 
 
-def test_many_files_must_share_the_header(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(csv_posts, "HEADERS_READ", 2)
+def test_many_files_must_share_the_header(spark, tmp_path):
     for i in range(4):
         put(tmp_path, f"{i}.csv", f"Date,Platform\n2023-01-0{i + 1},P{i}\n")
-    assert read_posts_csv(spark, str(tmp_path))[0].count() == 4
+    assert read_posts_csv(spark, str(tmp_path), header_files=2)[0].count() == 4
     put(tmp_path, "9.csv", "Platform,Date\nP,2023-01-09\n")
-    posts, _ = read_posts_csv(spark, str(tmp_path))
+    posts, _ = read_posts_csv(spark, str(tmp_path), header_files=2)
     with pytest.raises(Exception):
         posts.collect()
+    posts, _ = read_posts_csv(spark, str(tmp_path), header_files=5)
+    assert ("2023-01-09", "P") in [tuple(r) for r in posts.select("date", "platform").collect()]
 
 
 def test_no_csv_and_colliding_headers(spark, tmp_path):
