@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,12 +92,8 @@ def _fill_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fresh(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared place; a second run of a query gets its own."""
-    _fresh.runs += 1
-    return f"{pm.shared_dir(spark)}/{name}-{os.getpid()}-{_fresh.runs}"
-
-
-_fresh.runs = 0
+    """A new folder in the shared place."""
+    return f"{pm.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +131,7 @@ def _csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pm.keep_clean(_posts(spark, sf_dir), os.path.basename(_fresh(spark, "clean")), by_day=True)
+    return pm.keep_clean(_posts(spark, sf_dir), by_day=True)
 
 
 def _report_table(spark: SparkSession, sf_dir: str) -> DataFrame:

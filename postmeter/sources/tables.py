@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,9 +49,9 @@ def keep_clean(df: DataFrame, name: str = "clean_posts", by_day: bool = False) -
     """Clean once, then read the columns each metric needs.
 
     Unlike a cache, the table survives the loss of executors and is read with
-    column pruning.  A table of the same name in this application is replaced.
+    column pruning.  Every call writes a table of its own.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    write_clean(df, path, by_day, mode="overwrite")
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    write_clean(df, path, by_day)
     return read_clean(spark, path)
