@@ -41,7 +41,8 @@ WITH_SHARE = ("sentiment", "media_type")
 
 
 # What the labels of a chart are ranked by: posts or engagements.
-CHART_VALUE = "if(chart in ('platform', 'day'), engagements, cast(n as double))"
+_BY_SUM = ", ".join(sql_text(c) for c, value in CHARTS.items() if value == "engagements")
+CHART_VALUE = f"if(chart in ({_BY_SUM}), engagements, cast(n as double))"
 
 
 def _insight(position: int, code: str, label: str, value: str, share: str, text: str) -> str:
