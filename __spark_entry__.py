@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -21,6 +22,16 @@ import sql_oracle  # noqa: E402
 from postmeter.schema import CATEGORIES  # noqa: E402
 from postmeter.sources.events import EVENT_COLUMNS  # noqa: E402
 
+try:
+    from postmeter.llm.queries import ORACLE_SQL as LLM_SQL
+    from postmeter.llm.queries import QUERIES as LLM_QUERIES
+except ImportError:
+    LLM_QUERIES, LLM_SQL = {}, {}
+try:
+    import corpus_pipeline
+except ImportError:
+    corpus_pipeline = None
+
 BRAND = ("influencer_brand",)
 
 
@@ -32,15 +43,8 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pm.null_tokens(_raw(spark, sf_dir))
 
 
-_defined: dict[tuple[str, str], DataFrame] = {}
-
-
 def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean posts; the lazy table is defined once per application and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _defined:
-        _defined[key] = pm.clean_posts(_marked(spark, sf_dir))
-    return _defined[key]
+    return pm.clean_posts(_marked(spark, sf_dir))
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -235,6 +239,18 @@ def _on_posts(metric: Callable, by) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: metric(_posts(spark, sf_dir), by)
 
 
+def _with_folder(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    """Name a shared folder first where a local session has none; one is never replaced."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        if local and not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="postmeter-"))
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator; each callable takes (spark, sf_dir)."""
     found = {
@@ -258,9 +274,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for name, metric in METRICS.items():
         found[name] = _on_posts(metric, ())
         found[f"{name}_by_brand"] = _on_posts(metric, BRAND)
-    return found
+    found |= LLM_QUERIES
+    if corpus_pipeline:
+        found["pipeline"] = corpus_pipeline.run
+    return {name: _with_folder(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results in SQL, written apart from the Spark code."""
-    return sql_oracle.statements()
+    found = sql_oracle.statements() | LLM_SQL
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found

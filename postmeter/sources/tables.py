@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's folder in the shared place the cluster names.
+    """This application's folder in the shared place the session names.
 
-    Only a local session without ``spark.checkpoint.dir`` gets a temporary one.
+    That is ``spark.checkpoint.dir``, or else the checkpoint folder of the context.
+    There is no fallback: a folder of one machine would lose data on a cluster.
     """
-    app = spark.sparkContext.applicationId
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        if app not in _own_dirs:
-            _own_dirs[app] = tempfile.mkdtemp(prefix="postmeter-")
-        base = _own_dirs[app]
-    return f"{base.rstrip('/')}/postmeter/{app}"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base.rstrip('/')}/postmeter/{spark.sparkContext.applicationId}"
+
+
+def drop_table(spark: SparkSession, path: str) -> bool:
+    """Delete a kept table; true if it was there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    return target.getFileSystem(conf).delete(target, True)
 
 
 def write_clean(df: DataFrame, path: str, by_day: bool = False, mode: str = "errorifexists") -> None:
@@ -45,13 +45,16 @@ def read_clean(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def keep_clean(df: DataFrame, name: str = "clean_posts", by_day: bool = False) -> DataFrame:
+def keep_clean(
+    df: DataFrame, name: str = "clean_posts", by_day: bool = False, path: str | None = None
+) -> DataFrame:
     """Clean once, then read the columns each metric needs.
 
     Unlike a cache, the table survives the loss of executors and is read with
-    column pruning.  Every call writes a table of its own.
+    column pruning.  Without ``path`` every call writes a table of its own below
+    ``shared_dir``; ``drop_table`` removes one that is no longer read.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     write_clean(df, path, by_day)
     return read_clean(spark, path)

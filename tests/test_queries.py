@@ -11,7 +11,12 @@ import pytest
 import __spark_entry__ as entry_module
 
 SF_DIRS = [d for d in ("/root/testdata/sf0.001", "/root/testdata/sf0.01") if os.path.isdir(d)]
-QUERIES = entry_module.queries()
+# The corpus queries have tests of their own.
+QUERIES = {
+    name: query
+    for name, query in entry_module.queries().items()
+    if name not in entry_module.LLM_QUERIES and name != "pipeline"
+}
 ORACLES = entry_module.oracle_sql()
 
 
@@ -39,7 +44,7 @@ def tables(request):
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(ORACLES)
 
 
 def test_entry(spark):
