@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import contamination_report
 from .exact_dedup import dedup_report
+from .language_id import language_report
 from .packing import packing_report
 from .token_counts import token_counts
 from .token_files import token_file_report
@@ -19,13 +21,45 @@ def _on(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[Spa
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": lambda spark, sf_dir: contamination_report(
+        spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    ),
     "op5_packing": _on("documents", packing_report),
     "op6_exact_dedup": _on("documents", dedup_report),
+    "op8_language_id": _on("documents", language_report),
     "op9_token_counts": _on("documents", token_counts),
     "op10_token_files": _on("documents", token_file_report),
 }
 
+# Words and windows of op1; windows of all lengths that occur are compared.
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(_LOWER)
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": f"""
+        with items as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark),
+        runs as (
+            select distinct item, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') as run, least(10, len(w)) as n
+            from (select *, unnest(range(1, greatest(1, len(w) - 9) + 1)) as i from items where len(w) > 0)
+        ),
+        docs as (select doc_id, {_WORDS} as w from documents),
+        places as (
+            select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as run
+            from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i
+                  from docs, (select distinct n from runs) where len(w) >= n)
+        ),
+        found as (select distinct p.doc_id, r.item, p.i, p.n from places p join runs r on p.run = r.run and p.n = r.n),
+        hits as (
+            select doc_id, count(distinct k) as n_hit
+            from (select doc_id, unnest(range(i, i + n)) as k from found) group by doc_id
+        ),
+        named as (
+            select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+            from (select distinct doc_id, item from found) group by doc_id
+        )
+        select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+               sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from docs d left join hits using (doc_id) left join named using (doc_id)
+    """,
     "op6_exact_dedup": f"""
         select doc_id,
                max(doc_id) over (partition by norm) as keep_id,
