@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import contamination_report
 from .exact_dedup import dedup_report
 from .language_id import language_report
+from .ngram_join import near_report
 from .packing import packing_report
 from .token_counts import token_counts
 from .token_files import token_file_report
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ),
     "op5_packing": _on("documents", packing_report),
     "op6_exact_dedup": _on("documents", dedup_report),
+    "op7_ngram_join": _on("documents", near_report),
     "op8_language_id": _on("documents", language_report),
     "op9_token_counts": _on("documents", token_counts),
     "op10_token_files": _on("documents", token_file_report),
