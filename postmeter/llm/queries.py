@@ -11,6 +11,7 @@ from .exact_dedup import dedup_report
 from .language_id import language_report
 from .ngram_join import near_report
 from .packing import packing_report
+from .pii import pii_report
 from .token_counts import token_counts
 from .token_files import token_file_report
 
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": lambda spark, sf_dir: contamination_report(
         spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     ),
+    "op2_pii": _on("documents", pii_report),
     "op5_packing": _on("documents", packing_report),
     "op6_exact_dedup": _on("documents", dedup_report),
     "op7_ngram_join": _on("documents", near_report),
