@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import contamination_report
 from .exact_dedup import dedup_report
 from .language_id import language_report
+from .licenses import license_report
+from .licenses import oracle_sql as license_sql
+from .line_dedup import line_report
 from .ngram_join import near_report
 from .packing import packing_report
 from .pii import pii_report
@@ -27,6 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     ),
     "op2_pii": _on("documents", pii_report),
+    "op3_license_scan": _on("documents", license_report),
+    "op4_line_dedup": _on("documents", line_report),
     "op5_packing": _on("documents", packing_report),
     "op6_exact_dedup": _on("documents", dedup_report),
     "op7_ngram_join": _on("documents", near_report),
@@ -64,6 +69,7 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
         from docs d left join hits using (doc_id) left join named using (doc_id)
     """,
+    "op3_license_scan": license_sql(),
     "op6_exact_dedup": f"""
         select doc_id,
                max(doc_id) over (partition by norm) as keep_id,
