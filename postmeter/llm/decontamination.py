@@ -218,7 +218,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most: float = 0.0) -> DataFrame:
     """The rows of ``docs`` of whose words at most the share ``most`` are hit."""
-    key = unused_name(docs, "row")
+    key = unused_name(docs, "source_row")
     numbered = keep(docs.withColumn(key, F.monotonically_increasing_id()), "decontaminate")
     bad = contamination(numbered, benchmark, key=key).where(F.col("n_hit") > F.lit(most) * F.col("n_words"))
     return numbered.join(bad.select(key), key, "left_anti").drop(key)
