@@ -34,55 +34,44 @@ def _pieces(text: Column) -> Column:
 
 
 def build_index(docs: DataFrame, path: str | None = None, key: str = "doc_id") -> DataFrame:
-    """Write the postings of ``docs``: ``term, row, pos, key``.
+    """Write the postings of ``docs``: ``term, row, pos``.
 
     ``row`` numbers the rows of ``docs`` as they were read, so repeated and null keys
-    are documents of their own.  Every row has a posting at position 0 that is no word
-    and alone carries its key; words are counted from 1.
+    are documents of their own.  Words are counted from 1.  Every row also has an entry
+    that is no posting: ``pos`` 0 with its key in place of the term, or -1 for a null key.
     """
     # Rows are numbered before they are taken apart.
     numbered = docs.select(
         F.monotonically_increasing_id().alias("row"),
-        docs[f"`{key}`"].alias("key"),
+        docs[f"`{key}`"].cast("long").alias("key"),
         _pieces(docs["text"]).alias("words"),
     )
     words = numbered.select("row", "key", F.posexplode("words").alias("pos", "word")).where(
         "pos = 0 or word <> ''"
     )
     postings = words.select(
-        F.xxhash64("word").alias("term"),
+        F.expr("case when pos > 0 then xxhash64(word) else coalesce(key, 0) end").alias("term"),
         "row",
-        "pos",
-        F.expr("case when pos = 0 then key end").alias("key"),
+        F.expr("case when pos = 0 and key is null then -1 else pos end").alias("pos"),
     )
     return keep(postings.sortWithinPartitions("term"), "postings", path)
 
 
-def phrases(items: DataFrame, window: int = WINDOW, key: str = "item_id") -> DataFrame:
-    """``phrase, terms``: each run of ``window`` words of an item; a shorter item is one run.
-
-    Null or wordless items have none.  Equal runs are one phrase.
-    """
-    words = items.select(
-        items[f"`{key}`"].alias("item"),
+def item_words(items: DataFrame, key: str = "item_id") -> DataFrame:
+    """``item, words`` of the items that have words; ``item`` may be null."""
+    return items.select(
+        items[f"`{key}`"].cast("string").alias("item"),
         F.filter(_pieces(items["text"]), lambda w: w != "").alias("words"),
     ).where("size(words) > 0")
-    return words.select(
-        "item",
-        F.explode(F.expr(f"transform(sequence(1, greatest(1, size(words) - {window - 1})),"
-                         f" i -> slice(words, i, {window}))")).alias("words"),
-    ).distinct()
 
 
-def _terms(runs: DataFrame) -> DataFrame:
-    """``phrase, length, offset, term`` of each distinct run; a phrase is its words."""
-    distinct = runs.select("words").distinct()
-    hashed = distinct.select(
-        F.array_join("words", " ").alias("phrase"),
-        F.size("words").alias("length"),
-        F.posexplode("words").alias("offset", "word"),
+def _terms(sequences: DataFrame) -> DataFrame:
+    """``seq, length, offset, word, term`` of each distinct sequence of words."""
+    return (
+        sequences.select("words").distinct()
+        .select(F.array_join("words", " ").alias("seq"), F.size("words").alias("length"), F.posexplode("words").alias("offset", "word"))
+        .withColumn("term", F.xxhash64("word"))
     )
-    return hashed.withColumn("term", F.xxhash64("word"))
 
 
 def _check_hashes(terms: DataFrame) -> None:
@@ -91,46 +80,49 @@ def _check_hashes(terms: DataFrame) -> None:
         raise ValueError("two test words share a hash; salt the terms")
 
 
-def exact_matches(index: DataFrame, runs: DataFrame) -> DataFrame:
-    """``phrase, length, row, start`` of every occurrence of a run in the index."""
-    terms = keep(_terms(runs), "phrase-terms")
+def exact_matches(index: DataFrame, sequences: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``seq, row, start, length`` of every longest run of a sequence in the index.
+
+    A run has ``window`` words at least, or all words of a shorter sequence; ``seq`` is
+    the sequence as text.  Overlapping windows on one diagonal are one run.
+    """
+    terms = keep(_terms(sequences), "phrase-terms")
     _check_hashes(terms)
+    postings = index.where("pos > 0")
     wanted = terms.select("term").distinct()
-    counts = index.where("pos > 0").groupBy("term").agg(F.count("*").alias("df"))
-    # Terms that do not occur rule out their phrase.
-    ranked = terms.join(counts.join(wanted, "term", "left_semi"), "term", "left")
+    counts = postings.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    # A term that does not occur has no entry here and rules out its windows.
+    counted = terms.join(counts, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    ahead = Window.partitionBy("seq").orderBy("offset").rowsBetween(0, window - 1)
     rarest = (
-        ranked.groupBy("phrase")
-        .agg(
-            F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "offset", "term")).alias("r"),
-            F.first("length").alias("length"),
-        )
+        counted.withColumn("r", F.min(F.struct("df", "offset", "term")).over(ahead))
+        .where(F.col("offset") <= F.greatest(F.lit(0), F.col("length") - window))
         .where("r.df > 0")
-        .select("phrase", "length", F.col("r.offset").alias("at"), F.col("r.term").alias("term"))
+        .groupBy("seq", F.col("r.offset").alias("at"), F.col("r.term").alias("term"))
+        .agg(F.min("offset").alias("low"), (F.max("offset") + window - 1).alias("high"))
     )
     rarest = keep(rarest, "rarest-terms")
-    starts = (
-        index.where("pos > 0")
-        .join(rarest, "term")
-        .select("phrase", "length", "row", (F.col("pos") - F.col("at")).alias("start"))
-        .where("start > 0")
-    )
-    starts = keep(starts, "phrase-starts")
-    # Intersect: each start asks for its other terms at their places.
-    asked = starts.join(terms.select("phrase", "offset", "term"), "phrase").select(
-        "phrase", "length", "row", "start", "term", (F.col("start") + F.col("offset")).alias("pos")
-    )
-    rows = starts.select("row").distinct()
-    near = (
-        index.where("pos > 0")
-        .select("term", "row", "pos")
-        .join(wanted, "term", "left_semi")
-        .join(rows, "row", "left_semi")
-    )
-    agreed = asked.join(near, ["row", "pos", "term"]).groupBy("row", "start", "phrase").agg(
-        F.count("*").alias("n"), F.first("length").alias("length")
+    # The shifted postings of the rarest terms: where the sequence may lie.
+    starts = postings.join(rarest, "term").select(
+        "seq", "row", (F.col("pos") - F.col("at")).alias("diagonal"), "low", "high"
+    )
+    # Intersect: each start asks for the other terms of its windows at their places.
+    asked = (
+        starts.join(terms.select("seq", "length", "offset", "term"), "seq")
+        .where("offset between low and high")
+        .select("seq", "length", "row", "diagonal", "offset", "term", (F.col("diagonal") + F.col("offset")).alias("pos"))
+    )
+    agreed = asked.join(postings.join(wanted, "term", "left_semi"), ["row", "pos", "term"])
+    # Offsets in a row differ from their rank by the same number.
+    order = Window.partitionBy("row", "seq", "diagonal").orderBy("offset")
+    runs = agreed.withColumn("island", F.col("offset") - F.dense_rank().over(order))
+    return (
+        runs.groupBy("row", "seq", "diagonal", "island")
+        .agg(F.min("offset").alias("first"), F.max("offset").alias("last"), F.first("length").alias("whole"))
+        .withColumn("length", F.col("last") - F.col("first") + 1)
+        .where(F.col("length") >= F.least(F.lit(window), F.col("whole")))
+        .select("seq", "row", (F.col("diagonal") + F.col("first")).alias("start"), "length")
     )
-    return agreed.where("n = length").select("phrase", "length", "row", "start")
 
 
 def proximity_matches(index: DataFrame, phrases_of: DataFrame, within: int) -> DataFrame:
@@ -170,8 +162,8 @@ def contamination(
     count once, and an item without id is not listed.
     """
     index = build_index(docs, key=key)
-    runs = keep(phrases(benchmark, window), "phrases")
-    matches = keep(exact_matches(index, runs), "phrase-matches")
+    sequences = keep(item_words(benchmark), "benchmark-words")
+    matches = keep(exact_matches(index, sequences, window), "phrase-matches")
     # Spans of one row in order; a word counts where it is past all earlier spans.
     upto = F.max(F.col("start") + F.col("length") - 1).over(
         Window.partitionBy("row").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
@@ -180,15 +172,15 @@ def contamination(
     hit = spans.groupBy("row").agg(
         F.sum(F.expr("greatest(0, start + length - 1 - greatest(upto, start - 1))")).alias("n_hit")
     )
-    of_phrase = runs.select(F.array_join("words", " ").alias("phrase"), F.col("item").cast("string").alias("item"))
+    named = sequences.where("item is not null").select(F.array_join("words", " ").alias("seq"), "item").distinct()
     items = (
-        matches.select("row", "phrase").distinct()
-        .join(of_phrase.where("item is not null").distinct(), "phrase")
+        matches.select("row", "seq").distinct()
+        .join(named, "seq")
         .groupBy("row")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
     sizes = index.groupBy("row").agg(
-        F.max("key").alias("key"), (F.count("*") - 1).alias("n_words")
+        F.max(F.expr("case when pos = 0 then term end")).alias("key"), (F.count("*") - 1).alias("n_words")
     )
     return (
         sizes.join(hit, "row", "left")

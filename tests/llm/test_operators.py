@@ -212,7 +212,7 @@ def test_proximity(spark):
     index = decontamination.build_index(table(spark, ["alpha x x beta", "alpha x x x x x beta", "beta alpha"]))
     runs = spark.createDataFrame([("p", ["alpha", "beta"])], "phrase string, words array<string>")
     found = decontamination.proximity_matches(index, runs, 3)
-    keys = {r["row"]: r["key"] for r in index.where("pos = 0").collect()}
+    keys = {r["row"]: r["term"] for r in index.where("pos = 0").collect()}
     assert {keys[r["row"]] for r in found.collect()} == {0, 2}
 
 
