@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import gather, text_steps
@@ -139,7 +139,7 @@ def _commonness(docs: DataFrame, words: int) -> np.ndarray:
     return np.where(counts <= usual, 0, np.clip(np.log2(np.maximum(counts - mean, 1)), 1, 60)).astype(np.uint8)
 
 
-_SETS = "row long, doc_id long, n long, c1 long, c2 long, grp long, prefix array<long>, text string"
+_SETS = "row long, doc_id long, n long, c1 long, c2 long, grp long, prefix array<long>, t1 long, t2 long"
 
 
 def _sets(numbered: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
@@ -172,7 +172,8 @@ def _sets(numbered: DataFrame, common: np.ndarray, words: int, percent: int) ->
                             pa.array(np.concatenate([[0], np.cumsum(keeps)]), pa.int32()),
                             pa.array(flat.view(np.int64)),
                         ),
-                        texts.cast(pa.string()),
+                        batch.column(3).slice(start, len(texts)),
+                        batch.column(4).slice(start, len(texts)),
                     ],
                     [c.split()[0] for c in _SETS.split(", ")],
                 )
@@ -249,10 +250,10 @@ def _candidates(postings: DataFrame, percent: int, chain: bool) -> DataFrame:
     return lists.mapInArrow(run, _PAIRS).distinct()
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs of members ``a, b`` that reach the threshold, on their whole sets.
+def _meet(pairs: DataFrame, payload: DataFrame) -> DataFrame:
+    """Sorted groups ``a, part, member, ...`` in which ``a`` itself comes first.
 
-    The text of ``a`` meets those of its partners; a member with many partners is
+    What ``a`` carries meets what its partners carry; a member with many partners is
     split over several groups.
     """
     degree = pairs.groupBy("a").agg(F.count("*").alias("d"))
@@ -262,35 +263,74 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     sent = split.select("a", "part", F.col("b").alias("member")).union(
         split.select("a", "part", F.col("a").alias("member")).distinct()
     )
-    rows = sent.join(texts, "member").select("a", "part", "member", "text")
-    groups = rows.repartition("a", "part").sortWithinPartitions(
+    rows = sent.join(payload, "member").select("a", "part", "member", *payload.drop("member").columns)
+    return rows.repartition("a", "part").sortWithinPartitions(
         "a", "part", F.col("member") != F.col("a"), "member"
     )
 
+
+def _pairs_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _in_common(x: np.ndarray, y: np.ndarray) -> int:
+    """Values that two sorted arrays without repeats share."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(small):
+        return 0
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    return int((large[at] == small).sum())
+
+
+def _overlap_filter(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole prefixes leave the threshold within reach.
+
+    Up to where the shorter prefix ends the shared n-grams are known; past it the pair
+    shares at most what is left of the smaller one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, hub = None, None
+        for batch in batches:
+            heads, parts, members, sizes = (batch.column(i).to_pylist() for i in range(4))
+            offsets = batch.column(4).offsets.to_numpy()
+            values = batch.column(4).values.to_numpy()
+            out = []
+            for i, (head, part, n) in enumerate(zip(heads, parts, sizes)):
+                own = (n, values[offsets[i] : offsets[i + 1]])
+                if (head, part) != key:
+                    key, hub = (head, part), own
+                    continue
+                last = min(hub[1][-1], own[1][-1])
+                known = [p[: np.searchsorted(p, last, "right")] for _, p in (hub, own)]
+                left = min(hub[0] - len(known[0]), n - len(known[1]))
+                if _in_common(*known) + left >= -(-percent * (hub[0] + n) // (100 + percent)):
+                    out.append((head, members[i]))
+            yield _pairs_batch(out)
+
+    return _meet(pairs, prefixes.select("member", "n", "prefix")).mapInArrow(run, _PAIRS)
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs of members ``a, b`` that reach the threshold, on their whole sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, hub = None, None
         for batch in batches:
-            heads = batch.column(0).to_pylist()
-            parts = batch.column(1).to_pylist()
-            members = batch.column(2).to_pylist()
-            out: list[tuple[int, int]] = []
+            heads, parts, members = (batch.column(i).to_pylist() for i in range(3))
+            out = []
             for start, own in text_steps(batch.column(3)):
                 tokens, n = shingle_sets(own, words)
-                for k, members_set in enumerate(np.split(tokens, np.cumsum(n)[:-1])):
-                    i = start + k
+                for i, own_set in enumerate(np.split(tokens, np.cumsum(n)[:-1]), start):
                     if (heads[i], parts[i]) != key:
-                        key, hub = (heads[i], parts[i]), members_set
+                        key, hub = (heads[i], parts[i]), own_set
                         continue
-                    small, large = sorted((hub, members_set), key=len)
-                    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                    both = int((large[at] == small).sum())
-                    if 100 * both >= percent * (len(hub) + len(members_set) - both):
+                    both = _in_common(hub, own_set)
+                    if 100 * both >= percent * (len(hub) + len(own_set) - both):
                         out.append((heads[i], members[i]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"]
-            )
+            yield _pairs_batch(out)
 
-    return groups.mapInArrow(run, _PAIRS)
+    return _meet(pairs, texts).mapInArrow(run, _PAIRS)
 
 
 def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -303,32 +343,48 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     not read; an empty table gives an empty one.
     """
     own = docs.select(docs["doc_id"].cast("long"), text_or_empty(docs).alias("text"))
-    numbered = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    hashes = [F.xxhash64(F.lit(k), "text").alias(f"t{k}") for k in (1, 2)]
+    numbered = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", *hashes)
     common = _commonness(own, words)
     sets = keep(_sets(numbered, common, words, percent), "shingle-sets")
 
-    facts = sets.where("n > 0").select("row", "doc_id", "n", "c1", "c2", "grp")
+    facts = sets.where("n > 0").select("row", "doc_id", "n", "c1", "c2", "grp", "t1", "t2")
     members = keep(
         facts.groupBy("c1", "c2").agg(
-            F.min("row").alias("member"), F.first("n").alias("n"), F.first("grp").alias("grp")
+            F.min("row").alias("member"), F.first("n").alias("n"), F.first("grp").alias("grp"),
+            F.min(F.struct("row", "t1", "t2")).alias("text"),
         ),
         "shingle-members",
     )
     leaders = members.groupBy("grp").agg(F.min("member").alias("row"), F.count("*").alias("members"))
-    prefixes = sets.where("n > 0").select("row", "n", "grp", "prefix").join(leaders.select("row"), "row", "left_semi")
-    exploded = prefixes.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
-    postings = keep(
-        exploded.join(
-            exploded.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "token", "left_semi"
+    prefixes = keep(
+        sets.select("row", "n", "prefix").join(leaders.select("row", "grp"), "row").select(
+            F.col("grp").alias("member"), "n", "prefix"
         ),
+        "group-prefixes",
+    )
+    exploded = prefixes.select(F.col("member").alias("grp"), "n", F.posexplode("prefix").alias("pos", "token"))
+    postings = keep(
+        exploded.withColumn("k", F.count("*").over(Window.partitionBy("token"))).where("k > 1").drop("k"),
         "prefix-postings",
     )
-    texts = sets.select(F.col("row").alias("member"), "text")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Verified pairs; only the texts of members that stand in a pair are fetched."""
+        asked = pairs.select(F.col("a").alias("member")).union(pairs.select("b")).distinct()
+        known = keep(asked.join(members.select("member", "text.t1", "text.t2"), "member"), "asked-members")
+        ids = keep(known.select("t1").distinct(), "asked-texts")
+        texts = keep(
+            own.select(*hashes, "text").join(ids, "t1").join(known, ["t1", "t2"]).select("member", "text"),
+            "member-texts",
+        ).dropDuplicates(["member"])
+        return keep(_verify(pairs, texts, words, percent), "near-links")
 
     def expanded(pairs: DataFrame) -> DataFrame:
         of = members.select("grp", "member")
+        near = keep(_overlap_filter(keep(pairs, "group-pairs"), prefixes, percent), "near-groups")
         return (
-            pairs.join(of.toDF("a", "ma"), "a").join(of.toDF("b", "mb"), "b")
+            near.join(of.toDF("a", "ma"), "a").join(of.toDF("b", "mb"), "b")
             .select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b"))
         )
 
@@ -341,7 +397,7 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     first = expanded(_candidates(postings.withColumns(no_label).select(order), percent, True)).union(
         _candidates(in_group.withColumns(no_label).select(order), percent, True)
     )
-    links = keep(_verify(first.distinct(), texts, words, percent), "near-links")
+    links = linked(keep(first.distinct(), "near-pairs"))
     labels = components(links)
 
     placed = keep(
@@ -367,7 +423,7 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         .join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b")
         .where("ca <> cb").select("a", "b")
     )
-    more = keep(_verify(keep(apart, "near-pairs"), texts, words, percent), "near-links")
+    more = linked(keep(apart, "near-pairs"))
     final = components(links.union(more))
     drop_kept(postings)
 
