@@ -75,29 +75,55 @@ def _line_hash():
     return F.xxhash64(F.lit(1), "line"), F.xxhash64(F.lit(2), "line")
 
 
-_VARIANTS = "h1 long, h2 long, variant long, gone int"
+# Fixed size of the filter that picks the lines to fetch; 1 MB whatever the input.
+FILTER_BITS = 1 << 23
+
+
+def _maybe(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``lines (h1, h2, line)`` that may be in ``wanted (h1, ...)``: all that are, and few more.
+
+    A filter of fixed size goes to every task, so that the lines that nobody asks for
+    are not shuffled; the join that follows is exact.
+    """
+    bit = f"pmod(h1, {FILTER_BITS})"
+    words = wanted.groupBy(F.expr(f"cast({bit} div 64 as int)").alias("word")).agg(
+        F.expr(f"bit_or(shiftleft(1L, cast({bit} % 64 as int)))").alias("bits")
+    ).toArrow()
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = lines.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy() % FILTER_BITS
+            hit = shared.value[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)
+            yield batch.filter(pa.array(hit.astype(bool)))
+
+    return lines.mapInArrow(run, lines.schema)
+
+
+_VARIANTS = "late boolean, doc_id long, row long, pos int, h1 long, h2 long, variant long, gone int"
 
 
 def _variants(lines: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h1, h2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for start, texts in text_steps(batch.column(2), 1 << 20):
+            for start, texts in text_steps(batch.column(6), 1 << 20):
                 hashes = [deletion_hashes(t) for t in texts.to_pylist()]
                 sizes = np.array([len(h) for h in hashes])
                 own = np.repeat(np.arange(start, start + len(texts)), sizes)
                 gone = np.concatenate([np.arange(-1, s - 1, dtype=np.int32) for s in sizes])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(h1[own]),
-                        pa.array(h2[own]),
+                        *[batch.column(i).take(pa.array(own)) for i in range(6)],
                         pa.array(np.concatenate(hashes).view(np.int64)),
                         pa.array(gone),
                     ],
-                    ["h1", "h2", "variant", "gone"],
+                    [c.split()[0] for c in _VARIANTS.split(", ")],
                 )
 
-    return lines.select("h1", "h2", "line").mapInArrow(run, _VARIANTS)
+    found = lines.select("first.*", "h1", "h2", "line").mapInArrow(run, _VARIANTS)
+    return found.select("h1", "h2", F.struct("late", "doc_id", "row", "pos").alias("first"), "variant", "gone")
 
 
 def line_places(docs: DataFrame) -> DataFrame:
@@ -120,17 +146,13 @@ def line_places(docs: DataFrame) -> DataFrame:
     )
     halves = distinct.select("h1", "h2", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("k")).where("k > 1").select("half")
-    asking = keep(
-        halves.join(shared, "half", "left_semi").select("h1", "h2").distinct(), "asking-lines"
-    )
+    some = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
+    asking = keep(distinct.select("h1", "h2", "first").join(some, ["h1", "h2"], "left_semi"), "asking-lines")
     all_lines = docs.select(F.explode(F.split(text_or_empty(docs), "\n")).alias("line")).where("trim(line) <> ''")
     hashed = all_lines.select(*[e.alias(a) for e, a in zip(_line_hash(), ("h1", "h2"))], "line")
-    texts = keep(
-        hashed.join(asking, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line")),
-        "asking-texts",
-    )
-    firsts = distinct.select("h1", "h2", "first").join(asking, ["h1", "h2"], "left_semi")
-    sent = _variants(texts).join(firsts, ["h1", "h2"])
+    once = _maybe(hashed, asking).groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    texts = keep(once.join(asking, ["h1", "h2"]), "asking-texts")
+    sent = _variants(texts)
     # Lines that meet at a variant differ from it by one character each, so the group
     # is as small as the alphabet; no pairs are made.
     mine = F.struct("first", "h1", "h2")
@@ -145,7 +167,7 @@ def line_places(docs: DataFrame) -> DataFrame:
     # The hash is only a meeting place: the edit distance decides.
     pairs = witness.select("h1", "h2", F.col("other.h1").alias("o1"), F.col("other.h2").alias("o2"))
     near = (
-        pairs.join(texts, ["h1", "h2"])
+        pairs.join(texts.drop("first"), ["h1", "h2"])
         .join(texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("earlier")), ["o1", "o2"])
         .where("levenshtein(line, earlier, 1) between 0 and 1")
         .select("h1", "h2", F.lit(True).alias("near"))
