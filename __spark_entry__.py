@@ -107,11 +107,32 @@ def _csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pm.clean_posts(posts)
 
 
+def _csv_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two layouts of columns in one folder."""
+    path = _fresh(spark, "csv_mixed")
+    raw = _raw(spark, sf_dir)
+    for part, columns in ((0, raw.columns), (1, raw.columns[::-1])):
+        own = raw.where(F.col("event_id") % 2 == part).select(*[f"`{c}`" for c in columns])
+        own.write.mode("append").option("header", True).option("escape", '"').csv(path)
+    posts, _ = pm.read_posts_csv(spark, path, multi_line=False)
+    return pm.clean_posts(posts)
+
+
+def _csv_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder per brand, which the files do not name."""
+    path = _fresh(spark, "csv_folders")
+    raw = _raw(spark, sf_dir).withColumnRenamed("Influencer Brand", "influencer_brand")
+    raw.write.partitionBy("influencer_brand").option("header", True).option("escape", '"').csv(path)
+    posts, _ = pm.read_posts_csv(spark, path, multi_line=False)
+    return pm.clean_posts(posts)
+
+
 def _write_ragged(spark: SparkSession, sf_dir: str) -> str:
     """CSV files in which every 101st record is too long and every 103rd too short."""
     path = _fresh(spark, "csv_ragged")
-    raw = _raw(spark, sf_dir).drop("Engagements")
+    raw = _raw(spark, sf_dir)
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in raw.columns]
+    cells = [F.when(c.contains(","), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(c) for c in cells]
     event = F.col("event_id")
     line = (
         F.when(event % 101 == 0, F.concat_ws(",", *cells, F.lit("one too many")))
@@ -126,7 +147,7 @@ def _write_ragged(spark: SparkSession, sf_dir: str) -> str:
 
 def _csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts, _ = pm.read_posts_csv(spark, _write_ragged(spark, sf_dir), multi_line=False)
-    return pm.clean_posts(posts).select("date", "platform", "sentiment", "post_type", "event_id")
+    return pm.clean_posts(posts).select("date", "platform", "sentiment", "engagements", "post_type", "event_id")
 
 
 def _csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +166,28 @@ def _report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(document.schema).json(path)
 
 
+def _report_with_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analyses for some brands, and for one that has no posts."""
+    posts = _posts(spark, sf_dir)
+    brands = posts.select(*BRAND).distinct().where("influencer_brand < 'Brand15'")
+    texts = brands.union(spark.sql("select 'nobody'")).withColumn("analysis", F.concat(F.lit("On "), *BRAND))
+    return pm.report_document(posts, BRAND, texts)
+
+
+def _formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates as day.month.year with an offset, which is ignored."""
+    raw = _raw(spark, sf_dir)
+    day = F.regexp_replace("Date", "^([0-9]{4})-([0-9]{2})-([0-9]{2})$", r"$3.$2.$1 02:30 +07:00")
+    named = pm.normalize_columns(raw.withColumn("Date", day))
+    return pm.parse_dates(named, ["dd.MM.yyyy HH:mm XXX"]).select("event_id", "date")
+
+
+def _fractions(spark: SparkSession, sf_dir: str, by=()) -> DataFrame:
+    """Summary of engagements with fractions, beyond ten million in total."""
+    posts = _posts(spark, sf_dir).withColumn("engagements", F.col("engagements") * 64 + 0.5)
+    return pm.campaign_summary(posts, by).select(*by, "total_posts", "trend", "summary")
+
+
 def _upload_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _fresh(spark, "uploads")
     raw = _raw(spark, sf_dir)
@@ -160,11 +203,13 @@ def _upload_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dominant_labels(posts: DataFrame, by) -> DataFrame:
-    parts = [
-        pm.dominant(posts, c, by).select(*by, F.lit(c).alias("category"), F.col(c).alias("label"), "n")
-        for c in ("sentiment", "media_type", "location")
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """From one label table, so that the posts are read once."""
+    charts = ["sentiment", "media_type", "location"]
+    labels = pm.campaign_cube(posts, by, charts)
+    best = labels.groupBy(*by, F.col("chart").alias("category")).agg(
+        F.expr("min_by(struct(label, n), struct(-n, label)) as best")
+    )
+    return best.select(*by, "category", "best.label", "best.n")
 
 
 def _summary(posts: DataFrame, by) -> DataFrame:
@@ -209,6 +254,7 @@ METRICS: dict[str, Callable] = {
     "media_type_share": lambda p, by: pm.category_share(p, "media_type", by),
     "campaign_cube": pm.campaign_cube,
     "campaign_cube_one_scan": lambda p, by: pm.campaign_cube(p, by, one_scan=True),
+    "campaign_cube_scan_per_chart": lambda p, by: pm.campaign_cube(p, by, one_scan=False),
     "top5_locations": lambda p, by: pm.top_locations(p, 5, by),
     "top3_locations": lambda p, by: pm.top_locations(p, 3, by),
     "sentiment_top3": _top3(_counts("sentiment"), "sentiment", "n"),
@@ -265,15 +311,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "clean_posts": _posts,
         "preview": lambda spark, sf_dir: pm.preview(_posts(spark, sf_dir), 5, "event_id"),
         "csv_source": _csv_source,
+        "csv_mixed_headers": _csv_mixed_headers,
+        "csv_by_folder": _csv_by_folder,
         "csv_ragged": _csv_ragged,
         "csv_rejects": _csv_rejects,
         "clean_table": _clean_table,
         "report_table": _report_table,
+        "report_with_analyses_by_brand": _report_with_analyses,
+        "parse_dates_formats": _formats,
+        "campaign_summary_fractions": _fractions,
+        "campaign_summary_fractions_by_brand": lambda spark, sf_dir: _fractions(spark, sf_dir, BRAND),
         "upload_stream": _upload_stream,
     }
     for name, metric in METRICS.items():
         found[name] = _on_posts(metric, ())
         found[f"{name}_by_brand"] = _on_posts(metric, BRAND)
+    found["cleaning_outcome"] = lambda spark, sf_dir: pm.cleaning_outcome(_marked(spark, sf_dir))
+    found["cleaning_outcome_by_brand"] = lambda spark, sf_dir: pm.cleaning_outcome(_marked(spark, sf_dir), BRAND)
     found |= LLM_QUERIES
     if corpus_pipeline:
         found["pipeline"] = corpus_pipeline.run

@@ -90,7 +90,7 @@ def parse_date(name: str, dtype: T.DataType, formats: Iterable[str] = ()) -> Col
 
     ISO dates and date-times are read as they stand; a zone suffix is accepted
     and ignored.  ``formats`` (Spark datetime patterns) are tried after that, in
-    order, in the session time zone.
+    order; an offset in them is ignored too, whatever the session time zone.
     """
     c = sql_name(name)
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
@@ -99,7 +99,10 @@ def parse_date(name: str, dtype: T.DataType, formats: Iterable[str] = ()) -> Col
         c = f"cast({c} as string)"
     # The match is empty when the form is wrong, and that casts to null.
     tries = [f"try_cast(regexp_extract({c}, {sql_text(ISO_DATE)}, 0) as timestamp_ntz)"] + [
-        f"cast(try_to_timestamp(trim({c}), {sql_text(f)}) as timestamp_ntz)" for f in formats
+        # The first call only tells whether the text fits; the second keeps its wall clock.
+        f"if(try_to_timestamp(trim({c}), {sql_text(f)}) is not null,"
+        f" to_timestamp_ntz(trim({c}), {sql_text(f)}), null)"
+        for f in formats
     ]
     return F.expr(tries[0] if len(tries) == 1 else f"coalesce({', '.join(tries)})")
 
@@ -134,8 +137,11 @@ def whole_text(number: str) -> str:
 
 
 def number_text(number: str) -> str:
-    """SQL for a total as text: without decimals when it is whole."""
-    return f"if({number} % 1 = 0, {whole_text(number)}, cast({number} as string))"
+    """SQL for a total as plain text: without decimals when it is whole, never with an exponent."""
+    # A double with a fraction has at most sixteen digits before the point.
+    plain = f"cast(try_cast(cast({number} as string) as decimal(38,18)) as string)"
+    fraction = f"coalesce(rtrim('0', {plain}), cast({number} as string))"
+    return f"if({number} % 1 = 0, {whole_text(number)}, {fraction})"
 
 
 def percent_text(n: str, total: str) -> str:

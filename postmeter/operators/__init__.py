@@ -2,6 +2,7 @@
 
 from .clean import (
     clean_posts,
+    cleaning_outcome,
     drop_invalid_dates,
     fill_categories,
     fill_engagements,
@@ -15,6 +16,7 @@ from .metrics import (
     category_counts,
     category_share,
     daily_engagement,
+    label_table,
     platform_engagement,
     total_posts,
 )
@@ -27,12 +29,14 @@ __all__ = [
     "category_counts",
     "category_share",
     "clean_posts",
+    "cleaning_outcome",
     "daily_engagement",
     "daily_trend",
     "dominant",
     "drop_invalid_dates",
     "fill_categories",
     "fill_engagements",
+    "label_table",
     "lowest_day",
     "normalize_columns",
     "null_tokens",

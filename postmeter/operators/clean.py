@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
+    NUMBER,
     normalized_names,
     null_if_token,
     parse_date,
@@ -86,3 +87,29 @@ def clean_posts(raw: DataFrame, formats: Iterable[str] = ()) -> DataFrame:
     posts = normalize_columns(raw)
     steps = {**_date(posts, formats), **_engagements(posts), **_categories(posts)}
     return drop_invalid_dates(posts.withColumns(steps))
+
+
+def cleaning_outcome(
+    raw: DataFrame, by: Iterable[str] = (), formats: Iterable[str] = ()
+) -> DataFrame:
+    """What cleaning does to ``raw``, in one aggregate, per campaign if ``by`` is given.
+
+    ``rows_in``, ``rows_without_date`` (dropped), ``rows_kept``, ``bad_engagements`` (kept
+    rows whose value is no finite number and became 0), ``null_engagements`` (likewise
+    null), and ``engagements_absent``.  ``rows_kept`` 0 means that nothing valid is left.
+    """
+    posts = normalize_columns(raw)
+    absent = "engagements" not in posts.columns
+    text = "engagements" if not absent else "cast(null as string)"
+    steps = {**_date(posts, formats), **_engagements(posts), **_categories(posts)}
+    marked = posts.withColumn("_given", F.expr(f"cast({text} as string)")).withColumns(steps)
+    bad = f"_given is not null and not coalesce(rlike(_given, {sql_text(NUMBER)}) and abs(try_cast(_given as double)) < double('infinity'), false)"
+    kept = "date is not null"
+    return marked.groupBy(*[quoted(c) for c in by]).agg(
+        F.count("*").alias("rows_in"),
+        F.count_if(F.expr("date is null")).alias("rows_without_date"),
+        F.count_if(F.expr(kept)).alias("rows_kept"),
+        F.count_if(F.expr(f"{kept} and {bad}")).alias("bad_engagements"),
+        F.count_if(F.expr(f"{kept} and _given is null")).alias("null_engagements"),
+        F.lit(absent).alias("engagements_absent"),
+    )

@@ -8,7 +8,7 @@ task and needs no salting.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,9 +28,13 @@ CHARTS = {
 }
 
 
-def by_columns(df: DataFrame, by: By) -> list[Column]:
+def by_columns(df: DataFrame, by: By, results: Collection[str] = ()) -> list[Column]:
+    """The columns ``by``; they must exist and differ from the names in ``results``."""
     if isinstance(by, str):
         raise TypeError("by takes a list of column names")
+    clash = sorted({c.lower() for c in by} & {r.lower() for r in results})
+    if clash:
+        raise ValueError(f"by columns need another name: {', '.join(clash)}")
     missing = [c for c in by if c not in df.columns]
     if missing:
         raise ValueError(f"by columns not found: {', '.join(missing)}")
@@ -39,28 +43,28 @@ def by_columns(df: DataFrame, by: By) -> list[Column]:
 
 def total_posts(df: DataFrame, by: By = ()) -> DataFrame:
     """Number of posts."""
-    return df.groupBy(*by_columns(df, by)).agg(F.count("*").alias("n"))
+    return df.groupBy(*by_columns(df, by, ["n"])).agg(F.count("*").alias("n"))
 
 
 def category_counts(
     df: DataFrame, category: str, by: By = (), ordered: bool = False
 ) -> DataFrame:
     """Posts per label of ``category``; ``ordered`` sorts by count, then label."""
-    keys = by_columns(df, by)
+    keys = by_columns(df, by, [category, "n"])
     counts = df.groupBy(*keys, F.col(category)).agg(F.count("*").alias("n"))
     return counts.orderBy(*keys, F.desc("n"), category) if ordered else counts
 
 
 def platform_engagement(df: DataFrame, by: By = (), ordered: bool = False) -> DataFrame:
     """Engagement total per platform; ``ordered`` puts the largest first."""
-    keys = by_columns(df, by)
+    keys = by_columns(df, by, ["platform", "engagements"])
     sums = df.groupBy(*keys, F.col("platform")).agg(F.sum("engagements").alias("engagements"))
     return sums.orderBy(*keys, F.desc("engagements"), "platform") if ordered else sums
 
 
 def daily_engagement(df: DataFrame, by: By = (), ordered: bool = False) -> DataFrame:
     """Engagement total per calendar day that has posts; ``ordered`` sorts by day."""
-    keys = by_columns(df, by)
+    keys = by_columns(df, by, ["day", "engagements"])
     sums = df.groupBy(*keys, F.to_date("date").alias("day")).agg(
         F.sum("engagements").alias("engagements")
     )
@@ -69,7 +73,7 @@ def daily_engagement(df: DataFrame, by: By = (), ordered: bool = False) -> DataF
 
 def category_share(df: DataFrame, category: str, by: By = ()) -> DataFrame:
     """Posts per label and their share of the campaign's posts."""
-    keys = by_columns(df, by)
+    keys = by_columns(df, by, [category, "n", "share"])
     counts = category_counts(df, category, by)
     if not by:
         total = counts.agg(F.sum("n")).scalar()
@@ -89,63 +93,73 @@ def category_share(df: DataFrame, category: str, by: By = ()) -> DataFrame:
 
 
 # Column names of the cube and of the tables made from it.
-_CUBE_COLUMNS = {"chart", "label", "n", "engagements", "value"}
+_CUBE_COLUMNS = ("chart", "label", "n", "engagements", "value", "lowest")
+# Charts of the cube that are no charts of the page: all posts, and their exact dates.
+TOTAL, MOMENT = "total", "moment"
 
 
 def _chart_rows(df: DataFrame, chart: str, by: By) -> DataFrame:
-    key = "to_date(date)" if chart == "day" else sql_name(chart)
+    key = {"day": "to_date(date)", TOTAL: "cast(null as string)", MOMENT: "date"}.get(chart, sql_name(chart))
     sums = df.groupBy(*by_columns(df, by), F.expr(f"{key} as _label")).agg(
-        F.expr("count(*) as n"), F.expr("sum(engagements) as engagements")
+        F.expr("count(*) as n"), F.expr("sum(engagements) as engagements"), F.expr("min(engagements) as lowest")
     )
     # The day text is made from the few days, not for every post.
-    label = day_text("_label") if chart == "day" else "_label"
+    label = {"day": day_text("_label"), MOMENT: "cast(_label as string)"}.get(chart, "_label")
     own = [sql_name(c) for c in by]
-    return sums.selectExpr(*own, f"'{chart}' as chart", f"{label} as label", "n", "engagements")
+    return sums.selectExpr(
+        *own, f"'{chart}' as chart", f"{label} as label", "n", "engagements", "lowest"
+    )
 
 
-def campaign_cube(
-    df: DataFrame, by: By = (), charts: Sequence[str] = tuple(CHARTS), one_scan: bool = False
+def label_table(
+    df: DataFrame, by: By = (), charts: Sequence[str] = (*CHARTS, TOTAL), one_scan: bool = True
 ) -> DataFrame:
-    """Posts and engagements per label of every chart, in one table.
-
-    Rows are ``(by, chart, label, n, engagements)``; the label of a day is its
-    ISO text.  The default aggregates each chart from the columns it needs:
-    on a columnar table that reads every chart column once, and it measured
-    from equally fast to four times faster than copying each row once per
-    chart.  ``one_scan`` takes the copying plan (grouping sets), for sources
-    where reading again costs more.
+    """The cube with the lowest engagements per label, which trends by post need.
+
+    Everything that reads several charts takes this table as ``labels``, so that one
+    kept table serves insights, report, summary and prompts.
     """
-    clash = _CUBE_COLUMNS & set(by)
-    if clash:
-        raise ValueError(f"by columns need another name: {', '.join(sorted(clash))}")
+    keys = by_columns(df, by, _CUBE_COLUMNS)
     if not one_scan:
         return reduce(DataFrame.unionByName, [_chart_rows(df, c, by) for c in charts])
-    keys = by_columns(df, by)
-    own = {chart: f"_{chart}" for chart in charts}
+    own = {chart: f"_{chart}" for chart in charts if chart != TOTAL}
     wide = df.select(
         *keys,
         "engagements",
         *[
-            (F.to_date("date") if chart == "day" else F.col(chart)).alias(name)
+            F.expr({"day": "to_date(date)", MOMENT: "date"}.get(chart, sql_name(chart))).alias(name)
             for chart, name in own.items()
         ],
     )
-    cube = wide.groupingSets(
-        [[*keys, F.col(name)] for name in own.values()], *keys, *[F.col(n) for n in own.values()]
-    ).agg(
+    sets = [[*keys, F.col(name)] for name in own.values()] + ([keys] if TOTAL in charts else [])
+    cube = wide.groupingSets(sets, *keys, *[F.col(n) for n in own.values()]).agg(
         F.grouping_id().alias("_set"),
         F.count("*").alias("n"),
         F.sum("engagements").alias("engagements"),
+        F.min("engagements").alias("lowest"),
     )
     # In the id, the last grouping column is the lowest bit, set when it is left out.
     everything = 2 ** len(own) - 1
-    chart_of = F.lit(None).cast("string")
+    chart_of = F.lit(TOTAL) if TOTAL in charts else F.lit(None).cast("string")
     label_of = F.lit(None).cast("string")
     for i, (chart, name) in enumerate(own.items()):
         left_in = F.col("_set") == F.lit(everything - 2 ** (len(own) - 1 - i))
-        text = F.expr(day_text(name)) if chart == "day" else F.col(name)
+        text = F.expr({"day": day_text(name), MOMENT: f"cast({name} as string)"}.get(chart, name))
         chart_of = F.when(left_in, F.lit(chart)).otherwise(chart_of)
         label_of = F.when(left_in, text).otherwise(label_of)
-    return cube.select(
-        *keys, chart_of.alias("chart"), label_of.alias("label"), "n", "engagements"
+    # Without posts the empty grouping set would still give a row.
+    return cube.where("n > 0").select(
+        *keys, chart_of.alias("chart"), label_of.alias("label"), "n", "engagements", "lowest"
     )
+
+
+def campaign_cube(
+    df: DataFrame, by: By = (), charts: Sequence[str] = (*CHARTS, TOTAL), one_scan: bool = True
+) -> DataFrame:
+    """Posts and engagements per label of every chart, and in total, in one table.
+
+    Rows are ``(by, chart, label, n, engagements)``; the label of a day is its ISO
+    text, that of the total is null.  The default reads the input once (grouping
+    sets); ``one_scan=False`` aggregates each chart by a scan of its own.
+    """
+    return label_table(df, by, charts, one_scan).drop("lowest")

@@ -21,17 +21,37 @@ def direction(first: str, last: str, flat: str) -> str:
 def post_trend(df: DataFrame, by: By = (), order_col: str | None = None) -> DataFrame:
     """Engagements of the first and the last post by date.
 
-    Posts on the same date are told apart by ``order_col``; without it the one
-    with the fewest engagements is taken at both ends.
+    Posts on the same date are told apart by ``order_col``; without it the one with
+    the fewest engagements is taken at both ends.  That needs one row per campaign and
+    date only, so no post is sorted; ``order_col`` compares whole posts, which Spark
+    sorts within each task.
     """
-    tie = f"{sql_name(order_col)}, " if order_col else ""
-    out = df.groupBy(*by_columns(df, by)).agg(
+    keys = by_columns(df, by, _POST_TREND)
+    if order_col is None:
+        moments = df.groupBy(*keys, F.col("date").alias("_date")).agg(
+            F.count("*").alias("_n"), F.min("engagements").alias("_lowest")
+        )
+        return trend_of_moments(moments, by)
+    tie = sql_name(order_col)
+    out = df.groupBy(*keys).agg(
         F.expr("count(*) as n_posts"),
-        F.expr(f"min_by(engagements, struct(date, {tie}engagements)) as first_engagements"),
-        F.expr(f"max_by(engagements, struct(date, {tie}-engagements)) as last_engagements"),
+        F.expr(f"min_by(engagements, struct(date, {tie}, engagements)) as first_engagements"),
+        F.expr(f"max_by(engagements, struct(date, {tie}, -engagements)) as last_engagements"),
     )
-    trend = direction("first_engagements", "last_engagements", "none")
-    return out.withColumn("trend", F.expr(trend))
+    return out.withColumn("trend", F.expr(direction("first_engagements", "last_engagements", "none")))
+
+
+_POST_TREND = ("n_posts", "first_engagements", "last_engagements", "trend")
+
+
+def trend_of_moments(moments: DataFrame, by: By) -> DataFrame:
+    """Post trend from ``(by, _date, _n, _lowest)``, one row per campaign and date."""
+    out = moments.groupBy(*[sql_name(c) for c in by]).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_posts"),
+        F.expr("min_by(_lowest, _date) as first_engagements"),
+        F.expr("max_by(_lowest, _date) as last_engagements"),
+    )
+    return out.withColumn("trend", F.expr(direction("first_engagements", "last_engagements", "none")))
 
 
 def daily_trend(df: DataFrame, by: By = ()) -> DataFrame:
@@ -39,7 +59,8 @@ def daily_trend(df: DataFrame, by: By = ()) -> DataFrame:
 
     ``trend`` has four values; ``is_rising`` is null with fewer than two days.
     """
-    out = daily_engagement(df, by).groupBy(*by_columns(df, by)).agg(
+    keys = by_columns(df, by, ["n_days", "first_engagements", "last_engagements", "trend", "is_rising"])
+    out = daily_engagement(df, by).groupBy(*keys).agg(
         F.expr("count(*) as n_days"),
         F.expr("min_by(engagements, day) as first_engagements"),
         F.expr("max_by(engagements, day) as last_engagements"),

@@ -99,7 +99,10 @@ def _day_insights() -> str:
 
 
 def campaign_insights(
-    df: DataFrame, by: By = (), charts: Sequence[str] = tuple(CHARTS)
+    df: DataFrame | None,
+    by: By = (),
+    charts: Sequence[str] = tuple(CHARTS),
+    labels: DataFrame | None = None,
 ) -> DataFrame:
     """The insights of the given charts.
 
@@ -107,11 +110,14 @@ def campaign_insights(
     best labels per chart come from a rank that Spark limits before the
     shuffle; totals and day extremes come from a ``groupBy``, over the charts
     that need them.  No task ever holds all labels of a campaign, and both read
-    the same shuffle.
+    the same shuffle of one scan.  ``labels`` (from ``label_table`` or
+    ``campaign_cube``) takes the place of the posts.
     """
-    keys = by_columns(df, by)
+    table = campaign_cube(df, by, charts) if labels is None else labels
+    keys = by_columns(table, by)
     group = [*keys, F.col("chart")]
-    labels = campaign_cube(df, by, charts).withColumn("value", F.expr(CHART_VALUE))
+    wanted = ", ".join(sql_text(c) for c in charts)
+    labels = table.where(f"chart in ({wanted})").withColumn("value", F.expr(CHART_VALUE))
     order = Window.partitionBy(*group).orderBy(F.desc("value"), F.asc("label"))
     # The count rides along so that both readers of the labels need the same
     # columns, which is what lets Spark reuse the shuffle.
@@ -124,9 +130,8 @@ def campaign_insights(
     with_facts = [c for c in charts if c in WITH_SHARE or c == "day"]
     facts = []
     if with_facts:
-        of_charts = campaign_cube(df, by, with_facts).withColumn("value", F.expr(CHART_VALUE))
         top = top.unionByName(
-            of_charts.groupBy(*group).agg(
+            labels.groupBy(*group).agg(
                 F.expr("sum(n) as _posts"),
                 F.expr("count(*) as _labels"),
                 F.expr("min_by(value, label) as _first"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,11 @@ FINDINGS_HEADING = "Main findings"
 FOOTER = "End of report"
 
 
-def _campaign_bests(df: DataFrame, by: By) -> DataFrame:
+def campaign_bests(df: DataFrame | None, by: By, labels: DataFrame | None = None) -> DataFrame:
     """Per campaign: the leading label of each chart, and the first and last day's totals."""
-    keys = by_columns(df, by)
-    labels = campaign_cube(df, by).withColumn("value", F.expr(CHART_VALUE))
+    table = campaign_cube(df, by) if labels is None else labels
+    keys = by_columns(table, by, ["position", "code", "section", "text"])
+    labels = table.withColumn("value", F.expr(CHART_VALUE))
     per_chart = labels.groupBy(*keys, "chart").agg(
         F.expr("count(*) as labels"),
         F.expr("min_by(label, struct(-value, label)) as best"),
@@ -43,7 +46,7 @@ FINDINGS = {
     "dominant_sentiment": "concat('Dominant sentiment: ', _sentiment, '.')",
     "engagement_trend": (
         "if(_days >= 2, if(_last > _first, 'Engagement is rising overall.',"
-        " 'Engagement is level or falling overall.'), null)"
+        " 'The last day brought no more engagement than the first.'), null)"
     ),
     "best_platform": "concat('Best performing platform: ', _platform, '.')",
     "main_media_type": "concat('Main media type: ', _media_type, '.')",
@@ -62,49 +65,66 @@ def _lines(df: DataFrame, by: By, field: str, lines: list[tuple[int, str, str]])
     )
 
 
-def report_lines(df: DataFrame, by: By = ()) -> DataFrame:
+def report_lines(df: DataFrame | None, by: By = (), labels: DataFrame | None = None) -> DataFrame:
     """Up to five one-line findings per campaign, in order.
 
     The trend line is left out with fewer than two days; its position stays free.
     """
     lines = [(i, c, t) for i, (c, t) in enumerate(FINDINGS.items(), start=1)]
-    return _lines(_campaign_bests(df, by), by, "code", lines)
+    return _lines(campaign_bests(df, by, labels), by, "code", lines)
 
 
 def report_document(
-    df: DataFrame, by: By = (), analysis: str | DataFrame | None = None
+    df: DataFrame | None,
+    by: By = (),
+    analysis: str | DataFrame | None = None,
+    labels: DataFrame | None = None,
 ) -> DataFrame:
     """Every line of the report: title, analysis, findings, footer.
 
-    ``analysis`` is the text an analyst or a language model wrote: one text, or
-    a table ``(by, analysis)`` with one row per campaign.
+    The title names the campaign.  ``analysis`` is the text an analyst or a language
+    model wrote: one text, or a table ``(by, analysis)``.  A campaign without a row in it
+    has neither the text nor its heading; a row without a campaign is left out; two for
+    one campaign make the read fail.
     """
-    lines = [(1, "title", sql_text(TITLE))]
-    if analysis is not None:
-        lines.append((2, "analysis_heading", sql_text(ANALYSIS_HEADING)))
-    if isinstance(analysis, str):
-        lines.append((3, "analysis", sql_text(analysis)))
-    lines.append((4, "findings_heading", sql_text(FINDINGS_HEADING)))
-    lines += [(i, "finding", t) for i, t in enumerate(FINDINGS.values(), start=5)]
-    lines.append((10, "footer", sql_text(FOOTER)))
-    document = _lines(_campaign_bests(df, by), by, "section", lines)
-    if not isinstance(analysis, DataFrame):
-        return document
-    keys = by_columns(analysis, by)
-    return document.unionByName(
-        analysis.select(
-            *keys,
-            F.lit(3).alias("position"),
-            F.lit("analysis").alias("section"),
-            F.col("analysis").alias("text"),
+    bests = campaign_bests(df, by, labels)
+    own = [sql_name(c) for c in by]
+    if isinstance(analysis, DataFrame):
+        checked = analysis.groupBy(*by_columns(analysis, by)).agg(
+            F.expr(
+                "if(count(*) > 1, cast(raise_error('two analyses for one campaign') as string),"
+                " max(analysis)) as _analysis"
+            )
         )
-    )
+        if by:
+            same = reduce(
+                lambda a, b: a & b, [F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}")) for c in own]
+            )
+            bests = bests.alias("b").join(checked.alias("a"), same, "left").select("b.*", "a._analysis")
+        else:
+            bests = bests.join(checked, how="left")
+    else:
+        bests = bests.withColumn("_analysis", F.lit(analysis).cast("string"))
+    names = ", ', ', ".join(f"coalesce(cast({c} as string), '')" for c in own)
+    title = f"concat({sql_text(TITLE + ': ')}, {names})" if by else sql_text(TITLE)
+    lines = [
+        (1, "title", title),
+        (2, "analysis_heading", f"if(_analysis is null, null, {sql_text(ANALYSIS_HEADING)})"),
+        (3, "analysis", "_analysis"),
+        (4, "findings_heading", sql_text(FINDINGS_HEADING)),
+        *[(i, "finding", t) for i, t in enumerate(FINDINGS.values(), start=5)],
+        (10, "footer", sql_text(FOOTER)),
+    ]
+    return _lines(bests, by, "section", lines)
 
 
 def write_report(
     document: DataFrame, path: str, by: By = (), fmt: str = "json", mode: str = "errorifexists"
 ) -> None:
-    """Write report lines in order as ``json``, ``parquet`` or plain ``text``."""
+    """Write report lines in order as ``json``, ``parquet`` or plain ``text``.
+
+    In the text form the title line of each report says whose it is.
+    """
     ordered = document.orderBy(*by_columns(document, by), "position")
     if fmt == "text":
         ordered = ordered.select("text")

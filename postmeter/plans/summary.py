@@ -5,45 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import number_text, quoted, sql_name, sql_text
-from ..operators.metrics import By, by_columns, campaign_cube
+from ..functions.columns import number_text, sql_name, sql_text
+from ..operators.metrics import MOMENT, By, by_columns, label_table
 from ..operators.ranking import ranked
-from ..operators.trends import post_trend
+from ..operators.trends import post_trend, trend_of_moments
 from .insights import CHART_VALUE
+from .report import campaign_bests
 
 TREND_TEXTS = {
     "rising": "engagement rises over the campaign",
     "falling": "engagement falls over the campaign",
-    "none": "no clear engagement trend",
+    "none": "first and last post are level",
 }
-NO_DATA = "No data is available."
+NO_DATA = "There are no posts to describe."
+# What the prompt asks for, unless the caller says otherwise.
 REQUEST = (
-    "Summarise the five charts above in two paragraphs at most. Then give three campaign "
-    "recommendations that can be acted on to improve the strategy from here."
+    "Write a short briefing on this campaign for its owner. State what the numbers above show, "
+    "and close with three next steps, each tied to one of them."
 )
 
 
-def summary_facts(df: DataFrame, by: By = (), order_col: str | None = None) -> DataFrame:
+def summary_facts(
+    df: DataFrame | None, by: By = (), order_col: str | None = None, labels: DataFrame | None = None
+) -> DataFrame:
     """Per campaign: number of posts, post trend, and the label totals, best first.
 
     ``_sentiment``, ``_platform`` and ``_media_type`` hold every label, because
     the summary lists every label; ``_location`` holds three.  Posts are
-    aggregated to labels before anything is collected.
+    aggregated to labels before anything is collected.  ``labels`` is a
+    ``label_table`` with the chart of moments; then the posts are read only if
+    ``order_col`` is given.
     """
-    keys = by_columns(df, by)
-    labels = campaign_cube(df, by, ["sentiment", "platform", "media_type"]).withColumn(
-        "value", F.expr(CHART_VALUE)
-    )
-    places = campaign_cube(df, by, ["location"]).withColumn("value", F.expr(CHART_VALUE))
-    top_places = ranked(places, "label", "value", 3, by)
+    charts = ["sentiment", "platform", "media_type", "location", *([] if order_col else [MOMENT])]
+    table = label_table(df, by, charts) if labels is None else labels
+    keys = by_columns(table, by)
+    valued = table.withColumn("value", F.expr(CHART_VALUE)).select(*keys, "chart", "label", "value")
+    listed = valued.where("chart in ('sentiment', 'platform', 'media_type')")
+    top_places = ranked(valued.where("chart = 'location'"), "label", "value", 3, by)
     lists = (
-        labels.select(*keys, "chart", "label", "value")
-        .unionByName(top_places.select(*keys, "chart", "label", "value"))
+        listed.unionByName(top_places.select(*keys, "chart", "label", "value"))
         .groupBy(*keys, "chart")
         .agg(F.expr("array_sort(collect_list(struct(-value as minus, label, value))) as _list"))
     )
+    if order_col:
+        trend = post_trend(df, by, order_col)
+    else:
+        moments = table.where(f"chart = '{MOMENT}'").select(
+            *keys, F.expr("cast(label as timestamp_ntz) as _date"), F.col("n").alias("_n"), F.col("lowest").alias("_lowest")
+        )
+        trend = trend_of_moments(moments, by)
     # At most five rows per campaign meet here.
-    both = lists.unionByName(post_trend(df, by, order_col), allowMissingColumns=True)
+    both = lists.unionByName(trend, allowMissingColumns=True)
     return both.groupBy(*keys).agg(
         F.expr("max(n_posts) as n_posts"),
         F.expr("max(trend) as trend"),
@@ -80,7 +92,7 @@ def _summary_text() -> str:
 
 def _findings_text() -> str:
     best = ", '; ', ".join(
-        f"{sql_text(words)}, get(_{c}, 0).label"
+        f"{sql_text(words)}, _{c}"
         for c, words in (
             ("sentiment", "leading sentiment: "),
             ("platform", "platform with most engagement: "),
@@ -91,14 +103,20 @@ def _findings_text() -> str:
     return f"concat({best})"
 
 
-def campaign_summary(df: DataFrame, by: By = (), order_col: str | None = None) -> DataFrame:
-    """Totals, label maps, top three locations and post trend of each campaign."""
+def campaign_summary(
+    df: DataFrame | None, by: By = (), order_col: str | None = None, labels: DataFrame | None = None
+) -> DataFrame:
+    """Totals, label maps, top three locations and post trend of each campaign.
+
+    The maps hold every label of a campaign, by contract; ``campaign_cube`` has the
+    same numbers as rows, without that limit.
+    """
 
     def as_map(c: str, kind: str, name: str) -> str:
         pairs = f"transform(_{c}, e -> struct(e.label, cast(e.value as {kind})))"
         return f"map_from_entries({pairs}) as {name}"
 
-    return summary_facts(df, by, order_col).selectExpr(
+    return summary_facts(df, by, order_col, labels).selectExpr(
         *[sql_name(c) for c in by],
         "n_posts as total_posts",
         as_map("sentiment", "bigint", "sentiment_counts"),
@@ -110,24 +128,36 @@ def campaign_summary(df: DataFrame, by: By = (), order_col: str | None = None) -
     )
 
 
-def prompt_findings(df: DataFrame, by: By = ()) -> DataFrame:
+def prompt_findings(
+    df: DataFrame | None, by: By = (), labels: DataFrame | None = None
+) -> DataFrame:
     """The leading label of four charts in one line per campaign."""
-    return campaign_prompts(df, by).select(*[quoted(c) for c in by], "findings")
+    bests = campaign_bests(df, by, labels)
+    return bests.selectExpr(*[sql_name(c) for c in by], f"{_findings_text()} as findings")
 
 
-def campaign_prompts(df: DataFrame, by: By = (), order_col: str | None = None) -> DataFrame:
+def campaign_prompts(
+    df: DataFrame | None,
+    by: By = (),
+    order_col: str | None = None,
+    labels: DataFrame | None = None,
+    request: str = REQUEST,
+) -> DataFrame:
     """Summary, findings and request as one prompt per campaign with posts."""
     own = [sql_name(c) for c in by]
+    leading = ", ".join(
+        f"get(_{c}, 0).label as _{c}" for c in ("sentiment", "platform", "media_type", "location")
+    )
     texts = (
-        summary_facts(df, by, order_col)
+        summary_facts(df, by, order_col, labels)
         .filter("n_posts > 0")
-        .selectExpr(*own, f"{_summary_text()} as summary", f"{_findings_text()} as findings")
+        .selectExpr(*own, f"{_summary_text()} as summary", f"inline(array(struct({leading})))")
+        .selectExpr(*own, "summary", f"{_findings_text()} as findings")
     )
     heading, middle = sql_text("Summary of the campaign data:\n"), sql_text("\n\nMain findings: ")
-    request = sql_text("\n\n" + REQUEST)
     return texts.selectExpr(
         *own,
         "summary",
         "findings",
-        f"concat({heading}, summary, {middle}, findings, {request}) as prompt",
+        f"concat({heading}, summary, {middle}, findings, {sql_text(chr(10) * 2 + request)}) as prompt",
     )

@@ -6,9 +6,11 @@ value stays text until the cleaner looks at it.
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,7 +68,9 @@ def _is_long(headers: Sequence[str]) -> Column:
     )
 
 
-def _split(read: DataFrame, headers: Sequence[str], strict: bool) -> tuple[DataFrame, DataFrame]:
+def _split(
+    read: DataFrame, headers: Sequence[str], strict: bool, folders: Sequence[Column] = ()
+) -> tuple[DataFrame, DataFrame]:
     """Posts under their normalised names, and the records that do not fit."""
     too_long = _is_long(headers)
     if strict:
@@ -77,7 +81,7 @@ def _split(read: DataFrame, headers: Sequence[str], strict: bool) -> tuple[DataF
     else:
         keep = ~too_long
     posts = read.filter(keep).select(
-        *[quoted(h).alias(n) for h, n in zip(headers, normalized_names(headers))]
+        *[quoted(h).alias(n) for h, n in zip(headers, normalized_names(headers))], *folders
     )
     rejects = read.filter(too_long).select(
         F.col("_metadata.file_path").alias("file"),
@@ -87,38 +91,62 @@ def _split(read: DataFrame, headers: Sequence[str], strict: bool) -> tuple[DataF
     return null_tokens(posts), rejects
 
 
-def _header(spark: SparkSession, file: str) -> tuple[str, ...] | None:
-    first = (
-        spark.read.option("header", False).option("multiLine", True).option("escape", '"')
-        .csv(file).first()
-    )
-    if first is None:
-        return None
-    return tuple(h if h else f"_c{i}" for i, h in enumerate(first))
-
-
-def _layouts(
-    spark: SparkSession, path: str, header_files: int
-) -> tuple[dict[tuple[str, ...], list[str]], bool]:
-    """Header -> files, and whether every file was looked at."""
+def _files(spark: SparkSession, path: str, recursive: bool) -> tuple[list[str], list[str]]:
+    """The ``.csv`` files with content, and the names of ``name=value`` folders above them."""
     listing = (
-        spark.read.format("binaryFile").option("pathGlobFilter", ONLY_CSV).load(path)
-        .filter("length > 0").select("path")
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", ONLY_CSV)
+        .option("recursiveFileLookup", True)
+        .load(path)
+        .filter("length > 0")
     )
-    files = sorted(r["path"] for r in listing.limit(header_files + 1).collect())
+    files = sorted(r["path"] for r in listing.select("path").collect())
     if not files:
         raise ValueError(f"no .csv file with content in {path}")
-    complete = len(files) <= header_files
-    to_read = files if complete else files[:1]
-    with ThreadPoolExecutor(8) as pool:
-        headers = list(pool.map(lambda f: _header(spark, f), to_read))
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    base = jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(jvm_path)
+    depth = len([p for p in base.toUri().getPath().split("/") if p])
+    names: dict[str, None] = {}
+    for file in files:
+        inner = [p for p in file.split(":", 1)[-1].split("/") if p][depth:-1]
+        for folder in inner:
+            if "=" in folder:
+                names[folder.split("=", 1)[0]] = None
+            elif not recursive:
+                raise ValueError(f"{folder} holds .csv files; read it too with recursive=True")
+    return files, list(names)
+
+
+def _folder_value(name: str) -> Column:
+    """Value of a ``name=value`` folder above the file, null if there is none."""
+    def decoded(text: Column) -> Column:
+        return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+
+    # The path is encoded as a whole, and writers escape the values in it.
+    file = decoded(F.col("_metadata.file_path"))
+    value = decoded(F.regexp_extract(file, f"/{re.escape(name)}=([^/]*)/", 1))
+    return F.when(~value.isin("", "__HIVE_DEFAULT_PARTITION__"), value).alias(normalized_names([name])[0])
+
+
+def _layouts(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Header -> files, from the first line of every file, read in one job.
+
+    Only the part of a file that starts it gives its first line, so ``first`` sees the
+    lines in order.
+    """
+    lines = spark.read.text(files).where("trim(value) <> '' and _metadata.file_block_start = 0")
+    firsts = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.first("value").alias("line"))
     layouts: dict[tuple[str, ...], list[str]] = {}
-    for file, header in zip(to_read, headers):
-        if header is not None:
-            layouts.setdefault(header, []).append(file)
+    for row in firsts.orderBy("file").collect():
+        line = row["line"].removeprefix("\ufeff")
+        if line.count('"') % 2:
+            raise ValueError(f"a header with a line break; give headers for {row['file']}")
+        header = tuple(h if h else f"_c{i}" for i, h in enumerate(next(csv.reader([line]))))
+        # This column is encoded, what a reader is given is not.
+        layouts.setdefault(header, []).append(unquote(row["file"]))
     if not layouts:
-        raise ValueError(f"no header in {path}")
-    return layouts, complete
+        raise ValueError("no header in any file")
+    return layouts
 
 
 def read_posts_csv(
@@ -126,7 +154,8 @@ def read_posts_csv(
     path: str,
     strict: bool = False,
     multi_line: bool = True,
-    header_files: int = 256,
+    headers: Sequence[str] | None = None,
+    recursive: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Read the ``.csv`` files of ``path``: ``(posts, rejects)``.
 
@@ -134,24 +163,31 @@ def read_posts_csv(
     records with too many cells go to ``rejects``, or make the read of the posts
     fail with ``strict``.
 
-    Up to ``header_files`` files, every header is read first, so the files may
-    hold different columns in different orders.  In a larger folder all must
-    have the header of the first; one that differs makes the read fail, and a
-    larger ``header_files`` reads it.
+    Every file's header is read first, in one job over the files, so the files may
+    hold different columns in different orders.  With ``headers`` all files have that
+    header, and nothing is read first.  Exactly the files listed at the call are
+    read, and each header is checked again when its file is read: a file that arrives
+    or changes later is left out or makes the read fail.
+
+    A ``name=value`` folder gives every post in it a column ``name``.  Other subfolders
+    with ``.csv`` files are read with ``recursive`` and refused without.
 
     ``multi_line`` allows line breaks inside quotes, at the price of one task
     per file.  Turn it off for large files without them, so Spark splits them.
     """
-    layouts, complete = _layouts(spark, path, header_files)
+    files, folders = _files(spark, path, recursive)
+    layouts = {tuple(headers): files} if headers else _layouts(spark, files)
     parts = []
-    for header, files in layouts.items():
-        normalized_names(header)
+    for header, own in layouts.items():
+        normalized_names([*header, *folders])
+        # A header cell without a name has none that could be checked.
+        named = not any(h == f"_c{i}" for i, h in enumerate(header))
         read = (
-            spark.read.options(**_read_options(multi_line, check_header=not complete))
+            spark.read.options(**_read_options(multi_line, check_header=named))
             .schema(_text_schema(header))
-            .csv(path if len(layouts) == 1 else files)
+            .csv(own)
         )
-        parts.append(_split(read, header, strict))
+        parts.append(_split(read, header, strict, [_folder_value(f) for f in folders]))
     posts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p for p, _ in parts])
     rejects = reduce(DataFrame.unionByName, [r for _, r in parts])
     return posts, rejects

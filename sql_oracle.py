@@ -74,19 +74,29 @@ def _cleaning() -> dict[str, str]:
         + f"select {', '.join(posts_columns)}, cast(event_id as varchar) as event_id from posts",
         "upload_stream": _with()
         + f"select {', '.join(posts_columns)}, cast(event_id as varchar) as event_id from posts",
+        "csv_mixed_headers": _with()
+        + f"select {', '.join(posts_columns)}, cast(event_id as varchar) as event_id from posts",
+        "csv_by_folder": _with()
+        + f"select {', '.join(posts_columns)}, cast(event_id as varchar) as event_id from posts",
+        "parse_dates_formats": _with()
+        + "select event_id, case when regexp_matches(raw_date, '^[0-9-]+$')"
+        " then try_cast(raw_date || ' 02:30:00' as timestamp) end as date from raw",
         "clean_table": _with() + "select *, cast(date as date) as day from posts",
         # A short record keeps its first two cells.
         "csv_ragged": _with()
         + "select date, platform,"
         " case when event_id % 103 = 0 then 'Unknown' else sentiment end as sentiment,"
+        " case when event_id % 103 = 0 then 0.0 else engagements end as engagements,"
         " case when event_id % 103 = 0 then 'Unknown' else post_type end as post_type,"
         " case when event_id % 103 = 0 then null else cast(event_id as varchar) end as event_id"
         " from posts where event_id % 101 <> 0",
         "csv_rejects": _with()
         + "select concat_ws(',', coalesce(raw_date, ''), coalesce(raw_platform, ''),"
-        " coalesce(raw_sentiment, ''), coalesce(raw_location, ''), coalesce(raw_media_type, ''),"
+        " coalesce(raw_sentiment, ''), coalesce(raw_location, ''),"
+        " case when contains(raw_engagements, ',') then '\"' || raw_engagements || '\"'"
+        " else coalesce(raw_engagements, '') end, coalesce(raw_media_type, ''),"
         " coalesce(raw_influencer_brand, ''), coalesce(raw_post_type, ''), event_id,"
-        " 'one too many') as record, 'more than 8 cells' as reason"
+        " 'one too many') as record, 'more than 9 cells' as reason"
         " from raw where event_id % 101 = 0",
     }
 
@@ -115,8 +125,8 @@ _WORDS = {
     ),
 }
 _REQUEST = (
-    "Summarise the five charts above in two paragraphs at most. Then give three campaign "
-    "recommendations that can be acted on to improve the strategy from here."
+    "Write a short briefing on this campaign for its owner. State what the numbers above show, "
+    "and close with three next steps, each tied to one of them."
 )
 
 
@@ -154,7 +164,10 @@ def _metrics(brand: bool) -> dict[str, str]:
             " sum(engagements) as engagements from posts group by all"
         )
 
-    cube = " union all ".join(chart(c) for c in ("sentiment", "platform", "media_type", "location", "day"))
+    cube = " union all ".join(
+        [chart(c) for c in ("sentiment", "platform", "media_type", "location", "day")]
+        + [f"select {b}'total' as chart, null as label, count(*) as n, sum(engagements) as engagements from posts {group}"]
+    )
 
     def edge(direction: str, tie: str, alias: str) -> str:
         return (
@@ -271,7 +284,7 @@ def _metrics(brand: bool) -> dict[str, str]:
             2,
             "engagement_trend",
             "case when n_days >= 2 then case when last_engagements > first_engagements"
-            " then 'Engagement is rising overall.' else 'Engagement is level or falling overall.' end end",
+            " then 'Engagement is rising overall.' else 'The last day brought no more engagement than the first.' end end",
         ),
         (3, "best_platform", "'Best performing platform: ' || p.label || '.'"),
         (4, "main_media_type", "'Main media type: ' || m.label || '.'"),
@@ -290,12 +303,13 @@ def _metrics(brand: bool) -> dict[str, str]:
             + ") where text is not null"
         )
 
-    def document(analysis: str | None) -> str:
-        rows = [(1, "title", "'Campaign report'")]
-        if analysis:
+    def document(analysis: str | None, text: str | None = None, holds: str = "true") -> str:
+        rows = [(1, "title", "'Campaign report: ' || s.influencer_brand" if brand else "'Campaign report'")]
+        if analysis is not None:
+            text = text or f"'{analysis}'"
             rows += [
-                (2, "analysis_heading", "'Analysis and recommendations'"),
-                (3, "analysis", f"'{analysis}'"),
+                (2, "analysis_heading", f"case when {holds} then 'Analysis and recommendations' end"),
+                (3, "analysis", f"case when {holds} then {text} end"),
             ]
         rows.append((4, "findings_heading", "'Main findings'"))
         rows += [(i + 4, "finding", text) for i, _, text in one_line]
@@ -326,7 +340,7 @@ def _metrics(brand: bool) -> dict[str, str]:
             " || chr(10) || 'Top locations: ' || lo.words || chr(10) || 'Trend: ' || case t.trend"
             " when 'rising' then 'engagement rises over the campaign'"
             " when 'falling' then 'engagement falls over the campaign'"
-            " else 'no clear engagement trend' end"
+            " else 'first and last post are level' end"
         )
         t_brand = "t.influencer_brand, " if brand else ""
         return [
@@ -351,6 +365,14 @@ def _metrics(brand: bool) -> dict[str, str]:
         "media_type_share": share("media_type"),
         "campaign_cube": _with() + cube,
         "campaign_cube_one_scan": _with() + cube,
+        "campaign_cube_scan_per_chart": _with() + cube,
+        "cleaning_outcome": _with()
+        + f"select {'m.' if brand else ''}{b}count(*) as rows_in, count(*) filter (where date is null) as rows_without_date,"
+        " count(date) as rows_kept,"
+        f" count(*) filter (where date is not null and raw_engagements is not null and not"
+        f" (regexp_matches(raw_engagements, '{_NUMBER_FORM}') and isfinite(try_cast(trim(raw_engagements) as double)))) as bad_engagements,"
+        " count(*) filter (where date is not null and raw_engagements is null) as null_engagements,"
+        f" false as engagements_absent from (select p.*, m.raw_engagements from parsed p join marked m using (event_id)) m {group}",
         "top5_locations": top("location", 5),
         "top3_locations": top("location", 3),
         "sentiment_top3": top("sentiment", 3),
@@ -381,6 +403,13 @@ def _metrics(brand: bool) -> dict[str, str]:
         "report_lines": lines("code", one_line),
         "report_document": document("Post more in the evening."),
         "report_table": document(None),
+        "report_with_analyses": document("", "'On ' || s.influencer_brand", "s.influencer_brand < 'Brand15'"),
+        "campaign_summary_fractions": (
+            _with(*summary_of("engagements", "engagements"))
+            .replace("posts as (select * from", "posts as (select * replace (engagements * 64 + 0.5 as engagements) from", 1)
+            .replace("cast(cast(value as bigint) as varchar)", "regexp_replace(cast(value as varchar), '[.]0$', '')")
+            + f"select {b}total_posts, trend, summary from summed"
+        ),
         "campaign_summary": _with(*summary_of("event_id", "event_id desc")) + "select * from summed",
         "prompt_findings": _with(*leads)
         + f"select {s_brand}{findings} as findings from lead_sentiment s{joined}",
@@ -394,11 +423,12 @@ def _metrics(brand: bool) -> dict[str, str]:
 
 def statements() -> dict[str, str]:
     whole, brands = _metrics(brand=False), _metrics(brand=True)
-    report_table = brands.pop("report_table")
-    whole.pop("report_table")
+    report_table, analyses = brands.pop("report_table"), brands.pop("report_with_analyses")
+    whole.pop("report_table"), whole.pop("report_with_analyses")
     return {
         **_cleaning(),
         "report_table": report_table,
+        "report_with_analyses_by_brand": analyses,
         **whole,
         **{f"{name}_by_brand": sql for name, sql in brands.items()},
     }

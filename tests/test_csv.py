@@ -99,16 +99,46 @@ def test_upper_case_suffix(spark, tmp_path):
     assert read_posts_csv(spark, str(tmp_path))[0].count() == 1
 
 
-def test_many_files_must_share_the_header(spark, tmp_path):
-    for i in range(4):
-        put(tmp_path, f"{i}.csv", f"Date,Platform\n2023-01-0{i + 1},P{i}\n")
-    assert read_posts_csv(spark, str(tmp_path), header_files=2)[0].count() == 4
-    put(tmp_path, "9.csv", "Platform,Date\nP,2023-01-09\n")
-    posts, _ = read_posts_csv(spark, str(tmp_path), header_files=2)
-    with pytest.raises(Exception):
+def test_many_files_in_two_layouts(spark, tmp_path):
+    for i in range(300):
+        text = f"Date,Platform\n2023-01-01,P{i}\n" if i % 2 else f"Platform,Date\nP{i},2023-01-01\n"
+        put(tmp_path, f"{i}.csv", text)
+    posts, _ = read_posts_csv(spark, str(tmp_path))
+    assert {(r["date"], r["platform"]) for r in posts.collect()} == {("2023-01-01", f"P{i}") for i in range(300)}
+
+
+def test_a_later_file_is_left_out_and_a_changed_one_refused(spark, tmp_path):
+    put(tmp_path, "a.csv", "Date,Platform\n2023-01-01,A\n")
+    posts, _ = read_posts_csv(spark, str(tmp_path))
+    put(tmp_path, "b.csv", "Platform,Date\nTikTok,2023-01-02\n")
+    assert [tuple(r) for r in posts.collect()] == [("2023-01-01", "A")]
+    put(tmp_path, "a.csv", "Platform,Date\nTikTok,2023-01-02\n")
+    posts, _ = read_posts_csv(spark, str(tmp_path), headers=["Date", "Platform"])
+    with pytest.raises(Exception, match="header"):
         posts.collect()
-    posts, _ = read_posts_csv(spark, str(tmp_path), header_files=5)
-    assert ("2023-01-09", "P") in [tuple(r) for r in posts.select("date", "platform").collect()]
+
+
+def test_folder_columns_and_subfolders(spark, tmp_path):
+    for brand in ("Brand X", "007", "__HIVE_DEFAULT_PARTITION__"):
+        folder = tmp_path / "up" / f"influencer_brand={brand.replace(' ', '%20')}"
+        folder.mkdir(parents=True)
+        put(folder, "a.csv", "Date\n2023-01-01\n")
+    posts, _ = read_posts_csv(spark, str(tmp_path / "up"))
+    assert {r["influencer_brand"] for r in clean_posts(posts).collect()} == {"Brand X", "007", "Unknown"}
+    (tmp_path / "up" / "more").mkdir()
+    put(tmp_path / "up" / "more", "b.csv", "Date\n2023-01-02\n")
+    with pytest.raises(ValueError, match="recursive"):
+        read_posts_csv(spark, str(tmp_path / "up"))
+    posts, _ = read_posts_csv(spark, str(tmp_path / "up"), recursive=True)
+    assert posts.count() == 4
+    put(tmp_path / "up" / "more", "c.csv", "Influencer_Brand,Date\nx,2023-01-02\n")
+    with pytest.raises(ValueError, match="collide"):
+        read_posts_csv(spark, str(tmp_path / "up"), recursive=True)
+
+
+def test_header_cell_without_a_name(spark, tmp_path):
+    posts, _ = read_posts_csv(spark, put(tmp_path, "e.csv", "Date,,Platform\n2023-01-01,x,A\n"))
+    assert [r.asDict() for r in posts.collect()] == [{"date": "2023-01-01", "_c1": "x", "platform": "A"}]
 
 
 def test_no_csv_and_colliding_headers(spark, tmp_path):

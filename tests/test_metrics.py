@@ -163,7 +163,7 @@ def test_empty_posts(event_posts):
     assert pm.report_document(none).isEmpty() and pm.campaign_prompts(none).isEmpty()
     assert pm.peak_day(none).isEmpty() and pm.top_platform(none).isEmpty()
     row = pm.campaign_summary(none).first()
-    assert row["total_posts"] == 0 and row["summary"] == "No data is available."
+    assert row["total_posts"] == 0 and row["summary"] == "There are no posts to describe."
     assert tuples(pm.post_trend(none)) == [(0, None, None, "none")]
     assert pm.campaign_summary(none, BRAND).isEmpty()
 
