@@ -16,6 +16,7 @@ from .metrics import (
     category_counts,
     category_share,
     daily_engagement,
+    keep_labels,
     label_table,
     platform_engagement,
     total_posts,
@@ -36,6 +37,7 @@ __all__ = [
     "drop_invalid_dates",
     "fill_categories",
     "fill_engagements",
+    "keep_labels",
     "label_table",
     "lowest_day",
     "normalize_columns",

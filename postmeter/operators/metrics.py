@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import day_text, quoted, sql_name
+from ..sources.tables import keep_clean
 
 By = Sequence[str]
 
@@ -153,6 +154,15 @@ def label_table(
     )
 
 
+def keep_labels(df: DataFrame, by: By = (), path: str | None = None) -> DataFrame:
+    """Write the label table of all charts, with one scan of the posts, and read it back.
+
+    Insights, report, summary, prompts and findings take it as ``labels`` and read the
+    posts no more.  The default place is below ``shared_dir``.
+    """
+    return keep_clean(label_table(df, by, (*CHARTS, TOTAL, MOMENT)), "labels", path=path)
+
+
 def campaign_cube(
     df: DataFrame, by: By = (), charts: Sequence[str] = (*CHARTS, TOTAL), one_scan: bool = True
 ) -> DataFrame:

@@ -1,6 +1,8 @@
 import datetime
 
 import pytest
+
+import postmeter as pm
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,3 +147,36 @@ def test_all_dates_bad_is_empty(spark):
 def test_cleaning_does_not_shuffle(spark):
     plan = clean_posts(null_tokens(dated(spark, ["2023-01-01"])))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Berlin", "America/New_York"])
+def test_formats_keep_the_wall_clock(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = spark.createDataFrame([("01.02.2023 10:00 +07:00",), ("26.03.2023 02:30 +00:00",), ("x",)], ["date"])
+        found = pm.parse_dates(rows, ["dd.MM.yyyy HH:mm XXX"]).selectExpr("cast(date as string)").collect()
+        plain = spark.createDataFrame([("26.03.2023 02:30",)], ["date"])
+        gap = pm.parse_dates(plain, ["dd.MM.yyyy HH:mm"]).selectExpr("cast(date as string)").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert [r[0] for r in found] == ["2023-02-01 10:00:00", "2023-03-26 02:30:00", None]
+    assert gap[0][0] == "2023-03-26 02:30:00"
+
+
+def test_cleaning_outcome(spark):
+    raw = spark.createDataFrame(
+        [("2023-01-01", "5"), ("bad", "6"), (None, None), ("2023-01-02", "1,5"), ("2023-01-03", None)],
+        "Date string, Engagements string",
+    )
+    assert tuple(pm.cleaning_outcome(raw).first()) == (5, 2, 3, 1, 1, False)
+    assert tuple(pm.cleaning_outcome(raw.drop("Engagements")).first()) == (5, 2, 3, 0, 3, True)
+    nothing = pm.cleaning_outcome(raw.where("Date = 'bad'")).first()
+    assert nothing["rows_in"] == 1 and nothing["rows_kept"] == 0
+
+
+def test_kept_tables_can_be_named_and_dropped(spark, tmp_path):
+    raw = spark.createDataFrame([("2023-01-01",)], "Date string")
+    path = str(tmp_path / "kept")
+    assert pm.keep_clean(pm.clean_posts(raw), path=path).count() == 1
+    assert pm.drop_table(spark, path) and not pm.drop_table(spark, path)

@@ -192,12 +192,68 @@ def test_ranks_are_cut_before_the_shuffle(event_posts):
     assert "TakeOrderedAndProject" in plan_of(pm.top_locations(event_posts, 3))
 
 
-def test_insights_read_each_chart_once(spark, tmp_path, event_posts):
+@pytest.mark.parametrize(
+    "made,scans",
+    [
+        (pm.campaign_cube, 1), (pm.report_lines, 1), (pm.report_document, 1), (pm.prompt_findings, 1),
+        # Ranks and facts, and ranks, lists and trend, filter the label table each their own way.
+        (pm.campaign_insights, 2), (pm.campaign_summary, 3), (pm.campaign_prompts, 3),
+    ],
+)
+@pytest.mark.parametrize("by", [(), BRAND], ids=["whole", "brand"])
+def test_how_often_posts_are_read(spark, tmp_path, event_posts, made, scans, by):
     pm.write_clean(event_posts, str(tmp_path / "t"))
-    plan = plan_of(pm.campaign_insights(pm.read_clean(spark, str(tmp_path / "t")), BRAND))
-    assert plan.count("FileScan parquet") == 5 and plan.count("ReusedExchange") == 3
+    clean = pm.read_clean(spark, str(tmp_path / "t"))
+    plan = plan_of(made(clean, by))
+    assert plan.count("FileScan parquet") == scans
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
-    assert "ReadSchema: struct<sentiment:string,influencer_brand:string>" in plan
+    if made is pm.prompt_findings:
+        assert "collect_list" not in plan
+    if made is not pm.campaign_cube:
+        # A kept label table serves all of them without the posts.
+        labels = pm.keep_labels(clean, by)
+        plan = plan_of(made(None, by, labels=labels))
+        assert str(tmp_path / "t") not in plan
+        assert sorted(map(str, made(None, by, labels=labels).collect())) == sorted(map(str, made(clean, by).collect()))
+
+
+def test_post_trend_sorts_no_post(event_posts):
+    plan = plan_of(pm.post_trend(event_posts, BRAND))
+    assert "Sort " not in plan and "SortAggregate" not in plan
+
+
+def test_total_row_of_the_cube(event_posts):
+    total = pm.campaign_cube(event_posts, BRAND).where("chart = 'total'").selectExpr("influencer_brand", "n")
+    assert sorted(tuples(total)) == sorted(tuples(pm.total_posts(event_posts, BRAND)))
+
+
+def test_result_names_are_guarded(spark, event_posts):
+    by_day = event_posts.withColumns({"day": F.to_date("date"), "n": F.lit("x")})
+    for refused, by in (
+        (pm.daily_trend, "day"), (pm.peak_day, "day"), (pm.total_posts, "n"), (pm.platform_engagement, "platform"),
+        (pm.post_trend, "trend"), (pm.daily_trend, "trend"),
+    ):
+        with pytest.raises(ValueError, match="another name"):
+            refused(by_day.withColumn("trend", F.lit(1)), [by])
+    assert pm.total_posts(by_day, ["day"]).count() == 30
+
+
+def test_fractions_print_plainly(spark):
+    df = posts(spark, [("a", 12345678.5), ("b", 0.0001), ("c", 3.0)], ["platform", "engagements"])
+    text = pm.campaign_summary(df).first()["summary"]
+    assert "a 12345678.5, c 3, b 0.0001" in text
+
+
+def test_report_of_many_campaigns(spark, tmp_path, event_posts):
+    texts = spark.createDataFrame([("Brand1", "one"), ("nobody", "none")], "influencer_brand string, analysis string")
+    document = pm.report_document(event_posts, BRAND, texts)
+    found = document.groupBy("influencer_brand").agg(F.collect_set("section").alias("s")).collect()
+    assert {r[0] for r in found if "analysis_heading" in r[1]} == {"Brand1"} and "nobody" not in {r[0] for r in found}
+    pm.write_report(document, str(tmp_path / "r"), BRAND, fmt="text")
+    written = [r["value"] for r in spark.read.text(str(tmp_path / "r")).collect()]
+    assert "Campaign report: Brand1" in written and "Campaign report: Brand2" in written
+    with pytest.raises(Exception, match="two analyses"):
+        pm.report_document(event_posts, BRAND, texts.union(texts)).collect()
 
 
 def test_report_document_and_files(spark, tmp_path, event_posts):
