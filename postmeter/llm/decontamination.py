@@ -65,26 +65,33 @@ def item_words(items: DataFrame, key: str = "item_id") -> DataFrame:
     ).where("size(words) > 0")
 
 
+def _sequence_id() -> Column:
+    """A sequence of words as a number, so that its text is not sent with every match."""
+    return F.xxhash64(F.array_join("words", " "))
+
+
 def _terms(sequences: DataFrame) -> DataFrame:
     """``seq, length, offset, word, term`` of each distinct sequence of words."""
     return (
         sequences.select("words").distinct()
-        .select(F.array_join("words", " ").alias("seq"), F.size("words").alias("length"), F.posexplode("words").alias("offset", "word"))
+        .select(_sequence_id().alias("seq"), F.size("words").alias("length"), F.posexplode("words").alias("offset", "word"))
         .withColumn("term", F.xxhash64("word"))
     )
 
 
 def _check_hashes(terms: DataFrame) -> None:
-    clash = terms.groupBy("term").agg(F.countDistinct("word").alias("n")).where("n > 1")
-    if not clash.isEmpty():
-        raise ValueError("two test words share a hash; salt the terms")
+    """Two words of one hash, or two sequences of one number, would be taken for one."""
+    words = terms.groupBy("term").agg(F.countDistinct("word").alias("n"))
+    places = terms.groupBy("seq", "offset").agg(F.count("*").alias("n"))
+    if not words.select("n").union(places.select("n")).where("n > 1").isEmpty():
+        raise ValueError("two test words or sequences share a hash")
 
 
 def exact_matches(index: DataFrame, sequences: DataFrame, window: int = WINDOW) -> DataFrame:
     """``seq, row, start, length`` of every longest run of a sequence in the index.
 
     A run has ``window`` words at least, or all words of a shorter sequence; ``seq`` is
-    the sequence as text.  Overlapping windows on one diagonal are one run.
+    the number of the sequence.  Overlapping windows on one diagonal are one run.
     """
     terms = keep(_terms(sequences), "phrase-terms")
     _check_hashes(terms)
@@ -172,7 +179,7 @@ def contamination(
     hit = spans.groupBy("row").agg(
         F.sum(F.expr("greatest(0, start + length - 1 - greatest(upto, start - 1))")).alias("n_hit")
     )
-    named = sequences.where("item is not null").select(F.array_join("words", " ").alias("seq"), "item").distinct()
+    named = sequences.where("item is not null").select(_sequence_id().alias("seq"), "item").distinct()
     items = (
         matches.select("row", "seq").distinct()
         .join(named, "seq")
