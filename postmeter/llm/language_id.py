@@ -25,6 +25,8 @@ UNKNOWN = "und"
 _SEED = 7
 # N-grams and counts looked at in one matrix product.
 _BLOCK = 1 << 15
+# Bytes of text looked at a time; the arrays of one step take about sixty times as much.
+_STEP = 2 << 20
 _CELLS = 1 << 22
 
 
@@ -133,7 +135,7 @@ def prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, n
         profiles, sums = Profiles(dimensions), {}
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
-            for start, texts in text_steps(batch.column(0)):
+            for start, texts in text_steps(batch.column(0), _STEP):
                 vectors, _ = profiles.texts(texts)
                 norms = np.linalg.norm(vectors, axis=1, keepdims=True)
                 vectors = vectors / np.maximum(norms, 1e-9)
@@ -180,7 +182,7 @@ def predict(docs: DataFrame, known: dict[str, np.ndarray], keep: list[str] | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles(matrix.shape[1])
         for batch in batches:
-            for start, texts in text_steps(batch.column(text_at)):
+            for start, texts in text_steps(batch.column(text_at), _STEP):
                 vectors, grams = profiles.texts(texts)
                 if len(names):
                     norms = np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
