@@ -106,7 +106,7 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.nd
 
 
 def _commonness(docs: DataFrame, words: int) -> np.ndarray:
-    """A class per counter, 0 for the usual load and more for the more common.
+    """A class per counter, higher for the more common.
 
     The counters count the n-grams of all documents by a part of their hash.  Any
     order is right as long as all documents share it; this one keeps what is in many
@@ -137,9 +137,12 @@ def _commonness(docs: DataFrame, words: int) -> np.ndarray:
         [found.column(f"c{i}").to_numpy() for i in range(_WIDE)], axis=1
     ).reshape(-1, _WIDE)
     counts = table.reshape(-1)
+    # Counters below the mean come first, so that what many documents share comes
+    # late even where rare n-grams load its counter by chance as much.
     mean = max(1.0, counts.sum() / COUNTERS)
-    usual = mean + 4 * mean**0.5 + 4
-    return np.where(counts <= usual, 0, np.clip(np.log2(np.maximum(counts - mean, 1)), 1, 60)).astype(np.uint8)
+    off = (counts - mean) / mean**0.5
+    near = np.floor(4 * off) + 16
+    return np.clip(np.where(off < 6, near, 40 + np.log2(np.maximum(off, 6) / 6)), 0, 60).astype(np.uint8)
 
 
 _SETS = "row long, doc_id long, n long, c1 long, c2 long, grp long, prefix array<long>, t1 long, t2 long"
