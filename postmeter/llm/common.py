@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import shared_dir
+from ..sources.tables import drop_table, shared_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -41,7 +43,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+_passing: list[list[str]] = []
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables kept inside are deleted at the end, but for those kept as ``lasting``."""
+    own: list[str] = []
+    _passing.append(own)
+    try:
+        yield
+    finally:
+        _passing.remove(own)
+        for path in own:
+            drop_table(spark, path)
+
+
+def keep(df: DataFrame, name: str, path: str | None = None, lasting: bool = False) -> DataFrame:
     """Write ``df`` to the shared place and read it back.
 
     This cuts the lineage: a lost executor costs the tasks it ran, not the
@@ -49,6 +67,8 @@ def keep(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or new_folder(spark, name)
+    if _passing and not lasting:
+        _passing[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

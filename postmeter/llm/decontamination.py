@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keep, unused_name
+from .common import ascii_lower, keep, passing_tables, unused_name
 
 # All that is not a word character: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ are the words.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -219,5 +219,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most: float = 0.0)
     """The rows of ``docs`` of whose words at most the share ``most`` are hit."""
     key = unused_name(docs, "source_row")
     numbered = keep(docs.withColumn(key, F.monotonically_increasing_id()), "decontaminate")
-    bad = contamination(numbered, benchmark, key=key).where(F.col("n_hit") > F.lit(most) * F.col("n_words"))
-    return numbered.join(bad.select(key), key, "left_anti").drop(key)
+    with passing_tables(docs.sparkSession):
+        found = contamination(numbered, benchmark, key=key)
+        bad = found.where(F.col("n_hit") > F.lit(most) * F.col("n_words")).select(key)
+        bad = keep(bad, "contaminated", lasting=True)
+    return numbered.join(bad, key, "left_anti").drop(key)

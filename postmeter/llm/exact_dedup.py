@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keep, text_or_empty, unused_name
+from .common import ascii_lower, keep, passing_tables, text_or_empty, unused_name
 
 FIRST_BYTES = 32
 GROWTH = 16
@@ -114,7 +114,9 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     key = unused_name(docs, "row")
     numbered = keep(docs.withColumn(key, F.monotonically_increasing_id()), "radix-docs")
     as_docs = numbered.select(F.struct("doc_id", key).alias("doc_id"), "text")
-    kept = equal_texts(as_docs).where("row = keep_row").select(F.col("doc_id")[key].alias(key))
+    with passing_tables(docs.sparkSession):
+        found = equal_texts(as_docs).where("row = keep_row").select(F.col("doc_id")[key].alias(key))
+        kept = keep(found, "radix-kept", lasting=True)
     return numbered.join(kept, key, "left_semi").drop(key)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import gather, text_steps
-from .common import drop_kept, keep, text_or_empty, unused_name
+from .common import drop_kept, keep, passing_tables, text_or_empty, unused_name
 from .components import components
 
 WORDS = 4
@@ -467,9 +467,14 @@ def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     numbered = keep(docs.withColumn(key, F.monotonically_increasing_id()), "near-docs")
     # The own row number stands in for the id, ranked as the ids are.
     ranked = numbered.select(F.col(key).alias("doc_id"), "text")
-    found = near_components(ranked, words, percent).select(
-        F.col("doc_id").alias(key), F.col("component_id").alias("component")
-    )
+    with passing_tables(docs.sparkSession):
+        found = keep(
+            near_components(ranked, words, percent).select(
+                F.col("doc_id").alias(key), F.col("component_id").alias("component")
+            ),
+            "near-found",
+            lasting=True,
+        )
     ids = numbered.select(key, "doc_id").join(found, key)
     stay = ids.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", key)).alias("first")
