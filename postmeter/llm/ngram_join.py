@@ -3,9 +3,9 @@
 The n-grams of a document are put in one order for all documents, rare ones first.
 Documents at or above the threshold share one of the first few n-grams of each: the
 prefix.  Documents with the same prefix and size form a group, and only groups are
-looked up; candidate group pairs are filtered by size and place, then expanded to
-their members, which are verified on their whole sets.  Documents with one set are
-one member from the start.
+looked up; candidate group pairs are filtered by size, place and the number of prefix
+n-grams they share, then expanded to their members, which are verified on their
+whole sets.  Documents with one set are one member from the start.
 
 The result is the components of the links.  Members that earlier links have
 brought together need no further verification, so candidates are drawn twice: first
@@ -218,42 +218,85 @@ def _may_link(a: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray
     return (100 * small >= percent * large) & (bound >= need)
 
 
+def _slack(a: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """How many n-grams past a shared one the pair may share, less what it needs.
+
+    Up to the end of the prefix that ends first all shared n-grams are known; past it
+    is what that document has left, and at most what the other has left from here.
+    """
+    n, m = a["n"][i], a["n"][j]
+    need = -(-percent * (n + m) // (100 + percent))
+    past_n, past_m = -(-percent * n // 100) - 1, -(-percent * m // 100) - 1
+    left = np.maximum(np.minimum(past_n, m - a["pos"][j] - 1), np.minimum(n - a["pos"][i] - 1, past_m))
+    return left - need
+
+
 _PAIRS = "a long, b long"
+# Pairs of one task that are held before equal ones are added up.
+_HELD = 1 << 20
+
+
+def _all_pairs(token: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of equal tokens, by distance; ``token`` is sorted."""
+    stops = np.searchsorted(token, token, "right")
+    i = np.arange(len(token))
+    for k in range(1, len(token)):
+        i = i[i + k < stops[i]]
+        if not len(i):
+            return
+        yield i, i + k
+
+
+def _added_up(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b, slack = (np.concatenate([h[k] for h in held]) for k in range(3))
+    order = np.lexsort((b, a))
+    a, b, slack = a[order], b[order], slack[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    first = np.flatnonzero(new)
+    columns = [a[first], b[first], np.diff(first, append=len(a)), np.minimum.reduceat(slack, first)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "shared", "slack"])
 
 
-def _candidates(postings: DataFrame, percent: int, chain: bool) -> DataFrame:
+def _candidates(postings: DataFrame, percent: int, chain: bool, counted: bool = False) -> DataFrame:
     """Distinct group pairs ``a, b`` that share a prefix n-gram and pass the filters.
 
     ``chain`` takes each row of a list with the next only; else all pairs of the
-    list that are not within one component.
+    list that are not within one component.  ``counted`` (not for a chain, which misses
+    some lists of a pair) keeps the pairs whose shared prefix n-grams, added up over all
+    lists, leave the threshold within reach.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for rows in _runs(batches):
             token = rows["token"]
-            n = len(token)
             if chain:
                 i = np.flatnonzero(token[:-1] == token[1:])
                 pairs = [(i, i + 1)]
             else:
-                stops = np.searchsorted(token, token, "right")
                 mixed = rows["low"] != rows["high"]
-                pairs, step = [], np.arange(n)
-                pairs = ((step[step + k < stops], step[step + k < stops] + k) for k in range(1, n))
+                pairs = _all_pairs(token)
             for i, j in pairs:
-                if not len(i):
-                    break
                 ok = _may_link(rows, i, j, percent)
                 if not chain:
                     ok &= mixed[i] | mixed[j] | (rows["low"][i] != rows["low"][j])
                 i, j = i[ok], j[ok]
                 if len(i):
                     a, b = rows["grp"][i], rows["grp"][j]
-                    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+                    held.append((np.minimum(a, b), np.maximum(a, b), _slack(rows, i, j, percent)))
+                    size += len(i)
+                if size >= _HELD:
+                    yield _added_up(held)
+                    held, size = [], 0
+        if held:
+            yield _added_up(held)
 
     lists = postings.repartition("token").sortWithinPartitions("token", "n", "grp")
-    return lists.mapInArrow(run, _PAIRS).distinct()
+    found = lists.mapInArrow(run, f"{_PAIRS}, shared long, slack long")
+    if not counted:
+        return found.select("a", "b").distinct()
+    sums = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("slack").alias("slack"))
+    return sums.where("shared + slack >= 0").select("a", "b")
 
 
 def _meet(pairs: DataFrame, payload: DataFrame) -> DataFrame:
@@ -386,9 +429,8 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         ).dropDuplicates(["member"])
         return keep(_verify(pairs, texts, words, percent), "near-links")
 
-    def expanded(pairs: DataFrame) -> DataFrame:
+    def expanded(near: DataFrame) -> DataFrame:
         of = members.select("grp", "member")
-        near = keep(_overlap_filter(keep(pairs, "group-pairs"), prefixes, percent), "near-groups")
         return (
             near.join(of.toDF("a", "ma"), "a").join(of.toDF("b", "mb"), "b")
             .select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b"))
@@ -400,7 +442,8 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     )
     no_label = {"low": F.lit(0).cast("long"), "high": F.lit(0).cast("long")}
     order = ["token", "grp", "n", "pos", "low", "high"]
-    first = expanded(_candidates(postings.withColumns(no_label).select(order), percent, True)).union(
+    beside = keep(_candidates(postings.withColumns(no_label).select(order), percent, True), "group-pairs")
+    first = expanded(keep(_overlap_filter(beside, prefixes, percent), "near-groups")).union(
         _candidates(in_group.withColumns(no_label).select(order), percent, True)
     )
     links = linked(keep(first.distinct(), "near-pairs"))
@@ -413,7 +456,7 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         "member-components",
     )
     spans = placed.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    second = expanded(_candidates(postings.join(spans, "grp").select(order), percent, False)).union(
+    second = expanded(_candidates(postings.join(spans, "grp").select(order), percent, False, counted=True)).union(
         _candidates(
             in_group.join(
                 placed.select(F.col("member").alias("grp"), F.col("component").alias("low"), F.col("component").alias("high")),
