@@ -1,6 +1,7 @@
 """Every operator against brute force on small tables."""
 
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -331,6 +332,39 @@ def test_pii_base_spans(spark):
     assert (row["n_email"], row["n_ip"], row["n_card"], row["n_phone"]) == (3, 1, 1, 1)
 
 
+# The patterns as the contract words them.
+CONTRACT = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+}
+
+
+def proposed(spark, texts):
+    got = defaultdict(list)
+    for r in pii.candidates(table(spark, texts)).where("kind is not null").orderBy("doc_id", "kind", "i").collect():
+        got[r["doc_id"], r["kind"]].append(r["value"])
+    return got
+
+
+def test_pii_patterns_match_as_the_contract_words_them(spark):
+    rng = random.Random(4)
+    parts = ["1", "22", "0", " ", "-", ".", "..", "@", "a", "b-c", "_", "%", "+", "é", "x@y.z", "1.2.3.4", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 24))) for _ in range(2000)]
+    got = proposed(spark, texts)
+    for d, text in enumerate(texts):
+        for kind, pattern in CONTRACT.items():
+            assert got[d, kind] == re.findall(pattern, text), (kind, text)
+
+
+def test_pii_long_runs(spark):
+    runs = ["7" * 100_000, "1 " * 50_000 + "1", "4-" * 50_000 + "4", "3.14" + "15" * 200_000, "a@b" + ".c" * 50_000, "q" * 200_000 + " @ 1.2.3"]
+    got = proposed(spark, runs)
+    assert [got[d, "card"] for d in range(3)] == [[r] for r in runs[:3]]
+    assert got[3, "card"] == [runs[3][2:]] and got[4, "email"] == [runs[4]] and not got[5, "email"]
+    assert len(pii.pii_report(table(spark, runs)).collect()) == len(runs)
+
+
 def test_reliabilities_tell_a_good_labeler_from_a_bad_one():
     patterns = [((1, 1, 1, 1, 1), 80), ((-1, -1, -1, -1, 1), 80), ((1, 1, 1, -1, 1), 5), ((-1, -1, -1, 1, 1), 5)]
     prior, tables = pii.reliabilities(patterns)
