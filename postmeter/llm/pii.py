@@ -22,6 +22,7 @@ from .common import keep, text_or_empty
 
 # The base kinds in their order, and what the strict rules look for.
 BASE = ("email", "ip", "card", "phone")
+TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
 # Repeats of a group are possessive and without captures, which Java runs in a loop and not
 # by recursion; what follows a repeat never needs its characters back, so the matches are
 # those of plain repeats.  A run is tried from its start (or the last match) only, so that
@@ -32,7 +33,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"(?i)(?:password|passwd|token|secret|api[_-]?key)\x20?[=:]\x20?\x22?[A-Za-z0-9+/_-]{8,}",
-    "name": r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20\p{Lu}\p{Ll}+",
+    "name": rf"(?:{'|'.join(TITLES)})\.?\x20\p{{Lu}}\p{{Ll}}+",
 }
 # A text without this cannot hold the pattern.
 NEEDS = {
@@ -41,7 +42,7 @@ NEEDS = {
     "card": "rlike(text, '[0-9][ -]?[0-9]')",
     "phone": "contains(text, '+')",
     "secret": "rlike(text, '[=:]')",
-    "name": "rlike(text, '[rfsrea][.]? [A-Z]')",
+    "name": rf"rlike(text, r'[{''.join(sorted({t[-1] for t in TITLES}))}][.]? \p{{Lu}}')",
 }
 GAZETTEER = {
     "email": "mail|web|gmx|yahoo|outlook|example|[.](com|org|net|edu|de|fr|es)$",

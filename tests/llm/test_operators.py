@@ -365,6 +365,19 @@ def test_pii_long_runs(spark):
     assert len(pii.pii_report(table(spark, runs)).collect()) == len(runs)
 
 
+def test_pii_gates_let_every_match_through(spark):
+    names = [f"{t}{dot} {n}" for t in pii.TITLES for dot in ("", ".") for n in ("Müller", "Émile", "Özil", "Żak", "Ωmega", "Ann")]
+    samples = {
+        "email": ["é@é a@b.c", "%@-.-"], "ip": ["1.2.3.4", "é0.0.0.00"], "card": ["12", "1 2", "é1-2"],
+        "phone": ["+1 2", "+1((2"], "secret": ["TOKEN=abcdefgh", "Api-Key : \"abcd_efgh", "password:12345678"], "name": names,
+    }
+    texts = [f"é {x}, y" for values in samples.values() for x in values]
+    kinds = [k for k, values in samples.items() for _ in values]
+    got = proposed(spark, texts)
+    assert [k for d, k in enumerate(kinds) if not got[d, k]] == []
+    assert [got[d, "name"] for d, k in enumerate(kinds) if k == "name"] == [[n] for n in names]
+
+
 def test_reliabilities_tell_a_good_labeler_from_a_bad_one():
     patterns = [((1, 1, 1, 1, 1), 80), ((-1, -1, -1, -1, 1), 80), ((1, 1, 1, -1, 1), 5), ((-1, -1, -1, 1, 1), 5)]
     prior, tables = pii.reliabilities(patterns)
