@@ -17,6 +17,11 @@ SENTENCES = {
     "apache-header": "Licensed under the Apache License, Version 2.0",
     "apache-may-not": "you may not use this file except in compliance with the License",
     "apache-as-is": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+    "apache-header-license": "Licensed under the Apache License, Version 2.0 (the \"License\")",
+    "apache-asf": "The ASF licenses this file to You under the Apache License, Version 2.0 (the \"License\")",
+    # Without a blank line after the address there is no stop before "Unless".
+    "apache-obtain-as-is": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+    "apache-obtain-as-is-https": "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
     "mit-released": "Released under the MIT License",
     "mit-licensed": "Licensed under the MIT License",
     "mit-title": "The MIT License",
@@ -33,12 +38,52 @@ SENTENCES = {
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "mpl2-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    # The sentence ends at "v." in a text.
+    "mpl2-form-v": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    # Section 0 or 1 of the whole texts, each worded for its licence and version.
+    "gpl2-applies": "This License applies to any program or other work which contains a notice placed by the copyright holder saying it may be distributed under the terms of this General Public License",
+    "gpl3-refers": "\"This License\" refers to version 3 of the GNU General Public License",
+    "lgpl2-applies": "This License Agreement applies to any software library which contains a notice placed by the copyright holder or other authorized party saying it may be distributed under the terms of this Library General Public License (also called \"this License\")",
+    "lgpl2-1-applies": "This License Agreement applies to any software library or other program which contains a notice placed by the copyright holder or other authorized party saying it may be distributed under the terms of this Lesser General Public License (also called \"this License\")",
+    "lgpl3-refers": "As used herein, \"this License\" refers to version 3 of the GNU Lesser General Public License, and the \"GNU GPL\" refers to version 3 of the GNU General Public License",
+    "agpl3-refers": "\"This License\" refers to version 3 of the GNU Affero General Public License",
 }
+# The notices of the GNU family: key, name in the text, version, licence.
+_GNU = (
+    ("gpl", "GNU General Public License", "2", "GPL-2.0"),
+    ("gpl", "GNU General Public License", "3", "GPL-3.0"),
+    ("lgpl-library", "GNU Library General Public License", "2", "LGPL-2.0"),
+    ("lgpl", "GNU Lesser General Public License", "2.1", "LGPL-2.1"),
+    ("lgpl", "GNU Lesser General Public License", "3", "LGPL-3.0"),
+    ("agpl", "GNU Affero General Public License", "3", "AGPL-3.0"),
+)
+_TERMS = "you can redistribute it and/or modify it under the terms of the"
+_FSF = "as published by the Free Software Foundation"
+for _key, _name, _v, _ in _GNU:
+    _id = f"{_key}{_v.replace('.', '-')}"
+    SENTENCES |= {
+        # With a semicolon after "Foundation" the notice is two sentences, else one.
+        f"{_key}-terms": f"{_TERMS} {_name} {_FSF}",
+        f"version-{_v.replace('.', '-')}-or-later": f"either version {_v} of the License, or (at your option) any later version",
+        f"version-{_v.replace('.', '-')}-only": f"version {_v} of the License",
+        f"{_key}-redistribute-{_v.replace('.', '-')}": f"{_TERMS} {_name} {_FSF}, either version {_v} of the License, or (at your option) any later version",
+        f"{_id}-redistribute-only": f"{_TERMS} {_name}, version {_v}, {_FSF}",
+        f"{_id}-redistribute-only-of": f"{_TERMS} {_name} {_FSF}, version {_v} of the License",
+        f"{_id}-licensed": f"Licensed under the {_name}, version {_v}",
+        f"{_id}-work": f"This work is licensed under the {_name}, version {_v}",
+    }
 # Licence, the sentences that must follow one another (others may stand between), and
 # whether it restricts use in a training corpus.
 RULES = (
     ("Apache-2.0", ("apache-header",), False),
+    ("Apache-2.0", ("apache-header-license",), False),
+    ("Apache-2.0", ("apache-header", "apache-may-not", "apache-as-is"), False),
+    ("Apache-2.0", ("apache-header-license", "apache-may-not", "apache-as-is"), False),
+    ("Apache-2.0", ("apache-asf",), False),
+    ("Apache-2.0", ("apache-may-not", "apache-obtain-as-is"), False),
+    ("Apache-2.0", ("apache-may-not", "apache-obtain-as-is-https"), False),
+    ("MIT", ("mit-title",), False),
     ("MIT", ("mit-released",), False),
     ("MIT", ("mit-licensed",), False),
     ("MIT", ("mit-grant", "mit-notice"), False),
@@ -50,11 +95,31 @@ RULES = (
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary"), False),
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-names"), False),
     ("MPL-2.0", ("mpl2-form",), True),
+    ("MPL-2.0", ("mpl2-form-v",), True),
     ("ISC", ("isc-grant",), False),
+    ("GPL-2.0", ("gpl2-applies",), True),
+    ("GPL-3.0", ("gpl3-refers",), True),
+    ("LGPL-2.0", ("lgpl2-applies",), True),
+    ("LGPL-2.1", ("lgpl2-1-applies",), True),
+    ("LGPL-3.0", ("lgpl3-refers",), True),
+    ("AGPL-3.0", ("agpl3-refers",), True),
 )
+for _key, _name, _v, _licence in _GNU:
+    _id, _v = f"{_key}{_v.replace('.', '-')}", _v.replace(".", "-")
+    RULES += tuple(
+        (_licence, (ids,), True)
+        for ids in (
+            # The comma: the second follows the first with no known sentence between.
+            f"{_key}-terms,version-{_v}-or-later", f"{_key}-terms,version-{_v}-only", f"{_key}-redistribute-{_v}",
+            f"{_id}-redistribute-only", f"{_id}-redistribute-only-of", f"{_id}-licensed", f"{_id}-work",
+        )
+    )
 # A sentence ends at these signs before white space.
 _END = "[.!?;:]+([ \\t\\r\\n]|$)"
+# A blank line, also one that holds the signs of a comment only.
+_BLANK = r"\n[^\p{L}\p{N}\n]*\n"
 _SIGNS = "[^a-z0-9.]+"
+READINGS = (0, 1, 2)
 _WORTH = "licens|permission|redistribut|distributed"
 
 
@@ -86,9 +151,11 @@ def _case_rules(sequence: str, test: str) -> str:
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """``row, doc_id, n_sentences, sentence_ids, licenses`` of every row of ``docs``.
 
-    A text is read twice: with each line feed as the end of a sentence, and with line
-    feeds as blanks; a rule may match in either reading.  ``n_sentences`` counts the
-    known sentences of the first.  Null texts are empty; rows are documents of their own,
+    A text is read three times: with each line feed as the end of a sentence, with line
+    feeds as blanks, and so within paragraphs, which blank lines end; a rule may match in
+    any reading.  ``sentence_ids`` are those of the first reading in their order, then
+    those that only the second has, then those that only the third has; ``n_sentences``
+    counts them.  Null texts are empty; rows are documents of their own,
     also with a null or repeated ``doc_id``; an empty table gives an empty one.
     """
     spark = docs.sparkSession
@@ -100,7 +167,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     worth = F.expr(f"rlike(lower(text), '{_WORTH}')")
     by_line = F.split(F.regexp_replace("text", _END, "\n"), "\n")
     by_stop = F.split(F.regexp_replace(F.translate("text", "\n", " "), _END, "\n"), "\n")
-    views = F.when(worth, F.array(by_line, by_stop)).otherwise(F.array(F.array(F.lit("")), F.array(F.lit(""))))
+    by_paragraph = F.flatten(
+        F.transform(F.split("text", _BLANK), lambda p: F.split(F.regexp_replace(F.translate(p, "\n", " "), _END, "\n"), "\n"))
+    )
+    views = F.when(worth, F.array(by_line, by_stop, by_paragraph)).otherwise(F.array(F.array(F.lit(""))))
     rows = numbered.select("row", "doc_id", F.posexplode(views).alias("reading", "sentences")).select(
         "row", "doc_id", "reading", F.posexplode("sentences").alias("pos", "sentence")
     )
@@ -117,10 +187,15 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     ids = "transform(filter(found, x -> x.reading = {}), x -> x.sid)"
     joined = sequences.select(
         "row", "doc_id",
-        *[F.expr(f"concat(',', array_join({ids.format(r)}, ','), ',')").alias(f"s{r}") for r in (0, 1)],
+        *[F.expr(f"concat(',', array_join({ids.format(r)}, ','), ',')").alias(f"s{r}") for r in READINGS],
         F.expr(ids.format(0)).alias("sentence_ids"),
+        *[F.expr(ids.format(r)).alias(f"ids{r}") for r in READINGS[1:]],
     )
-    rules = ", ".join(_case_rules(f"s{r}", "rlike({}, {})") for r in (0, 1))
+    for r in READINGS[1:]:
+        more = f"concat(sentence_ids, filter(ids{r}, x -> not array_contains(sentence_ids, x)))"
+        joined = joined.withColumn("sentence_ids", F.expr(more))
+    # Characters repeat in a loop, groups by recursion: a text may hold thousands of sentences.
+    rules = ", ".join(_case_rules(f"s{r}", "rlike({}, {})") for r in READINGS).replace("([a-z0-9-]+,)*", "(.*,)?")
     return joined.select(
         "row", "doc_id",
         F.size("sentence_ids").cast("long").alias("n_sentences"),

@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 from collections import defaultdict
 
 import numpy as np
@@ -395,3 +396,67 @@ def test_license_rules(spark):
     found = {r["doc_id"]: r for r in licenses.license_report(table(spark, texts)).collect()}
     assert [found[i]["licenses"] for i in range(6)] == ["MIT", "MIT", "", "CC-BY-NC-4.0", "", ""]
     assert [found[i]["restricted"] for i in range(6)] == [False, False, False, True, False, False]
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """MIT License
+
+Copyright (c) 2020 A. Writer
+
+""" + textwrap.fill(licenses.SENTENCES["mit-grant"], 70) + ":\n\n" + textwrap.fill(licenses.SENTENCES["mit-notice"], 70) + "."
+
+
+def gnu(name, version, mark=";", what="program"):
+    return f"""frob - does things
+Copyright (C) 2020 A. Writer
+
+This {what} is free software{mark} you can redistribute it and/or modify
+it under the terms of the {name} as published by
+the Free Software Foundation{"," if mark == ":" else mark} either version {version} of the License, or
+(at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+
+
+def comment(text, sign):
+    return "\n".join(f"{sign} {line}".rstrip() for line in text.split("\n"))
+
+
+def test_real_wrapped_headers(spark):
+    lesser = "GNU Lesser General Public License"
+    cases = [
+        (APACHE, "Apache-2.0", False), ("Copyright 2020 X\n\n" + APACHE, "Apache-2.0", False),
+        (comment("Copyright 2020 X\n\n" + APACHE, "#"), "Apache-2.0", False),
+        (comment(textwrap.fill(APACHE.replace("\n\n", " "), 40), " *"), "Apache-2.0", False),
+        (MIT, "MIT", False), (comment(MIT, "//"), "MIT", False), ("The MIT License\n\nwords", "MIT", False),
+        (gnu("GNU General Public License", 2), "GPL-2.0", True), (gnu("GNU General Public License", 3, ":"), "GPL-3.0", True),
+        (comment(gnu("GNU General Public License", 3), " *"), "GPL-3.0", True), (gnu(lesser, "2.1", what="library"), "LGPL-2.1", True),
+        (gnu(lesser, 3, ":"), "LGPL-3.0", True), (gnu("GNU Library General Public License", 2), "LGPL-2.0", True),
+        (gnu("GNU Affero General Public License", 3, ":").replace("\n", "\r\n"), "AGPL-3.0", True),
+        (gnu("GNU General Public License", 2).replace("either version 2 of the License, or\n(at your option) any later version", "version 2 of the License"), "GPL-2.0", True),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL", "MPL-2.0", True),
+        ("\n".join(["The MIT License. x"] + ["Licensed under CC BY 4.0"] * 20000), "CC-BY-4.0,MIT", False),
+        ("you may not use this file except in compliance with the License.", "", False),
+    ]
+    found = {r["doc_id"]: r for r in licenses.license_report(table(spark, [c[0] for c in cases])).collect()}
+    assert [(found[i]["licenses"], found[i]["restricted"]) for i in range(len(cases))] == [c[1:] for c in cases]
+    assert found[0]["sentence_ids"].split(",")[:2] == ["apache-header-license", "apache-may-not"]
+    assert "apache-as-is" in found[0]["sentence_ids"] and set(found[4]["sentence_ids"].split(",")) == {"mit-grant", "mit-notice"}
+    assert all(found[i]["n_sentences"] > 0 for i in found)
+
+
+def test_every_sentence_is_in_a_rule_and_every_rule_has_sentences():
+    ruled = {i for _, ids, _ in licenses.RULES for x in ids for i in x.split(",")}
+    assert ruled == set(licenses.SENTENCES)
