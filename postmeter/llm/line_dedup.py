@@ -8,11 +8,15 @@ within one edit the earliest stays.
 Only lines that can have a neighbour send anything: one edit leaves the first or the
 second half of a line as it was, so a line must share a half, at a matching length,
 with another.  Equal lines are one line from the start, under their first place.
+
+Two edits, where the length of the lines allows them, leave two quarters of a line as
+they were, moved by two places at most; lines that share two quarters are compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +50,64 @@ def deletion_hashes(line: str) -> np.ndarray:
     return np.concatenate([upto[-1:] + sizes[:1], without + sizes[1:]])
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
+class Edits(NamedTuple):
+    """How many edits make two lines one, by the length of the shorter of them.
+
+    No edit below ``one_from`` characters, one from there, two from ``two_from`` (never
+    if None).
+    """
+
+    one_from: int = 1
+    two_from: int | None = None
+
+
+# One edit at any length, as the report counts; by length, for texts that are cut.
+ONE_EDIT = Edits()
+BY_LENGTH = Edits(10, 60)
+
+
+def _quarter_keys(size: str = "n") -> str:
+    """SQL: hashes of what two edits may leave of ``line``, for each size of the longer line.
+
+    For each pair of quarters of the longer line that may hold the edits: the text before,
+    between and after them, where edits before a text have moved it.
+    """
+    keys = []
+    for more in (0, 1, 2):
+        whole = f"({size} + {more})"
+        at = [f"({whole} * {i} div 4)" for i in range(5)]
+        for p in range(3):
+            for q in range(p + 1, 4):
+                # What the first edit may do to the place of the text between.
+                for moved in {0: (-1, 0, 1), 1: (-1, 0), 2: (-1,)}[more] if q > p + 1 else (0,):
+                    keys.append(
+                        f"xxhash64({p}, {q}, {whole}, left(line, {at[p]}),"
+                        f" substring(line, {at[p + 1]} + {moved} + 1, {at[q]} - {at[p + 1]}), right(line, {whole} - {at[q + 1]}))"
+                    )
+    return f"array_distinct(array({', '.join(keys)}))"
+
+
+def _two_edits(docs: DataFrame, distinct: DataFrame, two_from: int) -> DataFrame:
+    """``h1, h2, near`` of the lines that a line within two edits precedes, both long enough."""
+    lines = docs.select(F.explode(F.split(text_or_empty(docs), "\n")).alias("line")).where("trim(line) <> ''")
+    long = lines.withColumn("n", F.char_length("line")).where(F.col("n") >= two_from)
+    once = long.select(*[e.alias(a) for e, a in zip(_line_hash(), ("h1", "h2"))], "line", "n").groupBy("h1", "h2").agg(
+        F.first("line").alias("line"), F.first("n").alias("n")
+    )
+    texts = keep(once.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]), "long-lines")
+    keyed = keep(texts.select("h1", "h2", "first", F.explode(F.expr(_quarter_keys())).alias("key")), "line-quarters")
+    earlier = keyed.select("key", F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("first").alias("before"))
+    pairs = keyed.join(earlier, "key").where("before < first").select("h1", "h2", "o1", "o2").distinct()
+    return (
+        pairs.join(texts.select("h1", "h2", "line"), ["h1", "h2"])
+        .join(texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("earlier")), ["o1", "o2"])
+        .where("levenshtein(line, earlier, 2) between 0 and 2")
+        .select("h1", "h2", F.lit(True).alias("near"))
+        .distinct()
+    )
+
+
+def _occurrences(docs: DataFrame, one_from: int = 1) -> DataFrame:
     """Places of all lines with the hashes of the line and of its halves, no text."""
     numbered = docs.select(
         F.monotonically_increasing_id().alias("row"),
@@ -67,7 +128,8 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return sized.select(
         "row", "doc_id", "pos", *[e.alias(a) for e, a in zip(_line_hash(), ("h1", "h2"))],
         (F.trim("line") == "").alias("blank"),
-        F.expr(f"array({', '.join(halves('n') + halves('n + 1'))})").alias("halves"),
+        # A line too short for an edit asks for no neighbour.
+        F.expr(f"case when n >= {one_from} then array({', '.join(halves('n') + halves('n + 1'))}) end").alias("halves"),
     )
 
 
@@ -126,17 +188,20 @@ def _variants(lines: DataFrame) -> DataFrame:
     return found.select("h1", "h2", F.struct("late", "doc_id", "row", "pos").alias("first"), "variant", "gone")
 
 
-def line_places(docs: DataFrame) -> DataFrame:
+def line_places(docs: DataFrame, edits: Edits = ONE_EDIT) -> DataFrame:
     """``row, doc_id, pos, stays`` of every line of every row of ``docs``.
 
     * Lines end at a line feed.  A blank line always stays and drops nothing.
-    * A line is dropped if an equal line, or a line within one edit (a character
-      added, left out or replaced), starts earlier: by ``doc_id`` (null last), then by
+    * A line is dropped if an equal line, or a line within the edits (a character
+      added, left out or replaced) that ``edits`` allows for the shorter of both, starts earlier: by ``doc_id`` (null last), then by
       row, then by position.  Whether that line stays itself does not matter.
     * Null texts are empty: one blank line.  Rows are documents of their own, also
       with a repeated ``doc_id``.  An empty table gives an empty one.
     """
-    places = keep(_occurrences(docs), "line-places")
+    # Below 12 characters a quarter is too small to be moved by two.
+    if edits.one_from < 1 or edits.two_from is not None and edits.two_from < max(12, edits.one_from):
+        raise ValueError(f"one edit counts from 1 character or more, two from 12 or more and not before one: {edits}")
+    places = keep(_occurrences(docs, edits.one_from), "line-places")
     at = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "pos")
     distinct = keep(
         places.where("not blank").groupBy("h1", "h2").agg(
@@ -172,6 +237,8 @@ def line_places(docs: DataFrame) -> DataFrame:
         .where("levenshtein(line, earlier, 1) between 0 and 1")
         .select("h1", "h2", F.lit(True).alias("near"))
     )
+    if edits.two_from is not None:
+        near = near.union(_two_edits(docs, distinct, edits.two_from)).distinct()
     verdict = keep(distinct.join(near, ["h1", "h2"], "left").select("h1", "h2", "first", "near"), "line-verdicts")
     stays = verdict.where("near is null").select(F.col("first.row").alias("row"), F.col("first.pos").alias("pos"), F.lit(True).alias("kept"))
     return places.join(stays, ["row", "pos"], "left").select(
@@ -179,11 +246,11 @@ def line_places(docs: DataFrame) -> DataFrame:
     )
 
 
-def line_report(docs: DataFrame) -> DataFrame:
+def line_report(docs: DataFrame, edits: Edits = ONE_EDIT) -> DataFrame:
     """Per row: ``doc_id, n_lines, n_kept, dropped`` (line numbers from 0, comma-joined)."""
     gone = F.array_sort(F.collect_list(F.when(~F.col("stays"), F.col("pos"))))
     return (
-        line_places(docs)
+        line_places(docs, edits)
         .groupBy("row")
         .agg(
             F.max("doc_id").alias("doc_id"),
@@ -195,13 +262,16 @@ def line_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the text of each row cut down to the lines that stay."""
+def drop_lines(docs: DataFrame, edits: Edits = BY_LENGTH) -> DataFrame:
+    """``docs`` with the text of each row cut down to the lines that stay.
+
+    Short lines (list numbers, table cells, braces) go only if an equal line is earlier.
+    """
     key = unused_name(docs, "row")
     numbered = keep(docs.withColumn(key, F.monotonically_increasing_id()), "line-docs")
     # The own row number ranks as the ids do where those are unique and ascending.
     gone = (
-        line_places(numbered.select(F.col(key).alias("doc_id"), "text"))
+        line_places(numbered.select(F.col(key).alias("doc_id"), "text"), edits)
         .where("not stays").groupBy(F.col("doc_id").alias(key))
         .agg(F.collect_set("pos").alias("__gone"))
     )

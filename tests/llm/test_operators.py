@@ -190,6 +190,57 @@ def test_lines_against_all_pairs(spark, seed):
     assert sorted(left.values(), key=len) == ["m", "x1 long line\nk"] or len(left) == 2
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_lines_by_length_against_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    edits = line_dedup.Edits(4, 12)
+    lines = ["1", "2", "}", "{", "ab", "ac", "abc", "abd", "abcd", "abce"]
+    for n in [3, 4, 5, 11, 12, 13, 14, 15, 16, 17, 23, 40] * 2:
+        base = "".join(rng.choice("abcdef é") for _ in range(n)) + "."
+        lines.append(base)
+        for _ in range(8):
+            own = list(base)
+            for _ in range(rng.randint(1, 3)):
+                at, kind = rng.randrange(len(own)), rng.randrange(3)
+                own[at : at + (kind > 0)] = [] if kind == 1 else [rng.choice("abcdefé")]
+            lines.append("".join(own))
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(1, 8))) for _ in range(40)]
+    seen, want = [], {}
+    for d, text in enumerate(texts):
+        gone = []
+        for p, line in enumerate(text.split("\n")):
+            if line.strip(" "):
+                for s in seen:
+                    short = min(len(line), len(s))
+                    if distance(line, s) <= (0 if short < 4 else 1 if short < 12 else 2):
+                        gone.append(str(p))
+                        break
+                seen.append(line)
+        want[d] = ",".join(gone)
+    found = line_dedup.line_report(table(spark, texts), edits).collect()
+    assert {r["doc_id"]: r["dropped"] for r in found} == want
+
+
+def test_drop_lines_leaves_exactly(spark):
+    rng = random.Random(7)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(198)) + "zz"
+    two, three = "Q" + long[1:120] + "Q" + long[121:], "R" + long[1:60] + "R" + long[61:150] + "R" + long[151:]
+    texts = [f"x1 long line\nk\n1\n{{\n{long}", f"x2 long line\nm\n2\n}}\n{two}", f"k\n12.5\n{three}\n12.6"]
+    left = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(table(spark, texts).coalesce(1).sortWithinPartitions("doc_id")).collect()}
+    assert left == {0: texts[0], 1: "m\n2\n}", 2: f"12.5\n{three}\n12.6"}
+    with pytest.raises(ValueError):
+        line_dedup.line_places(table(spark, ["a"]), line_dedup.Edits(1, 5))
+
+
 def test_contamination(spark):
     ten = [f"t{i}" for i in range(14)]
     bench = spark.createDataFrame(
