@@ -12,9 +12,13 @@ from .language_id import language_report
 from .licenses import license_report
 from .licenses import oracle_sql as license_sql
 from .line_dedup import line_report
+from .mixing import mix
 from .ngram_join import near_report
 from .packing import packing_report
+from .periodic_runs import plant_runs, runs_report
 from .pii import pii_report
+from .prefix_trie import oracle_sql as trie_sql
+from .prefix_trie import trie_report
 from .token_counts import token_counts
 from .token_files import token_file_report
 
@@ -38,6 +42,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": _on("documents", language_report),
     "op9_token_counts": _on("documents", token_counts),
     "op10_token_files": _on("documents", token_file_report),
+    "op11_mixing": _on("documents", mix),
+    "op12_prefix_trie": _on("conversations", trie_report),
+    "op13_periodic_runs": _on("documents", lambda docs: runs_report(plant_runs(docs))),
 }
 
 # Words and windows of op1; windows of all lengths that occur are compared.
@@ -78,4 +85,5 @@ ORACLE_SQL: dict[str, str] = {
                sha256(norm) as text_sha256
         from (select doc_id, {_LOWER} as norm from documents)
     """,
+    "op12_prefix_trie": trie_sql(),
 }

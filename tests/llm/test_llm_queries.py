@@ -14,7 +14,7 @@ SF_DIR = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_query_and_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{SF_DIR}/{t}.parquet')")
     found = QUERIES[name](spark, SF_DIR)
     wanted = con.execute(ORACLE_SQL[name])
