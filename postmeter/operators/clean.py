@@ -6,7 +6,7 @@ stream, and no step shuffles.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Collection, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,11 +28,11 @@ def normalize_columns(raw: DataFrame) -> DataFrame:
     return raw.toDF(*normalized_names(raw.columns))
 
 
-def null_tokens(raw: DataFrame) -> DataFrame:
-    """Turn the standard null markers into null in every text column."""
+def null_tokens(raw: DataFrame, besides: Collection[str] = ()) -> DataFrame:
+    """Turn the standard null markers into null in every text column but those in ``besides``."""
     return raw.select(
         *[
-            null_if_token(name) if kind == "string" else quoted(name)
+            null_if_token(name) if kind == "string" and name not in besides else quoted(name)
             for name, kind in raw.dtypes
         ]
     )
