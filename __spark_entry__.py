@@ -147,7 +147,65 @@ def _write_ragged(spark: SparkSession, sf_dir: str) -> str:
 
 def _csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts, _ = pm.read_posts_csv(spark, _write_ragged(spark, sf_dir), multi_line=False)
-    return pm.clean_posts(posts).select("date", "platform", "sentiment", "engagements", "post_type", "event_id")
+    return pm.clean_posts(posts)
+
+
+# Bytes of the ranges that the queries below read by, so that small tables have many too.
+RANGE = 100_000
+
+
+def _csv_multi_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes with line breaks and quotes, read by byte ranges."""
+    path = _fresh(spark, "csv_lines")
+    note = F.concat(F.lit('said "'), F.col("event_id").cast("string"), F.lit('",\n\nthen\nleft'))
+    raw = _raw(spark, sf_dir).withColumn("The Note", F.when(F.col("event_id") % 3 > 0, note))
+    raw.write.option("header", True).option("escape", '"').csv(path)
+    posts, _ = pm.read_posts_csv(spark, path, range_bytes=RANGE)
+    return pm.clean_posts(posts)
+
+
+def _csv_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of an upload that gives no post: rejected ones and undated posts."""
+    posts, rejects = pm.read_posts_csv(spark, _write_ragged(spark, sf_dir), origin=True, range_bytes=RANGE)
+    return rejects.unionByName(pm.quarantine(posts)).select("record", "reason")
+
+
+def _preview_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first posts of an upload of several files, in their order."""
+    path = _fresh(spark, "csv_order")
+    ordered = _raw(spark, sf_dir).repartitionByRange(4, F.desc("event_id")).sortWithinPartitions(F.desc("event_id"))
+    ordered.write.option("header", True).option("escape", '"').csv(path)
+    posts, _ = pm.read_posts_csv(spark, path, origin=True, range_bytes=RANGE)
+    return pm.preview(pm.clean_posts(posts), 5, file_order=True)
+
+
+def _observed_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcome seen while the cleaned table is written."""
+    return pm.keep_posts(_marked(spark, sf_dir))[1]
+
+
+def _undated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undated posts of a table."""
+    raw = _marked(spark, sf_dir).select("Date", "Platform", "event_id")
+    return pm.quarantine(raw).select("record", "reason")
+
+
+def _merged(spark: SparkSession, sf_dir: str, by) -> DataFrame:
+    """The label table of three batches, each added without reading the ones before."""
+    posts = _posts(spark, sf_dir)
+    batches = [posts.where(F.col("event_id") % 3 == k) for k in range(3)]
+    labels = pm.keep_labels(batches[0], by)
+    for batch in batches[1:]:
+        labels = pm.add_to_labels(labels, batch, by)
+    return labels
+
+
+def _merged_cube(spark: SparkSession, sf_dir: str, by=()) -> DataFrame:
+    return _merged(spark, sf_dir, by).where("chart <> 'moment'").drop("lowest")
+
+
+def _merged_prompts(spark: SparkSession, sf_dir: str, by=()) -> DataFrame:
+    return pm.campaign_prompts(None, by, labels=_merged(spark, sf_dir, by))
 
 
 def _csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,6 +373,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csv_by_folder": _csv_by_folder,
         "csv_ragged": _csv_ragged,
         "csv_rejects": _csv_rejects,
+        "csv_multi_line": _csv_multi_line,
+        "csv_left_out": _csv_left_out,
+        "preview_files": _preview_files,
+        "cleaning_outcome_observed": _observed_outcome,
+        "undated_posts": _undated,
+        "merged_cube": _merged_cube,
+        "merged_cube_by_brand": lambda spark, sf_dir: _merged_cube(spark, sf_dir, BRAND),
+        "merged_prompts": _merged_prompts,
+        "merged_prompts_by_brand": lambda spark, sf_dir: _merged_prompts(spark, sf_dir, BRAND),
         "clean_table": _clean_table,
         "report_table": _report_table,
         "report_with_analyses_by_brand": _report_with_analyses,

@@ -8,16 +8,21 @@ from .clean import (
     fill_engagements,
     normalize_columns,
     null_tokens,
+    observed_posts,
     parse_dates,
+    quarantine,
 )
+from .keep import keep_posts
 from .metrics import (
     CHARTS,
+    add_to_labels,
     campaign_cube,
     category_counts,
     category_share,
     daily_engagement,
     keep_labels,
     label_table,
+    merge_labels,
     platform_engagement,
     total_posts,
 )
@@ -26,6 +31,7 @@ from .trends import daily_trend, dominant, lowest_day, peak_day, post_trend, top
 
 __all__ = [
     "CHARTS",
+    "add_to_labels",
     "campaign_cube",
     "category_counts",
     "category_share",
@@ -38,15 +44,19 @@ __all__ = [
     "fill_categories",
     "fill_engagements",
     "keep_labels",
+    "keep_posts",
     "label_table",
+    "merge_labels",
     "lowest_day",
     "normalize_columns",
     "null_tokens",
+    "observed_posts",
     "parse_dates",
     "peak_day",
     "platform_engagement",
     "post_trend",
     "preview",
+    "quarantine",
     "ranked",
     "top_locations",
     "top_platform",

@@ -1,4 +1,4 @@
-"""Cleaning: raw posts in, posts with the fixed schema out.
+"""Cleaning: raw posts in, posts with the fixed schema out, and what was left out.
 
 Every step looks at one row only, so the same code serves a batch table and a
 stream, and no step shuffles.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Collection, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
@@ -98,18 +98,54 @@ def cleaning_outcome(
     rows whose value is no finite number and became 0), ``null_engagements`` (likewise
     null), and ``engagements_absent``.  ``rows_kept`` 0 means that nothing valid is left.
     """
+    marked, counts = _marked(raw, formats)
+    return marked.groupBy(*[quoted(c) for c in by]).agg(*counts)
+
+
+def observed_posts(raw: DataFrame, observation: Observation, formats: Iterable[str] = ()) -> DataFrame:
+    """``clean_posts`` that tells ``observation`` the outcome as its rows pass by."""
+    marked, counts = _marked(raw, formats)
+    return drop_invalid_dates(marked.observe(observation, *counts).drop(_GIVEN))
+
+
+_GIVEN = "_given_engagements"
+
+
+def _marked(raw: DataFrame, formats: Iterable[str]) -> tuple[DataFrame, list[Column]]:
+    """Posts before undated ones go, with the engagements as given, and what to count of them."""
     posts = normalize_columns(raw)
     absent = "engagements" not in posts.columns
     text = "engagements" if not absent else "cast(null as string)"
     steps = {**_date(posts, formats), **_engagements(posts), **_categories(posts)}
-    marked = posts.withColumn("_given", F.expr(f"cast({text} as string)")).withColumns(steps)
-    bad = f"_given is not null and not coalesce(rlike(_given, {sql_text(NUMBER)}) and abs(try_cast(_given as double)) < double('infinity'), false)"
+    marked = posts.withColumn(_GIVEN, F.expr(f"cast({text} as string)")).withColumns(steps)
+    bad = f"{_GIVEN} is not null and not coalesce(rlike({_GIVEN}, {sql_text(NUMBER)}) and abs(try_cast({_GIVEN} as double)) < double('infinity'), false)"
     kept = "date is not null"
-    return marked.groupBy(*[quoted(c) for c in by]).agg(
+    return marked, [
         F.count("*").alias("rows_in"),
         F.count_if(F.expr("date is null")).alias("rows_without_date"),
         F.count_if(F.expr(kept)).alias("rows_kept"),
         F.count_if(F.expr(f"{kept} and {bad}")).alias("bad_engagements"),
-        F.count_if(F.expr(f"{kept} and _given is null")).alias("null_engagements"),
+        F.count_if(F.expr(f"{kept} and {_GIVEN} is null")).alias("null_engagements"),
         F.lit(absent).alias("engagements_absent"),
-    )
+    ]
+
+
+def quarantine(raw: DataFrame, formats: Iterable[str] = ()) -> DataFrame:
+    """The posts that cleaning drops, one row each: ``file, record, reason``.
+
+    Cleaned posts and these are all rows of ``raw``; for a CSV upload these and its
+    rejects are all that is left out.  ``file`` and ``record`` are those of
+    ``read_posts_csv`` with ``origin``; without them ``file`` is null and ``record`` the row as
+    JSON, null values included.
+    """
+    posts = normalize_columns(raw)
+    given = posts.withColumn("_given", F.col("date").cast("string") if "date" in posts.columns else F.lit(None))
+    undated = given.withColumns(_date(posts, formats)).where("date is null")
+    row = F.struct(*[F.col("_given").alias("date") if c == "date" else quoted(c) for c in posts.columns])
+    whole = F.to_json(row, {"ignoreNullFields": "false"})
+    has = set(posts.columns)
+    return undated.select(
+        F.col("source_file") if "source_file" in has else F.lit(None).cast("string").alias("source_file"),
+        F.coalesce("source_record", whole) if "source_record" in has else whole,
+        F.when(F.col("_given").isNull(), F.lit("no date")).otherwise(F.concat(F.lit("not a date: "), F.col("_given"))),
+    ).toDF("file", "record", "reason")

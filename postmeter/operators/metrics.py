@@ -8,7 +8,7 @@ task and needs no salting.
 
 from __future__ import annotations
 
-from collections.abc import Collection, Sequence
+from collections.abc import Collection, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -123,35 +123,27 @@ def label_table(
     keys = by_columns(df, by, _CUBE_COLUMNS)
     if not one_scan:
         return reduce(DataFrame.unionByName, [_chart_rows(df, c, by) for c in charts])
-    own = {chart: f"_{chart}" for chart in charts if chart != TOTAL}
-    wide = df.select(
-        *keys,
-        "engagements",
-        *[
-            F.expr({"day": "to_date(date)", MOMENT: "date"}.get(chart, sql_name(chart))).alias(name)
-            for chart, name in own.items()
-        ],
-    )
-    sets = [[*keys, F.col(name)] for name in own.values()] + ([keys] if TOTAL in charts else [])
-    cube = wide.groupingSets(sets, *keys, *[F.col(n) for n in own.values()]).agg(
-        F.grouping_id().alias("_set"),
-        F.count("*").alias("n"),
-        F.sum("engagements").alias("engagements"),
-        F.min("engagements").alias("lowest"),
-    )
-    # In the id, the last grouping column is the lowest bit, set when it is left out.
-    everything = 2 ** len(own) - 1
-    chart_of = F.lit(TOTAL) if TOTAL in charts else F.lit(None).cast("string")
-    label_of = F.lit(None).cast("string")
-    for i, (chart, name) in enumerate(own.items()):
-        left_in = F.col("_set") == F.lit(everything - 2 ** (len(own) - 1 - i))
-        text = F.expr({"day": day_text(name), MOMENT: f"cast({name} as string)"}.get(chart, name))
-        chart_of = F.when(left_in, F.lit(chart)).otherwise(chart_of)
-        label_of = F.when(left_in, text).otherwise(label_of)
-    # Without posts the empty grouping set would still give a row.
-    return cube.where("n > 0").select(
-        *keys, chart_of.alias("chart"), label_of.alias("label"), "n", "engagements", "lowest"
+    # One row per post and chart, grouped at once.  Spark can share the shuffle of two
+    # readers of this table, which it cannot with grouping sets.
+    rows = ", ".join(_labelled(chart) for chart in charts)
+    long = df.select(*keys, "engagements", F.expr(f"stack({len(charts)}, {rows}) as (chart, _label, _at)"))
+    sums = long.groupBy(*keys, "chart", "_label", "_at").agg(
+        F.count("*").alias("n"), F.sum("engagements").alias("engagements"), F.min("engagements").alias("lowest")
     )
+    # The texts of days are made from the few days, not for every post.
+    label = f"case chart when 'day' then {day_text('_at')} when '{MOMENT}' then cast(_at as string) else _label end"
+    return sums.select(*keys, "chart", F.expr(f"{label} as label"), "n", "engagements", "lowest")
+
+
+def _labelled(chart: str) -> str:
+    """SQL of chart, label and time of a post."""
+    none, never = "cast(null as string)", "cast(null as timestamp_ntz)"
+    label, at = {
+        "day": (none, "cast(to_date(date) as timestamp_ntz)"),
+        MOMENT: (none, "cast(date as timestamp_ntz)"),
+        TOTAL: (none, never),
+    }.get(chart, (sql_name(chart), never))
+    return f"'{chart}', {label}, {at}"
 
 
 def keep_labels(df: DataFrame, by: By = (), path: str | None = None) -> DataFrame:
@@ -163,13 +155,37 @@ def keep_labels(df: DataFrame, by: By = (), path: str | None = None) -> DataFram
     return keep_clean(label_table(df, by, (*CHARTS, TOTAL, MOMENT)), "labels", path=path)
 
 
+def merge_labels(tables: Iterable[DataFrame], by: By = ()) -> DataFrame:
+    """One label table from those of separate batches of posts.
+
+    Counts and sums add up and the lowest is the least, so nothing is lost but the
+    posts themselves: insights, summaries, trends by date and reports of the merged
+    table are those of all posts.  Sums of fractions may differ in the last digits.
+    """
+    whole = reduce(DataFrame.unionByName, tables)
+    keys = by_columns(whole, by, _CUBE_COLUMNS)
+    return whole.groupBy(*keys, "chart", "label").agg(
+        F.sum("n").alias("n"), F.sum("engagements").alias("engagements"), F.min("lowest").alias("lowest")
+    )
+
+
+def add_to_labels(labels: DataFrame, posts: DataFrame, by: By = (), path: str | None = None) -> DataFrame:
+    """A kept label table with a batch of new ``posts`` added; old posts are not read again.
+
+    ``labels`` comes from ``keep_labels`` or this function and stays as it is;
+    ``drop_table`` removes it.
+    """
+    batch = label_table(posts, by, (*CHARTS, TOTAL, MOMENT))
+    return keep_clean(merge_labels([labels, batch], by), "labels", path=path)
+
+
 def campaign_cube(
     df: DataFrame, by: By = (), charts: Sequence[str] = (*CHARTS, TOTAL), one_scan: bool = True
 ) -> DataFrame:
     """Posts and engagements per label of every chart, and in total, in one table.
 
     Rows are ``(by, chart, label, n, engagements)``; the label of a day is its ISO
-    text, that of the total is null.  The default reads the input once (grouping
-    sets); ``one_scan=False`` aggregates each chart by a scan of its own.
+    text, that of the total is null.  The default reads the input once (a row per
+    post and chart before the partial sums); ``one_scan=False`` aggregates each chart by a scan of its own.
     """
     return label_table(df, by, charts, one_scan).drop("lowest")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import order_columns
+from ..functions.columns import order_columns, quoted
+from ..schema import SOURCE_COLUMNS
 from .metrics import By, by_columns, category_counts
 
 
@@ -31,7 +32,15 @@ def top_locations(df: DataFrame, k: int = 5, by: By = ()) -> DataFrame:
     return ranked(category_counts(df, "location", by), "location", "n", k, by)
 
 
-def preview(df: DataFrame, n: int = 5, order_col: str | None = None) -> DataFrame:
-    """The first ``n`` posts by date, then ``order_col``, then the other columns."""
+def preview(df: DataFrame, n: int = 5, order_col: str | None = None, file_order: bool = False) -> DataFrame:
+    """The first ``n`` posts by date, then ``order_col``, then the other columns.
+
+    ``file_order`` gives the first as the files hold them, file by file; it needs the
+    columns of ``read_posts_csv`` with ``origin``, which the result leaves out.
+    """
+    if file_order:
+        rest = [c for c in df.columns if c not in SOURCE_COLUMNS]
+        own = df.select(*SOURCE_COLUMNS[:2], *[quoted(c) for c in rest])
+        return own.orderBy(*SOURCE_COLUMNS[:2]).limit(n).drop(*SOURCE_COLUMNS)
     first = ["date"] + ([order_col] if order_col else [])
     return df.orderBy(*order_columns(df, first)).limit(n)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import number_text, sql_name, sql_text
 from ..operators.metrics import MOMENT, By, by_columns, label_table
-from ..operators.ranking import ranked
-from ..operators.trends import post_trend, trend_of_moments
+from ..operators.trends import direction, post_trend
 from .insights import CHART_VALUE
 from .report import campaign_bests
 
@@ -39,33 +38,47 @@ def summary_facts(
     charts = ["sentiment", "platform", "media_type", "location", *([] if order_col else [MOMENT])]
     table = label_table(df, by, charts) if labels is None else labels
     keys = by_columns(table, by)
-    valued = table.withColumn("value", F.expr(CHART_VALUE)).select(*keys, "chart", "label", "value")
-    listed = valued.where("chart in ('sentiment', 'platform', 'media_type')")
-    top_places = ranked(valued.where("chart = 'location'"), "label", "value", 3, by)
-    lists = (
-        listed.unionByName(top_places.select(*keys, "chart", "label", "value"))
-        .groupBy(*keys, "chart")
-        .agg(F.expr("array_sort(collect_list(struct(-value as minus, label, value))) as _list"))
+    wanted = ", ".join(sql_text(c) for c in charts)
+    valued = table.where(f"chart in ({wanted})").withColumn("value", F.expr(CHART_VALUE))
+    group = [*keys, F.col("chart")]
+    order = Window.partitionBy(*group).orderBy(F.desc("value"), F.asc("label"))
+    # Both readers of the labels take all charts and the same columns, so that they
+    # share one shuffle; charts are told apart only after it.
+    top = (
+        valued.withColumn("_rank", F.row_number().over(order))
+        .filter("_rank <= 3")
+        .select(*group, "_rank", F.expr("struct(label, value, n, lowest) as _entry"))
     )
+    moment = f"filter (where chart = '{MOMENT}')"
+    at = "cast(label as timestamp_ntz)"
+    whole = valued.groupBy(*group).agg(
+        F.expr(f"array_sort(collect_list(struct(-value as minus, label, value)) filter (where chart in ({_LISTED}))) as _list"),
+        F.expr(f"sum(n) {moment} as n_posts"),
+        F.expr(f"min_by(lowest, if(chart = '{MOMENT}', {at}, null)) as first_engagements"),
+        F.expr(f"max_by(lowest, if(chart = '{MOMENT}', {at}, null)) as last_engagements"),
+    )
+    parts = whole.unionByName(top, allowMissingColumns=True)
     if order_col:
-        trend = post_trend(df, by, order_col)
-    else:
-        moments = table.where(f"chart = '{MOMENT}'").select(
-            *keys, F.expr("cast(label as timestamp_ntz) as _date"), F.col("n").alias("_n"), F.col("lowest").alias("_lowest")
-        )
-        trend = trend_of_moments(moments, by)
-    # At most five rows per campaign meet here.
-    both = lists.unionByName(trend, allowMissingColumns=True)
-    return both.groupBy(*keys).agg(
-        F.expr("max(n_posts) as n_posts"),
-        F.expr("max(trend) as trend"),
+        trend = post_trend(df, by, order_col).drop("trend")
+        parts = parts.drop("n_posts", "first_engagements", "last_engagements").unionByName(trend, allowMissingColumns=True)
+    places = ", ".join(f"max(_entry) filter (where chart = 'location' and _rank = {i})" for i in (1, 2, 3))
+    # At most a few rows per chart and campaign meet here.
+    facts = parts.groupBy(*keys).agg(
+        F.expr("coalesce(max(n_posts), 0) as n_posts"),
+        F.expr("max(first_engagements) as _first"),
+        F.expr("max(last_engagements) as _last"),
         *[
             F.expr(f"coalesce(max(_list) filter (where chart = '{c}'), cast(array() as {_LIST})) as _{c}")
-            for c in ("sentiment", "platform", "media_type", "location")
+            for c in ("sentiment", "platform", "media_type")
         ],
+        F.expr(
+            f"transform(array_compact(array({places})), e -> struct(-e.value as minus, e.label, e.value)) as _location"
+        ),
     )
+    return facts.withColumn("trend", F.expr(direction("_first", "_last", "none"))).drop("_first", "_last")
 
 
+_LISTED = "'sentiment', 'platform', 'media_type'"
 _LIST = "array<struct<minus:double,label:string,value:double>>"
 
 

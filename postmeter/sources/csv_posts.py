@@ -17,12 +17,10 @@ from pyspark.sql import types as T
 
 from ..functions.columns import normalized_names, quoted
 from ..operators.clean import null_tokens
-from ..schema import RAW_HEADERS
+from ..schema import RAW_HEADERS, SOURCE_COLUMNS
 from .csv_records import RANGE_BYTES, can_open, cells, file_records, header_records
 
 ONLY_CSV = "*.[cC][sS][vV]"
-# Where a post comes from, as far as its reader knows; see ``read_posts_csv``.
-SOURCE_COLUMNS = ("source_file", "source_place", "source_record")
 _RECORD = "_malformed_record"
 _END = "\u0001"
 

@@ -49,6 +49,20 @@ def _with(*ctes: str) -> str:
     return "with " + ", ".join([_RAW, _MARKED, _PARSED, _POSTS, *ctes]) + " "
 
 
+_TOO_MANY = "'one too many'"
+_UNDATED = "case when marked is null then 'no date' else 'not a date: ' || marked end as reason"
+
+
+def _record(*more: str) -> str:
+    """The text of a record as it is written, with more cells at its end."""
+    cells = [f"coalesce({n}, '')" for n in EVENT_COLUMNS if n != "event_id"]
+    quoted = [
+        f"case when contains(raw_engagements, ',') then '\"' || raw_engagements || '\"' else {c} end" if "engagements" in c else c
+        for c in cells
+    ]
+    return f"concat_ws(',', {', '.join([*quoted, *more])})"
+
+
 def _cleaning() -> dict[str, str]:
     headers = [n.removeprefix("raw_") for n in EVENT_COLUMNS]
     posts_columns = ["date", "engagements", *SIX]
@@ -85,19 +99,27 @@ def _cleaning() -> dict[str, str]:
         # A short record keeps its first two cells.
         "csv_ragged": _with()
         + "select date, platform,"
-        " case when event_id % 103 = 0 then 'Unknown' else sentiment end as sentiment,"
-        " case when event_id % 103 = 0 then 0.0 else engagements end as engagements,"
-        " case when event_id % 103 = 0 then 'Unknown' else post_type end as post_type,"
-        " case when event_id % 103 = 0 then null else cast(event_id as varchar) end as event_id"
+        " case when event_id % 103 = 0 then 0.0 else engagements end as engagements, "
+        + ", ".join(f"case when event_id % 103 = 0 then 'Unknown' else {c} end as {c}" for c in SIX if c != "platform")
+        + ", case when event_id % 103 = 0 then null else cast(event_id as varchar) end as event_id"
         " from posts where event_id % 101 <> 0",
         "csv_rejects": _with()
-        + "select concat_ws(',', coalesce(raw_date, ''), coalesce(raw_platform, ''),"
-        " coalesce(raw_sentiment, ''), coalesce(raw_location, ''),"
-        " case when contains(raw_engagements, ',') then '\"' || raw_engagements || '\"'"
-        " else coalesce(raw_engagements, '') end, coalesce(raw_media_type, ''),"
-        " coalesce(raw_influencer_brand, ''), coalesce(raw_post_type, ''), event_id,"
-        " 'one too many') as record, 'more than 9 cells' as reason"
-        " from raw where event_id % 101 = 0",
+        + f"select {_record('event_id', _TOO_MANY)} as record, 'more than 9 cells' as reason from raw where event_id % 101 = 0",
+        "csv_multi_line": _with()
+        + f"select {', '.join(posts_columns)}, cast(event_id as varchar) as event_id, case when event_id % 3 > 0"
+        " then concat('said \"', event_id, '\",', chr(10), chr(10), 'then', chr(10), 'left') end as the_note from posts",
+        "csv_left_out": _with()
+        + f"select {_record('event_id', _TOO_MANY)} as record, 'more than 9 cells' as reason from raw where event_id % 101 = 0"
+        f" union all select case when event_id % 103 = 0 then concat_ws(',', coalesce(raw_date, ''), coalesce(raw_platform, ''))"
+        f" else {_record('event_id')} end, {_UNDATED} from (select r.*, p.date, m.raw_date as marked from raw r"
+        " join parsed p using (event_id) join marked m using (event_id)) where date is null and event_id % 101 <> 0",
+        "preview_files": _with()
+        + f"select {', '.join(posts_columns)}, cast(event_id as varchar) as event_id from posts order by event_id::bigint desc limit 5",
+        "undated_posts": _with()
+        + "select '{\"date\":' || coalesce('\"' || marked || '\"', 'null') || ',\"platform\":' ||"
+        " coalesce('\"' || raw_platform || '\"', 'null') || ',\"event_id\":' || event_id || '}' as record,"
+        f" {_UNDATED} from (select p.event_id, p.date, m.raw_date as marked, m.raw_platform from parsed p"
+        " join marked m using (event_id)) where date is null",
     }
 
 
@@ -425,6 +447,9 @@ def statements() -> dict[str, str]:
     whole, brands = _metrics(brand=False), _metrics(brand=True)
     report_table, analyses = brands.pop("report_table"), brands.pop("report_with_analyses")
     whole.pop("report_table"), whole.pop("report_with_analyses")
+    whole["cleaning_outcome_observed"] = whole["cleaning_outcome"]
+    for table in (whole, brands):
+        table["merged_cube"], table["merged_prompts"] = table["campaign_cube"], table["campaign_prompts"]
     return {
         **_cleaning(),
         "report_table": report_table,

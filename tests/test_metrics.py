@@ -196,8 +196,7 @@ def test_ranks_are_cut_before_the_shuffle(event_posts):
     "made,scans",
     [
         (pm.campaign_cube, 1), (pm.report_lines, 1), (pm.report_document, 1), (pm.prompt_findings, 1),
-        # Ranks and facts, and ranks, lists and trend, filter the label table each their own way.
-        (pm.campaign_insights, 2), (pm.campaign_summary, 3), (pm.campaign_prompts, 3),
+        (pm.campaign_insights, 1), (pm.campaign_summary, 1), (pm.campaign_prompts, 1),
     ],
 )
 @pytest.mark.parametrize("by", [(), BRAND], ids=["whole", "brand"])
