@@ -224,6 +224,14 @@ def _report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(document.schema).json(path)
 
 
+def _report_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder per brand, each with its lines in order."""
+    path = _fresh(spark, "report_folders")
+    document = pm.report_document(_posts(spark, sf_dir), BRAND)
+    pm.write_report(document, path, BRAND, folders=True)
+    return spark.read.schema(document.schema).json(path)
+
+
 def _report_with_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analyses for some brands, and for one that has no posts."""
     posts = _posts(spark, sf_dir)
@@ -334,6 +342,7 @@ METRICS: dict[str, Callable] = {
     "report_lines": pm.report_lines,
     "report_document": lambda p, by: pm.report_document(p, by, "Post more in the evening."),
     "campaign_summary": _summary,
+    "summary_chunks": lambda p, by: pm.summary_chunks(p, by, size=5),
     "prompt_findings": pm.prompt_findings,
     "campaign_prompts": pm.campaign_prompts,
 }
@@ -384,6 +393,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "merged_prompts_by_brand": lambda spark, sf_dir: _merged_prompts(spark, sf_dir, BRAND),
         "clean_table": _clean_table,
         "report_table": _report_table,
+        "report_folders": _report_folders,
         "report_with_analyses_by_brand": _report_with_analyses,
         "parse_dates_formats": _formats,
         "campaign_summary_fractions": _fractions,

@@ -6,10 +6,13 @@ answer does not depend on row order and no post is sorted globally.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import sql_name
+from ..sources.tables import keep_clean
 from .metrics import By, by_columns, category_counts, daily_engagement, platform_engagement
 
 
@@ -23,8 +26,9 @@ def post_trend(df: DataFrame, by: By = (), order_col: str | None = None) -> Data
 
     Posts on the same date are told apart by ``order_col``; without it the one with
     the fewest engagements is taken at both ends.  That needs one row per campaign and
-    date only, so no post is sorted; ``order_col`` compares whole posts, which Spark
-    sorts within each task.
+    date only, so no post is sorted; ``order_col`` compares whole posts, but only those of
+    a campaign's first and last date.  With ``by`` these dates are found at the call and
+    kept below ``shared_dir``.
     """
     keys = by_columns(df, by, _POST_TREND)
     if order_col is None:
@@ -32,13 +36,38 @@ def post_trend(df: DataFrame, by: By = (), order_col: str | None = None) -> Data
             F.count("*").alias("_n"), F.min("engagements").alias("_lowest")
         )
         return trend_of_moments(moments, by)
-    tie = sql_name(order_col)
-    out = df.groupBy(*keys).agg(
-        F.expr("count(*) as n_posts"),
-        F.expr(f"min_by(engagements, struct(date, {tie}, engagements)) as first_engagements"),
-        F.expr(f"max_by(engagements, struct(date, {tie}, -engagements)) as last_engagements"),
-    )
-    return out.withColumn("trend", F.expr(direction("first_engagements", "last_engagements", "none")))
+    return _ordered_trend(df, by, keys, sql_name(order_col))
+
+
+# Campaigns whose first and last date one task may hold at once.
+EDGE_CAMPAIGNS = 200_000
+
+
+def _ordered_trend(df: DataFrame, by: By, keys: list[Column], tie: str) -> DataFrame:
+    """The first and last date of each campaign, then the posts of those dates only.
+
+    The dates of up to ``EDGE_CAMPAIGNS`` campaigns are counted and sent to every task, so
+    that few posts are compared whole.  Beyond that all are, sorted within each task.
+    """
+    first, last = f"min_by(engagements, struct(date, {tie}, engagements))", f"max_by(engagements, struct(date, {tie}, -engagements))"
+    edges = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("date").alias("_from"), F.max("date").alias("_to"))
+    if by:
+        edges = keep_clean(edges, "edges")
+        if edges.count() > EDGE_CAMPAIGNS:
+            posts = df.groupBy(*keys).agg(F.expr("count(*) as n_posts"), F.expr(f"{first} as first_engagements"), F.expr(f"{last} as last_engagements"))
+            return _with_trend(posts)
+        same = reduce(lambda a, b: a & b, [F.col(f"p.{sql_name(c)}").eqNullSafe(F.col(f"e.{sql_name(c)}")) for c in by])
+        near = same & (F.col("date") == F.col("_from")) | same & (F.col("date") == F.col("_to"))
+        few = df.alias("p").join(F.broadcast(edges.alias("e")), same & near).select("p.*", "_n")
+        whole = few.groupBy(*keys).agg(F.max("_n").alias("n_posts"), F.expr(f"{first} as first_engagements"), F.expr(f"{last} as last_engagements"))
+        return _with_trend(whole)
+    few = df.where((F.col("date") == edges.select("_from").scalar()) | (F.col("date") == edges.select("_to").scalar()))
+    whole = few.agg(F.expr(f"{first} as first_engagements"), F.expr(f"{last} as last_engagements"))
+    return _with_trend(whole.select(edges.select("_n").scalar().alias("n_posts"), "first_engagements", "last_engagements"))
+
+
+def _with_trend(table: DataFrame) -> DataFrame:
+    return table.withColumn("trend", F.expr(direction("first_engagements", "last_engagements", "none")))
 
 
 _POST_TREND = ("n_posts", "first_engagements", "last_engagements", "trend")
@@ -51,7 +80,7 @@ def trend_of_moments(moments: DataFrame, by: By) -> DataFrame:
         F.expr("min_by(_lowest, _date) as first_engagements"),
         F.expr("max_by(_lowest, _date) as last_engagements"),
     )
-    return out.withColumn("trend", F.expr(direction("first_engagements", "last_engagements", "none")))
+    return _with_trend(out)
 
 
 def daily_trend(df: DataFrame, by: By = ()) -> DataFrame:

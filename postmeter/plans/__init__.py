@@ -9,7 +9,7 @@ from .insights import (
     sentiment_insights,
 )
 from .report import report_document, report_lines, write_report
-from .summary import campaign_prompts, campaign_summary, prompt_findings
+from .summary import campaign_prompts, campaign_summary, prompt_findings, summary_chunks
 
 __all__ = [
     "campaign_insights",
@@ -23,5 +23,6 @@ __all__ = [
     "report_document",
     "report_lines",
     "sentiment_insights",
+    "summary_chunks",
     "write_report",
 ]

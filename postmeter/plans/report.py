@@ -119,15 +119,29 @@ def report_document(
 
 
 def write_report(
-    document: DataFrame, path: str, by: By = (), fmt: str = "json", mode: str = "errorifexists"
+    document: DataFrame,
+    path: str,
+    by: By = (),
+    fmt: str = "json",
+    mode: str = "errorifexists",
+    folders: bool = False,
 ) -> None:
     """Write report lines in order as ``json``, ``parquet`` or plain ``text``.
 
-    In the text form the title line of each report says whose it is.
+    In the text form the title line of each report says whose it is.  ``folders`` makes
+    a folder per campaign with one file that holds its lines in order.
     """
-    ordered = document.orderBy(*by_columns(document, by), "position")
-    if fmt == "text":
-        ordered = ordered.select("text")
-    elif fmt not in ("json", "parquet"):
+    keys = by_columns(document, by)
+    if fmt not in ("json", "parquet", "text"):
         raise ValueError(f"unknown report format: {fmt}")
-    ordered.write.mode(mode).format(fmt).save(path)
+    if folders and not by:
+        raise ValueError("folders need the columns that tell campaigns apart")
+    if folders:
+        # A campaign has a few lines, all in one range; no range holds another's.
+        ordered = document.repartitionByRange(*keys).sortWithinPartitions(*keys, "position")
+    else:
+        ordered = document.orderBy(*keys, "position")
+    if fmt == "text":
+        ordered = ordered.select(*(keys if folders else []), "text")
+    writer = ordered.write.mode(mode).format(fmt)
+    (writer.partitionBy(*by) if folders else writer).save(path)

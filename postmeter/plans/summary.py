@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import number_text, sql_name, sql_text
 from ..operators.metrics import MOMENT, By, by_columns, label_table
 from ..operators.trends import direction, post_trend
+from ..sources.tables import keep_clean
 from .insights import CHART_VALUE
 from .report import campaign_bests
 
@@ -141,6 +144,47 @@ def campaign_summary(
     )
 
 
+def summary_chunks(
+    df: DataFrame | None, by: By = (), labels: DataFrame | None = None, size: int = 1000
+) -> DataFrame:
+    """The label lists of the summary as rows of up to ``size`` labels.
+
+    ``by, chart, chunk, n_labels, text``: chunk k has the labels of ranks k * size to
+    (k + 1) * size - 1, best first; the texts of a chart in the order of ``chunk``, with
+    ``', '`` between, are its list in the summary (of locations all, not three).  Labels are
+    ranked by ranges of the sorted table, so no task holds all labels of a campaign.
+    """
+    charts = ["sentiment", "platform", "media_type", "location"]
+    table = label_table(df, by, charts) if labels is None else labels
+    keys = by_columns(table, by, ["chart", "chunk", "n_labels", "text"])
+    group = [sql_name(c) for c in by] + ["chart"]
+    wanted = ", ".join(sql_text(c) for c in charts)
+    entries = table.where(f"chart in ({wanted})").select(
+        *keys, "chart", F.expr(f"-{CHART_VALUE} as _minus"), F.col("label").alias("_label")
+    )
+    # Written once, so that ranges and places in them hold for both readers below.
+    ranged = entries.repartitionByRange(*group, "_minus", "_label").withColumn("_part", F.spark_partition_id())
+    kept = keep_clean(ranged, "ranged_labels")
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        kept.groupBy(*group, "_part")
+        .agg(F.count("*").alias("_n"))
+        .select(*group, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    )
+    in_part = Window.partitionBy(*group, "_part").orderBy("_minus", "_label")
+    placed = kept.withColumn("_row", F.row_number().over(in_part)).alias("p")
+    same = reduce(lambda a, b: a & b, [F.col(f"p.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*group, "_part"]])
+    ranked_labels = placed.join(before.alias("b"), same).select(
+        "p.*", F.floor((F.col("_before") + F.col("_row") - 1) / size).alias("chunk")
+    )
+    listed = "array_sort(collect_list(struct(_minus as minus, _label as label, -_minus as value)))"
+    return (
+        ranked_labels.groupBy(*group, "chunk")
+        .agg(F.count("*").alias("n_labels"), F.expr(f"{listed} as _list"))
+        .selectExpr(*group, "chunk", "n_labels", f"{_list_text('_list')} as text")
+    )
+
+
 def prompt_findings(
     df: DataFrame | None, by: By = (), labels: DataFrame | None = None
 ) -> DataFrame:

@@ -432,6 +432,13 @@ def _metrics(brand: bool) -> dict[str, str]:
             .replace("cast(cast(value as bigint) as varchar)", "regexp_replace(cast(value as varchar), '[.]0$', '')")
             + f"select {b}total_posts, trend, summary from summed"
         ),
+        "summary_chunks": _with()
+        + " union all ".join(
+            f"select {b}'{c}' as chart, (position - 1) // 5 as chunk, count(*) as n_labels,"
+            " string_agg(label || ' ' || cast(cast(value as bigint) as varchar), ', ' order by position) as text"
+            f" from ({ranks(c, 'sum(engagements)' if c == 'platform' else 'count(*)')}) group by all"
+            for c in ("sentiment", "platform", "media_type", "location")
+        ),
         "campaign_summary": _with(*summary_of("event_id", "event_id desc")) + "select * from summed",
         "prompt_findings": _with(*leads)
         + f"select {s_brand}{findings} as findings from lead_sentiment s{joined}",
@@ -453,6 +460,7 @@ def statements() -> dict[str, str]:
     return {
         **_cleaning(),
         "report_table": report_table,
+        "report_folders": report_table,
         "report_with_analyses_by_brand": analyses,
         **whole,
         **{f"{name}_by_brand": sql for name, sql in brands.items()},
