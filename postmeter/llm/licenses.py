@@ -114,6 +114,13 @@ for _key, _name, _v, _licence in _GNU:
             f"{_id}-redistribute-only", f"{_id}-redistribute-only-of", f"{_id}-licensed", f"{_id}-work",
         )
     )
+# Identifier lines, by the names of the licences; those of the GNU family have two more.
+SENTENCES["spdx"] = "SPDX-License-Identifier"
+for _name, _restricts in sorted({(name, r) for name, _, r in RULES}):
+    for _word in (_name, f"{_name}-only", f"{_name}-or-later") if "GPL" in _name else (_name,):
+        _key = "spdx-" + _word.lower().replace(".", "-")
+        SENTENCES[_key] = _word
+        RULES += ((_name, (f"spdx,{_key}",), _restricts),)
 # A sentence ends at these signs before white space.
 _END = "[.!?;:]+([ \\t\\r\\n]|$)"
 # A blank line, also one that holds the signs of a comment only.
@@ -142,9 +149,26 @@ def _pattern(rule: tuple[str, ...]) -> str:
     return "," + ",([a-z0-9-]+,)*".join(rule) + ","
 
 
-def _case_rules(sequence: str, test: str) -> str:
+def _in_order(rule: tuple[str, ...]) -> str:
+    """The same for Java: what is found first is kept, so a text is passed once per rule."""
+    first, *rest = rule
+    return f"^(?>.*?,{first},)" + "".join(f"(?>(?:.*?,)??{r},)" for r in rest)
+
+
+def _count(sequence: str, sid: str) -> str:
+    return f"((length({sequence}) - length(replace({sequence}, '{sid},', ''))) / {len(sid) + 1})"
+
+
+def _alone(sequence: str, name: str, ids: tuple[str, ...]) -> str:
+    """SQL: the rule is met more often than the longer rules of other licences that begin with it."""
+    longer = {x[len(ids)] for other, x, _ in RULES if other != name and x[: len(ids)] == ids and len(x) > len(ids)}
+    return "".join(f" and {_count(sequence, ids[-1])} > {_count(sequence, x)}" for x in sorted(longer))
+
+
+def _case_rules(sequence: str, test: str, pattern=_pattern) -> str:
     return ", ".join(
-        f"case when {test.format(sequence, _quoted(_pattern(ids)))} then {_quoted(name)} end" for name, ids, _ in RULES
+        f"case when {test.format(sequence, _quoted(pattern(ids)))}{_alone(sequence, name, ids)} then {_quoted(name)} end"
+        for name, ids, _ in RULES
     )
 
 
@@ -153,7 +177,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     A text is read three times: with each line feed as the end of a sentence, with line
     feeds as blanks, and so within paragraphs, which blank lines end; a rule may match in
-    any reading.  ``sentence_ids`` are those of the first reading in their order, then
+    any reading.  A rule that begins a longer rule of another licence counts only if it is
+    met more often than that one.  ``sentence_ids`` are those of the first reading in their order, then
     those that only the second has, then those that only the third has; ``n_sentences``
     counts them.  Null texts are empty; rows are documents of their own,
     also with a null or repeated ``doc_id``; an empty table gives an empty one.
@@ -192,10 +217,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         *[F.expr(ids.format(r)).alias(f"ids{r}") for r in READINGS[1:]],
     )
     for r in READINGS[1:]:
-        more = f"concat(sentence_ids, filter(ids{r}, x -> not array_contains(sentence_ids, x)))"
-        joined = joined.withColumn("sentence_ids", F.expr(more))
-    # Characters repeat in a loop, groups by recursion: a text may hold thousands of sentences.
-    rules = ", ".join(_case_rules(f"s{r}", "rlike({}, {})") for r in READINGS).replace("([a-z0-9-]+,)*", "(.*,)?")
+        # As the variable of a lambda the few distinct identifiers are made once.
+        seen = "transform(array(array_distinct(sentence_ids)), seen -> filter(ids{}, x -> not array_contains(seen, x)))"
+        joined = joined.withColumn("sentence_ids", F.expr(f"concat(sentence_ids, get({seen.format(r)}, 0))"))
+    rules = ", ".join(_case_rules(f"s{r}", "rlike({}, {})", _in_order) for r in READINGS)
     return joined.select(
         "row", "doc_id",
         F.size("sentence_ids").cast("long").alias("n_sentences"),
@@ -205,6 +230,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def license_report(docs: DataFrame) -> DataFrame:
+    """One row per document: its known sentences, its licences, and whether one restricts use.
+
+    Rows as in ``scan_licenses``.
+    """
     restricted = ", ".join(sorted({_quoted(name) for name, _, r in RULES if r}))
     return scan_licenses(docs).select(
         "doc_id",
@@ -219,31 +248,36 @@ def oracle_sql() -> str:
     replace = "regexp_replace({}, '{}', '{}', 'g')"
     restricted = ", ".join(sorted({_quoted(name) for name, _, r in RULES if r}))
     end = _END.replace("\\t", "\t").replace("\\r", "\r").replace("\\n", "\n")
-    rules = ", ".join(_case_rules(f"s{r}", "regexp_matches({}, {})") for r in (0, 1))
+    blank = _BLANK.replace("\\n", "\n")
+    rules = ", ".join(_case_rules(f"s{r}", "regexp_matches({}, {})") for r in READINGS)
+    named = ", ".join(f"',' || array_to_string(l{r}, ',') || ',' as s{r}" for r in READINGS)
+    lists = ", ".join(f"coalesce(list(sid order by pos) filter (reading = {r}), []) as l{r}" for r in READINGS)
     return f"""
         with known as ({_known_sql(replace, _quoted)}),
         readings as (
             select doc_id, 0 as reading, coalesce(text, '') as t from documents
             union all select doc_id, 1, replace(coalesce(text, ''), chr(10), ' ') from documents
+            union all select doc_id, 2,
+                replace(regexp_replace(coalesce(text, ''), '{blank}', chr(1), 'g'), chr(10), ' ') from documents
+        ),
+        split as (
+            select doc_id, reading,
+                   string_split(replace(regexp_replace(t, '{end}', chr(10), 'g'), chr(1), chr(10)), chr(10)) as s
+            from readings where regexp_matches(lower(t), '{_WORTH}')
         ),
-        split as (select doc_id, reading, string_split(regexp_replace(t, '{end}', chr(10), 'g'), chr(10)) as s from readings),
         sentences as (
             select doc_id, reading, unnest(range(len(s))) as pos, unnest(s) as sentence from split
         ),
         found as (
-            select doc_id, reading, string_agg(sid, ',' order by pos) as ids, count(*) as n
-            from sentences join known on {_normal('sentence', replace)} = normal group by doc_id, reading
-        ),
-        joined as (
-            select d.doc_id, coalesce(a.ids, '') as ids, coalesce(a.n, 0) as n,
-                   ',' || coalesce(a.ids, '') || ',' as s0, ',' || coalesce(b.ids, '') || ',' as s1
-            from documents d left join found a on a.doc_id = d.doc_id and a.reading = 0
-            left join found b on b.doc_id = d.doc_id and b.reading = 1
+            select doc_id, {lists} from sentences join known on {_normal('sentence', replace)} = normal group by doc_id
         ),
+        listed as (select doc_id, {", ".join(f"coalesce(l{r}, []) as l{r}" for r in READINGS)} from documents left join found using (doc_id)),
+        first as (select *, list_concat(l0, list_filter(l1, lambda x: not list_contains(l0, x))) as l01, {named} from listed),
+        whole as (select *, list_concat(l01, list_filter(l2, lambda x: not list_contains(l01, x))) as ids from first),
         named as (
-            select doc_id, n, ids, list_sort(list_distinct([x for x in [{rules}] if x is not null])) as l from joined
+            select doc_id, ids, list_sort(list_distinct([x for x in [{rules}] if x is not null])) as l from whole
         )
-        select doc_id, n as n_sentences, ids as sentence_ids, array_to_string(l, ',') as licenses,
+        select doc_id, len(ids) as n_sentences, array_to_string(ids, ',') as sentence_ids, array_to_string(l, ',') as licenses,
                list_has_any(l, [{restricted}]) as restricted
         from named
     """
