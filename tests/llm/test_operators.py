@@ -3,6 +3,7 @@
 import random
 import re
 import textwrap
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -285,6 +286,21 @@ def test_language_without_letters_or_labels(spark):
     assert kept.columns == [f.name for f in DOCS.fields]
 
 
+def test_language_stage_drops_what_resembles_no_language(spark):
+    words = "the cat and the dog were in the house and saw the garden".split()
+    texts = [" ".join(words[i % 5 :]) for i in range(40)] + ["漢字仮名交じり文 " * 9, "### @@ 12", None, "", "the dog"]
+    langs = ["en"] * 40 + [None] * 5
+    docs = table(spark, texts, langs=langs)
+    kept = language_id.drop_unknown_language(docs, 0.2)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [*range(40), 44]
+
+
+def test_language_stage_keeps_texts_when_no_label_is_there(spark):
+    docs = table(spark, ["plain words", "plain words", None, "12", "more"], [1, 1, 2, 3, None], [None] * 5)
+    assert sorted(map(repr, (r["doc_id"] for r in language_id.drop_unknown_language(docs).collect()))) == ["1", "1", "None"]
+    assert language_id.drop_unknown_language(table(spark, [])).collect() == []
+
+
 def odd_texts(seed, parts):
     rng = random.Random(seed)
     return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
@@ -508,6 +524,38 @@ def test_real_wrapped_headers(spark):
     assert all(found[i]["n_sentences"] > 0 for i in found)
 
 
+BSD2 = "\n\n".join(licenses.SENTENCES[k] + "." for k in ("bsd-redistribution", "bsd-source", "bsd-binary"))
+BSD3 = BSD2 + "\n\n" + licenses.SENTENCES["bsd-names"] + "."
+
+
+def test_longer_rules_and_identifier_lines(spark):
+    texts = [BSD2, BSD3, BSD2 + "\n\n" + BSD3, "// SPDX-License-Identifier: GPL-3.0-or-later\nint x;", "# SPDX-License-Identifier: MIT\n", "MIT"]
+    found = {r["doc_id"]: (r["licenses"], r["restricted"]) for r in licenses.license_report(table(spark, texts)).collect()}
+    assert [found[i] for i in range(6)] == [
+        ("BSD-2-Clause", False), ("BSD-3-Clause", False), ("BSD-2-Clause,BSD-3-Clause", False), ("GPL-3.0", True), ("MIT", False), ("", False),
+    ]
+
+
+def test_many_notices_in_one_document(spark):
+    begun = time.time()
+    rows = licenses.license_report(table(spark, [(BSD2 + "\n\n") * 10_000, (licenses.SENTENCES["bsd-redistribution"] + ".\n") * 20_000])).collect()
+    assert sorted((r["licenses"], r["n_sentences"]) for r in rows) == [("", 20_000), ("BSD-2-Clause", 30_000)]
+    assert time.time() - begun < 60
+
+
+def test_license_sql_reads_wrapped_headers_alike(spark):
+    import duckdb
+
+    texts = [APACHE, MIT, comment(MIT, "//"), BSD3, textwrap.fill(BSD3, 60), gnu("GNU General Public License", 3, ":"), "x", None, comment(APACHE, "#")]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    wanted = con.execute(licenses.oracle_sql())
+    names = [d[0] for d in wanted.description]
+    got = [tuple(r[n] for n in names) for r in licenses.license_report(table(spark, texts)).collect()]
+    assert sorted(got) == sorted(wanted.fetchall())
+
+
 def test_every_sentence_is_in_a_rule_and_every_rule_has_sentences():
     ruled = {i for _, ids, _ in licenses.RULES for x in ids for i in x.split(",")}
     assert ruled == set(licenses.SENTENCES)
