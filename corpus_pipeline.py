@@ -2,7 +2,8 @@
 
 Each stage takes the documents that the one before kept, as a table written and read
 again.  Filtering stages return the columns of ``documents``; the last returns the
-pieces of the packed sequences.
+pieces of the packed sequences.  Null texts go in the first stage.  Of rows with equal
+texts one stays, a null ``doc_id`` before none; an empty table gives no piece.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: null texts and those without a letter."""
+    """Drop documents in no language that the labels teach; without labels, those without a letter."""
     return drop_unknown_language(docs)
 
 
