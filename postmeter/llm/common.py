@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterator
@@ -83,6 +84,22 @@ def drop_kept(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def give_back_memory() -> None:
+    """Return freed memory of this Python worker to the system.
+
+    Workers live on from stage to stage; what one stage freed but still holds counts
+    against the next one beside the JVM.
+    """
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        # Another C library has its own way.
+        pass
+
+
 def tokenizer_path(name: str, folder: str | None = None) -> str:
     """Place of a public vocabulary file; ``folder`` overrides the installed one."""
     if folder:

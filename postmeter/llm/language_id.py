@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import text_steps
+from .common import give_back_memory
 
 DIMENSIONS = 512
 NGRAM = 3
@@ -143,6 +144,7 @@ def prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, n
                 for lang in set(own.tolist()):
                     part = vectors[own == lang].sum(axis=0, dtype=np.float64)
                     sums[lang] = sums.get(lang, 0) + part
+        give_back_memory()
         for lang, total in sums.items():
             yield pa.RecordBatch.from_arrays(
                 [
@@ -256,5 +258,6 @@ def _scores(known: dict[str, np.ndarray]) -> Callable[[Column], Column]:
                 best = ((vectors / norms) @ matrix.T).max(axis=1).astype(np.float64)
                 found.append(np.where(grams == 0, -1.0, best))
             yield pa.array(np.concatenate(found))
+        give_back_memory()
 
     return F.arrow_udf(run, "double")

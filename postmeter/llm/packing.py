@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import ByteBpe, text_steps
-from .common import text_or_empty
+from .common import give_back_memory, text_or_empty
 
 # Examples looked at when one is chosen; the others wait their turn.
 POOL = 512
+STEP_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -152,14 +153,20 @@ class _Output:
 
 
 def pack_documents(
-    docs: DataFrame, limits: Limits = Limits(), end_id: int = 0, tokenizer_dir: str | None = None
+    docs: DataFrame,
+    limits: Limits = Limits(),
+    end_id: int = 0,
+    tokenizer_dir: str | None = None,
+    step_bytes: int = STEP_BYTES,
 ) -> DataFrame:
     """Pieces of all texts, packed: one row per piece with its ids.
 
     A null text is empty and gives a piece of its end id alone.  Every token bears
     loss.  Rows that repeat are packed each by itself; a null ``doc_id`` stays
     null; an empty table gives no piece.  Whole sequences are cut off a long text
-    first; what is left of it is packed with others.
+    first; what is left of it is packed with others.  ``step_bytes`` of text are encoded
+    at a time: more is faster, because equal words of a step are encoded once, and takes
+    about thirty times as much memory.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +175,7 @@ def pack_documents(
         most = min(limits.tokens, limits.loss_tokens)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for start, texts in text_steps(batch.column(1)):
+            for start, texts in text_steps(batch.column(1), step_bytes):
                 ids, ends = bpe.encode(texts)
                 examples = []
                 for i, own in enumerate(np.split(ids, ends[:-1])):
@@ -186,6 +193,7 @@ def pack_documents(
         for sequence in packer.finish():
             out.add(sequence)
         yield out.batch()
+        give_back_memory()
 
     read = docs.select(docs["doc_id"].cast("long"), text_or_empty(docs).alias("text"))
     return read.mapInArrow(run, _PIECES)
@@ -232,9 +240,9 @@ def pack_conversations(
     return read.mapInArrow(run, _PIECES)
 
 
-def packing_report(docs: DataFrame) -> DataFrame:
-    """The pieces with a checksum in place of their ids."""
-    return pack_documents(docs).select(
+def packing_report(docs: DataFrame, step_bytes: int = STEP_BYTES) -> DataFrame:
+    """The pieces with a checksum in place of their ids; rows as in ``pack_documents``."""
+    return pack_documents(docs, step_bytes=step_bytes).select(
         "doc_id",
         "start",
         "length",
