@@ -23,6 +23,9 @@ from postmeter.llm.packing import packing_report
 NEAR_WORDS = 5
 NEAR_PERCENT = 80
 
+# Text encoded at a time beside what the stages before have left in memory.
+PACKING_STEP = 4 << 20
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -48,7 +51,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed sequences."""
-    return packing_report(docs)
+    return packing_report(docs, PACKING_STEP)
 
 
 STAGES: list[tuple[str, Stage]] = [
