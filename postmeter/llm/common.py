@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -84,6 +85,16 @@ def drop_kept(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def drop_unused_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that nothing refers to any more.
+
+    Spark does so when the driver's garbage is collected, which a driver with little to
+    do may put off for half an hour while the files fill the executors' disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def give_back_memory() -> None:
     """Return freed memory of this Python worker to the system.
 
