@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmeter.llm.common import keep
+from postmeter.llm.common import drop_unused_shuffles, keep
 from postmeter.llm.decontamination import drop_contaminated
 from postmeter.llm.exact_dedup import drop_copies
 from postmeter.llm.language_id import drop_unknown_language
@@ -36,21 +36,25 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts keep the one with the largest ``doc_id``."""
+    drop_unused_shuffles(spark)
     return drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies keep the one with the smallest ``doc_id``."""
+    drop_unused_shuffles(spark)
     return drop_near_copies(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold ten words in a row of a benchmark item."""
+    drop_unused_shuffles(spark)
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed sequences."""
+    drop_unused_shuffles(spark)
     return packing_report(docs, PACKING_STEP)
 
 
