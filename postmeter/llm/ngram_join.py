@@ -3,15 +3,21 @@
 The n-grams of a document are put in one order for all documents, rare ones first.
 Documents at or above the threshold share one of the first few n-grams of each: the
 prefix.  Documents with the same prefix and size form a group, and only groups are
-looked up; candidate group pairs are filtered by size, place and the number of prefix
-n-grams they share, then expanded to their members, which are verified on their
-whole sets.  Documents with one set are one member from the start.
+looked up; candidate group pairs are filtered by size, place, the number of prefix
+n-grams they share and a parity bitmap of their sets, then expanded to their members,
+which are verified on their whole sets.  Documents with one set are one member from
+the start.
+
+The parity bitmap holds, for each of 512 cells, whether an odd number of the set's
+n-grams falls there.  Bitmaps of two sets differ in at most as many cells as the sets
+differ in n-grams, so the filter loses no link.
 
 The result is the components of the links.  Members that earlier links have
-brought together need no further verification, so candidates are drawn twice: first
-each with its next neighbour in every list, then all pairs of groups that are not
-yet within one component.  A large group of near copies costs a chain of links, not
-the square of its size, and no link between components is lost.
+brought together need no further verification, so candidates are drawn in rounds:
+in the first ones each group takes, in every list, the one of another component whose
+bitmap is nearest; then come all pairs of groups that are not yet within one component.
+No link between components is lost.  Long lists are cut into blocks, which tasks take
+one by one or, in the last round, two by two.
 """
 
 from __future__ import annotations
@@ -34,6 +40,12 @@ COUNTERS = 1 << 20
 _WIDE = 16
 # Partners of one document that are verified in one group.
 _PARTNERS = 256
+# Cells of the parity bitmap, a multiple of 64.
+CELLS = 512
+# Rounds in which each group takes one neighbour of a list before all pairs are drawn.
+ROUNDS = 2
+# Rows of a list that meet in one task at a time (twice as many in the last round).
+BLOCK = 4096
 
 # Bytes of text hashed at a time: the arrays of one step take about forty times as much.
 _STEP = 2 << 20
@@ -145,7 +157,33 @@ def _commonness(docs: DataFrame, words: int) -> np.ndarray:
     return np.clip(np.where(off < 6, near, 40 + np.log2(np.maximum(off, 6) / 6)), 0, 60).astype(np.uint8)
 
 
-_SETS = "row long, doc_id long, n long, c1 long, c2 long, grp long, prefix array<long>, t1 long, t2 long"
+def _parities(tokens: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The parity bitmap of each set; the sets follow one another in ``tokens``."""
+    cells = tokens >> np.uint64(24) & np.uint64(CELLS - 1)
+    words, bit = cells >> np.uint64(6), np.uint64(1) << (cells & np.uint64(63))
+    full = np.flatnonzero(n)
+    starts = (np.cumsum(n) - n)[full]
+    maps = np.zeros((len(n), CELLS // 64), np.uint64)
+    if len(full):
+        for k in range(CELLS // 64):
+            maps[full, k] = np.bitwise_xor.reduceat(np.where(words == np.uint64(k), bit, np.uint64(0)), starts)
+    fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(CELLS // 8), len(n), [None, pa.py_buffer(maps.tobytes())])
+    return fixed.cast(pa.binary())
+
+
+def _bitmaps(column: pa.Array) -> np.ndarray:
+    """Rows of bitmap words of a binary column that holds one bitmap in each row."""
+    wide = column.cast(pa.large_binary()) if len(column) else pa.array([], pa.large_binary())
+    if not len(wide):
+        return np.empty((0, CELLS // 64), np.uint64)
+    offsets = np.frombuffer(wide.buffers()[1], np.int64, len(wide) + 1, wide.offset * 8)
+    data = np.frombuffer(wide.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return np.frombuffer(data.tobytes(), np.uint64).reshape(len(wide), CELLS // 64)
+
+
+_SETS = (
+    "row long, doc_id long, n long, c1 long, c2 long, grp long, prefix array<long>, t1 long, t2 long, bits binary"
+)
 
 
 def _sets(numbered: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
@@ -180,6 +218,7 @@ def _sets(numbered: DataFrame, common: np.ndarray, words: int, percent: int) ->
                         ),
                         batch.column(3).slice(start, len(texts)),
                         batch.column(4).slice(start, len(texts)),
+                        _parities(tokens, n),
                     ],
                     [c.split()[0] for c in _SETS.split(", ")],
                 )
@@ -187,8 +226,8 @@ def _sets(numbered: DataFrame, common: np.ndarray, words: int, percent: int) ->
     return numbered.mapInArrow(run, _SETS)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[dict[str, np.ndarray]]:
-    """Sorted rows in chunks that hold all rows of each token."""
+def _runs(batches: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterator[dict[str, np.ndarray]]:
+    """Sorted rows in chunks that hold all rows of each list."""
     held: list[dict[str, np.ndarray]] = []
     size = 0
 
@@ -197,11 +236,13 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[di
 
     for batch in batches:
         if batch.num_rows:
-            held.append({c: batch.column(i).to_numpy() for i, c in enumerate(batch.schema.names)})
+            columns = dict(zip(batch.schema.names, batch.columns))
+            bits = _bitmaps(columns.pop("bits"))
+            held.append({"bits": bits} | {c: v.to_numpy(zero_copy_only=False) for c, v in columns.items()})
             size += batch.num_rows
         if size >= most:
             rows = joined()
-            last = int(np.searchsorted(rows["token"], rows["token"][-1]))
+            last = int(np.searchsorted(rows["list"], rows["list"][-1]))
             if last:
                 yield {c: v[:last] for c, v in rows.items()}
             held, size = [{c: v[last:] for c, v in rows.items()}], size - last
@@ -209,13 +250,22 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[di
         yield joined()
 
 
-def _may_link(a: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Size and place filters; ``i`` has the smaller size."""
+def _may_link(a: dict, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Filters by size, place and bitmap, and how far the bitmaps differ.
+
+    ``i`` has the smaller size.  A bitmap speaks for a group of one member only; others
+    count as differing as far as a link allows.
+    """
     small, large = a["n"][i], a["n"][j]
     need = -(-percent * (small + large) // (100 + percent))
     # What may still follow after the shared n-gram, itself included.
     bound = np.minimum(small - a["pos"][i], large - a["pos"][j]) + np.minimum(a["pos"][i], a["pos"][j])
-    return (100 * small >= percent * large) & (bound >= need)
+    ok = (100 * small >= percent * large) & (bound >= need)
+    most = small + large - 2 * need
+    differ = most.copy()
+    told = np.flatnonzero(ok & a["alone"][i] & a["alone"][j])
+    differ[told] = np.bitwise_count(a["bits"][i[told]] ^ a["bits"][j[told]]).sum(axis=1, dtype=np.int64)
+    return ok & (differ <= most), differ
 
 
 def _slack(a: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -236,12 +286,15 @@ _PAIRS = "a long, b long"
 _HELD = 1 << 20
 
 
-def _all_pairs(token: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of all pairs of equal tokens, by distance; ``token`` is sorted."""
-    stops = np.searchsorted(token, token, "right")
-    i = np.arange(len(token))
-    for k in range(1, len(token)):
+def _pairs(rows: dict, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of one list, by distance, as far as their sizes may link."""
+    lists, n = rows["list"], rows["n"]
+    stops = np.searchsorted(lists, lists, "right")
+    i = np.arange(len(lists))
+    for k in range(1, len(lists)):
         i = i[i + k < stops[i]]
+        # Lists are in order of size: what is too large stays so.
+        i = i[100 * n[i] >= percent * n[i + k]]
         if not len(i):
             return
         yield i, i + k
@@ -257,41 +310,68 @@ def _added_up(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "shared", "slack"])
 
 
-def _candidates(postings: DataFrame, percent: int, chain: bool, counted: bool = False) -> DataFrame:
+def _listed(postings: DataFrame, seed: int | None) -> DataFrame:
+    """``postings`` with the lists that tasks take: blocks, or with no seed pairs of blocks.
+
+    ``k`` is the length of the list.  A block is drawn by hash, anew for each seed; a
+    pair of blocks holds the rows of both, told apart by ``block``.
+    """
+    blocks = f"cast(ceil(k / {BLOCK}) as bigint)"
+    rows = postings.withColumn("block", F.expr(f"pmod(xxhash64(grp, {seed or 0}), {blocks})"))
+    if seed is not None:
+        rows = rows.withColumns({"list": F.expr("xxhash64(token, block)"), "cross": F.lit(False)})
+    else:
+        pair = "xxhash64(token, least(block, other), greatest(block, other))"
+        rows = rows.withColumn("other", F.explode(F.expr(f"sequence(0, {blocks} - 1)"))).withColumns(
+            {"list": F.expr(pair), "cross": F.expr("block <> other")}
+        )
+    return rows.select("list", "grp", "n", "pos", "low", "high", "alone", "bits", "block", "cross")
+
+
+def _candidates(postings: DataFrame, percent: int, seed: int | None, counted: bool = False) -> DataFrame:
     """Distinct group pairs ``a, b`` that share a prefix n-gram and pass the filters.
 
-    ``chain`` takes each row of a list with the next only; else all pairs of the
-    list that are not within one component.  ``counted`` (not for a chain, which misses
-    some lists of a pair) keeps the pairs whose shared prefix n-grams, added up over all
-    lists, leave the threshold within reach.
+    With a ``seed`` each row of a list takes the row of another component that may link and
+    differs least; else all such pairs of the list are taken.  ``counted`` (not with a
+    seed, which misses some lists of a pair) keeps the pairs whose shared prefix n-grams,
+    added up over all lists, leave the threshold within reach.
     """
 
+    def may_link(rows: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        mixed = rows["low"] != rows["high"]
+        for i, j in _pairs(rows, percent):
+            apart = mixed[i] | mixed[j] | (rows["low"][i] != rows["low"][j])
+            # In a pair of two blocks only rows of different blocks meet.
+            apart &= ~rows["cross"][i] | (rows["block"][i] != rows["block"][j])
+            i, j = i[apart], j[apart]
+            ok, differ = _may_link(rows, i, j, percent)
+            if ok.any():
+                yield i[ok], j[ok], differ[ok]
+
+    def nearest(rows: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        least = np.full(len(rows["n"]), np.iinfo(np.int64).max)
+        partner = np.full(len(least), -1)
+        for i, j, differ in may_link(rows):
+            for own, other in ((i, j), (j, i)):
+                better = differ < least[own]
+                least[own[better]], partner[own[better]] = differ[better], other[better]
+        own = np.flatnonzero(partner >= 0)
+        yield np.minimum(own, partner[own]), np.maximum(own, partner[own]), least[own]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for rows in _runs(batches):
-            token = rows["token"]
-            if chain:
-                i = np.flatnonzero(token[:-1] == token[1:])
-                pairs = [(i, i + 1)]
-            else:
-                mixed = rows["low"] != rows["high"]
-                pairs = _all_pairs(token)
-            for i, j in pairs:
-                ok = _may_link(rows, i, j, percent)
-                if not chain:
-                    ok &= mixed[i] | mixed[j] | (rows["low"][i] != rows["low"][j])
-                i, j = i[ok], j[ok]
-                if len(i):
-                    a, b = rows["grp"][i], rows["grp"][j]
-                    held.append((np.minimum(a, b), np.maximum(a, b), _slack(rows, i, j, percent)))
-                    size += len(i)
+            for i, j, _ in may_link(rows) if seed is None else nearest(rows):
+                a, b = rows["grp"][i], rows["grp"][j]
+                held.append((np.minimum(a, b), np.maximum(a, b), _slack(rows, i, j, percent)))
+                size += len(i)
                 if size >= _HELD:
                     yield _added_up(held)
                     held, size = [], 0
-        if held:
+        if size:
             yield _added_up(held)
 
-    lists = postings.repartition("token").sortWithinPartitions("token", "n", "grp")
+    lists = _listed(postings, seed).repartition("list").sortWithinPartitions("list", "n", "grp")
     found = lists.mapInArrow(run, f"{_PAIRS}, shared long, slack long")
     if not counted:
         return found.select("a", "b").distinct()
@@ -397,24 +477,25 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     common = _commonness(own, words)
     sets = keep(_sets(numbered, common, words, percent), "shingle-sets")
 
-    facts = sets.where("n > 0").select("row", "doc_id", "n", "c1", "c2", "grp", "t1", "t2")
+    facts = sets.where("n > 0").select("row", "doc_id", "n", "c1", "c2", "grp", "t1", "t2", "bits")
     members = keep(
         facts.groupBy("c1", "c2").agg(
             F.min("row").alias("member"), F.first("n").alias("n"), F.first("grp").alias("grp"),
+            F.first("bits").alias("bits"),
             F.min(F.struct("row", "t1", "t2")).alias("text"),
         ),
         "shingle-members",
     )
     leaders = members.groupBy("grp").agg(F.min("member").alias("row"), F.count("*").alias("members"))
     prefixes = keep(
-        sets.select("row", "n", "prefix").join(leaders.select("row", "grp"), "row").select(
-            F.col("grp").alias("member"), "n", "prefix"
+        sets.select("row", "n", "prefix", "bits").join(leaders, "row").select(
+            F.col("grp").alias("member"), "n", "prefix", "bits", (F.col("members") == 1).alias("alone")
         ),
         "group-prefixes",
     )
     exploded = prefixes.select(F.col("member").alias("grp"), "n", F.posexplode("prefix").alias("pos", "token"))
     postings = keep(
-        exploded.withColumn("k", F.count("*").over(Window.partitionBy("token"))).where("k > 1").drop("k"),
+        exploded.withColumn("k", F.count("*").over(Window.partitionBy("token"))).where("k > 1"),
         "prefix-postings",
     )
 
@@ -436,53 +517,65 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
             .select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b"))
         )
 
-    # Members of one group stand in one list of their own, in the same two rounds.
-    in_group = members.join(leaders.where("members > 1").select("grp"), "grp", "left_semi").select(
-        F.col("grp").alias("token"), F.col("member").alias("grp"), "n", F.lit(0).alias("pos")
-    )
-    no_label = {"low": F.lit(0).cast("long"), "high": F.lit(0).cast("long")}
-    order = ["token", "grp", "n", "pos", "low", "high"]
-    beside = keep(_candidates(postings.withColumns(no_label).select(order), percent, True), "group-pairs")
-    first = expanded(keep(_overlap_filter(beside, prefixes, percent), "near-groups")).union(
-        _candidates(in_group.withColumns(no_label).select(order), percent, True)
+    # Members of one group stand in one list of their own, in the same rounds.
+    in_group = members.join(leaders.where("members > 1").select("grp", F.col("members").alias("k")), "grp").select(
+        F.col("grp").alias("token"), F.col("member").alias("grp"), "n", "k", F.lit(0).alias("pos"),
+        F.lit(True).alias("alone"), "bits",
     )
-    links = linked(keep(first.distinct(), "near-pairs"))
-    labels = components(links)
+    told = postings.join(prefixes.select(F.col("member").alias("grp"), "alone", "bits"), "grp")
+
+    def placed(links: DataFrame | None) -> DataFrame:
+        if links is None:
+            return members.select("grp", "member", F.col("member").alias("component"))
+        label = components(links).withColumnRenamed("node", "member")
+        return keep(
+            members.join(label, "member", "left").select(
+                "grp", "member", F.coalesce("component", "member").alias("component")
+            ),
+            "member-components",
+        )
 
-    placed = keep(
-        members.join(labels.withColumnRenamed("node", "member"), "member", "left").select(
-            "grp", "member", F.coalesce("component", "member").alias("component")
-        ),
-        "member-components",
-    )
-    spans = placed.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    second = expanded(_candidates(postings.join(spans, "grp").select(order), percent, False, counted=True)).union(
-        _candidates(
-            in_group.join(
-                placed.select(F.col("member").alias("grp"), F.col("component").alias("low"), F.col("component").alias("high")),
-                "grp",
-            ).select(order),
-            percent,
-            False,
+    def drawn(place: DataFrame, seed: int | None) -> tuple[DataFrame, DataFrame]:
+        """Candidate pairs of groups, and of members within groups, of different components."""
+        spans = place.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        ones = place.select(
+            F.col("member").alias("grp"), F.col("component").alias("low"), F.col("component").alias("high")
         )
-    )
-    of = placed.select("member", "component")
+        return (
+            _candidates(told.join(spans, "grp"), percent, seed, counted=seed is None),
+            _candidates(in_group.join(ones, "grp"), percent, seed),
+        )
+
+    links = None
+    for seed in range(ROUNDS):
+        groups, inside = drawn(placed(links), seed)
+        near = keep(_overlap_filter(keep(groups, "group-pairs"), prefixes, percent), "near-groups")
+        found = linked(keep(expanded(near).union(inside).distinct(), "near-pairs"))
+        links = found if links is None else links.union(found)
+
+    place = placed(links)
+    groups, inside = drawn(place, None)
+    of = place.select("member", "component")
     apart = (
-        second.distinct()
+        expanded(groups).union(inside).distinct()
         .join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b")
         .where("ca <> cb").select("a", "b")
     )
     more = linked(keep(apart, "near-pairs"))
-    final = components(links.union(more))
+    final = components(more if links is None else links.union(more))
     drop_kept(postings)
 
     label = (
         members.join(final.withColumnRenamed("node", "member"), "member", "left")
         .select("c1", "c2", F.coalesce("component", "member").alias("component"))
     )
-    rows = facts.join(label, ["c1", "c2"]).select("row", "doc_id", "component")
-    first_of = rows.groupBy("component").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")).alias("first")
+    rows = keep(facts.join(label, ["c1", "c2"]).select("row", "doc_id", "component"), "component-rows")
+    # Stored, so that the join below may be split where one component holds many rows.
+    first_of = keep(
+        rows.groupBy("component").agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")).alias("first")
+        ),
+        "component-first",
     )
     found = rows.join(first_of, "component").select(
         "row", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("component_row")
@@ -501,11 +594,21 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def near_report(docs: DataFrame) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id``.
+
+    Nulls, repeated ids, ties and empty tables are treated as in :func:`near_components`;
+    a document that links with nothing is its own component.
+    """
     return near_components(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, one of each component: that with the smallest ``doc_id``."""
+    """The rows of ``docs``, one of each component: that with the smallest ``doc_id``.
+
+    A null id comes after all others; of rows with one id the one read first stays.
+    Texts without words are linked with nothing and stay.  The columns are those of
+    ``docs``, whatever their names; an empty table gives an empty one.
+    """
     key = unused_name(docs, "row")
     numbered = keep(docs.withColumn(key, F.monotonically_increasing_id()), "near-docs")
     # The own row number stands in for the id, ranked as the ids are.

@@ -154,6 +154,35 @@ def test_near_components(spark, words, percent, seed):
     assert {r["doc_id"] for r in kept.collect()} == want
 
 
+def test_near_components_of_lists_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 9)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(300)}" for _ in range(60)]
+    texts = []
+    for k in range(120):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3])):
+            own[rng.randrange(len(own))] = f"new{rng.randrange(40)}"
+        texts.append(" ".join(own))
+    for rounds in (0, 1):
+        monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+        found = ngram_join.near_components(table(spark, texts)).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(texts)
+
+
+def test_parity_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, k, np.uint64)) for k in (0, 1, 40, 300, 2000)]
+    sets += [np.union1d(sets[3][20:], sets[2])]
+    n = np.array([len(s) for s in sets])
+    maps = ngram_join._bitmaps(ngram_join._parities(np.concatenate(sets), n))
+    assert maps.shape == (len(sets), ngram_join.CELLS // 64) and not maps[0].any()
+    for x, a in zip(maps, sets):
+        for y, b in zip(maps, sets):
+            differ, real = int(np.bitwise_count(x ^ y).sum()), len(np.setxor1d(a, b))
+            assert differ <= real and differ % 2 == real % 2
+
+
 def test_components_of_a_chain_and_a_star(spark):
     pairs = [(i, i + 1) for i in range(100, 160)] + [(5, k) for k in range(6, 40)] + [(1, 1)]
     found = components.components(spark.createDataFrame(pairs, "a long, b long")).collect()
