@@ -85,5 +85,33 @@ ORACLE_SQL: dict[str, str] = {
                sha256(norm) as text_sha256
         from (select doc_id, {_LOWER} as norm from documents)
     """,
+    # Shares of n-grams are counted for all pairs of documents, the links then followed.
+    "op7_ngram_join": rf"""
+        with recursive words as (
+            select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents
+        ),
+        shingles as (
+            select distinct doc_id, least(4, len(w)) as k, array_to_string(w[i : i + least(4, len(w)) - 1], ' ') as s
+            from (select *, unnest(range(1, greatest(1, len(w) - 3) + 1)) as i from words where len(w) > 0)
+        ),
+        sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+        shared as (
+            select a.doc_id as a, b.doc_id as b, count(*) as common
+            from shingles a join shingles b on a.s = b.s and a.k = b.k and a.doc_id < b.doc_id
+            group by a.doc_id, b.doc_id
+        ),
+        links as (
+            select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+            where 100 * common >= 85 * (x.n + y.n - common)
+        ),
+        ways as (select a, b from links union all select b, a from links),
+        reached as (
+            select a as doc_id, b as other from ways
+            union select r.doc_id, w.b from reached r join ways w on w.a = r.other
+        ),
+        ends as (select doc_id, min(other) as other from reached group by doc_id)
+        select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(other, d.doc_id)) as component_id
+        from documents d left join sizes using (doc_id) left join ends using (doc_id)
+    """,
     "op12_prefix_trie": trie_sql(),
 }
