@@ -5,9 +5,9 @@ position.  Each task writes the postings of the documents it reads, sorted by te
 so the index is sharded by document and building it shuffles nothing.
 
 A phrase is looked up from its rarest term: the postings of that term, shifted by
-the term's offset, are where the phrase may start.  The other terms' postings,
-shifted alike, are then intersected with these starts; a start that all terms agree
-on is an occurrence.  A proximity search does the same with a window in place of
+the term's offset, are where the phrase may start.  The postings of the second rarest
+term, shifted alike, are intersected with these starts, and those of all terms with
+what is left; a start that all terms agree on is an occurrence.  A proximity search does the same with a window in place of
 the exact offset.  Only DataFrame operations are used.
 
 Terms are held as 64-bit hashes.  Two terms of the test set never share one (that
@@ -101,24 +101,38 @@ def exact_matches(index: DataFrame, sequences: DataFrame, window: int = WINDOW)
     # A term that does not occur has no entry here and rules out its windows.
     counted = terms.join(counts, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     ahead = Window.partitionBy("seq").orderBy("offset").rowsBetween(0, window - 1)
-    rarest = (
-        counted.withColumn("r", F.min(F.struct("df", "offset", "term")).over(ahead))
+    rare = (
+        counted.withColumn("r", F.array_sort(F.collect_list(F.struct("df", "offset", "term")).over(ahead)))
         .where(F.col("offset") <= F.greatest(F.lit(0), F.col("length") - window))
-        .where("r.df > 0")
-        .groupBy("seq", F.col("r.offset").alias("at"), F.col("r.term").alias("term"))
+        .where("r[0].df > 0")
+        .select("seq", "offset", F.col("r")[0].alias("r1"), F.coalesce(F.get("r", F.lit(1)), F.col("r")[0]).alias("r2"))
+        # The windows of two rarest places follow one another without a gap.
+        .groupBy(
+            "seq", F.col("r1.offset").alias("at"), F.col("r1.term").alias("term"),
+            F.col("r2.offset").alias("next"), F.col("r2.term").alias("next_term"),
+        )
         .agg(F.min("offset").alias("low"), (F.max("offset") + window - 1).alias("high"))
     )
-    rarest = keep(rarest, "rarest-terms")
-    # The shifted postings of the rarest terms: where the sequence may lie.
-    starts = postings.join(rarest, "term").select(
-        "seq", "row", (F.col("pos") - F.col("at")).alias("diagonal"), "low", "high"
-    )
-    # Intersect: each start asks for the other terms of its windows at their places.
-    asked = (
-        starts.join(terms.select("seq", "length", "offset", "term"), "seq")
+    rare = keep(rare, "rarest-terms")
+    # The shifted postings of the rarest terms: where the sequence may lie.  These and the
+    # tables below are stored, so that Spark knows their size when it plans the joins.
+    starts = keep(
+        postings.join(rare, "term").select(
+            "seq", "row", (F.col("pos") - F.col("at")).alias("diagonal"), "low", "high",
+            F.col("next_term").alias("term"), (F.col("pos") - F.col("at") + F.col("next")).alias("pos"),
+        ),
+        "phrase-starts",
+    )
+    # Intersect with the second rarest terms, whose postings are few as well.
+    second = rare.select(F.col("next_term").alias("term")).distinct()
+    left = starts.join(postings.join(second, "term", "left_semi"), ["row", "pos", "term"])
+    # What is left asks for all terms of its windows at their places.
+    asked = keep(
+        left.join(terms.select("seq", "length", "offset", F.col("term").alias("own")), "seq")
         .where("offset between low and high")
-        .select("seq", "length", "row", "diagonal", "offset", "term", (F.col("diagonal") + F.col("offset")).alias("pos"))
-    )
+        .select("seq", "length", "row", "diagonal", "offset", F.col("own").alias("term")).distinct(),
+        "phrase-requests",
+    ).withColumn("pos", F.col("diagonal") + F.col("offset"))
     agreed = asked.join(postings.join(wanted, "term", "left_semi"), ["row", "pos", "term"])
     # Offsets in a row differ from their rank by the same number.
     order = Window.partitionBy("row", "seq", "diagonal").orderBy("offset")
