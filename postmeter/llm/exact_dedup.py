@@ -6,8 +6,9 @@ whose texts have ended, is done; only the others go on.  Equality is decided by
 the bytes themselves, never by a digest.
 
 A group of copies may hold any share of the rows: it is counted with a partial
-aggregate before the shuffle, and its rows meet the counts in a join that Spark
-broadcasts or splits when skewed.  No group is gathered.
+aggregate before the shuffle.  The counts are stored, so that the join in which its
+rows meet them reads a plain table, which Spark broadcasts when small and else splits
+where a group is large.  No group is gathered.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ def _go_on(active: DataFrame, keys: list[str], width: int, offset: int) -> DataF
         .agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "row")).alias("last"))
         .where("n > 1")
     )
+    groups = keep(groups, "radix-groups")
     ended = F.col("size") <= offset + width
     return dealt.join(groups, [*keys, "digit"]).select(
         "row",
@@ -68,7 +70,9 @@ def equal_texts(docs: DataFrame, first_bytes: int = FIRST_BYTES, growth: int = G
         F.expr(f"substring(cast(norm as binary), 1, {first_bytes})").alias("head"),
         F.expr("cast(norm as binary)").alias("bytes"),
     )
-    several = sized.groupBy("size", "head").agg(F.count("*").alias("n")).where("n > 1")
+    several = keep(
+        sized.groupBy("size", "head").agg(F.count("*").alias("n")).where("n > 1"), "radix-sizes"
+    )
     numbered = sized.withColumn("row", F.monotonically_increasing_id())
     marked = numbered.join(several, ["size", "head"], "left").select(
         "row",
