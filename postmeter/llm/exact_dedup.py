@@ -7,8 +7,9 @@ the bytes themselves, never by a digest.
 
 A group of copies may hold any share of the rows: it is counted with a partial
 aggregate before the shuffle.  The counts are stored, so that the join in which its
-rows meet them reads a plain table, which Spark broadcasts when small and else splits
-where a group is large.  No group is gathered.
+rows meet them reads a plain table, which lets Spark split it where a group is large.
+The counts grow with the corpus, so they are merged at every size and never broadcast.
+No group is gathered.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def _go_on(active: DataFrame, keys: list[str], width: int, offset: int) -> DataF
     )
     groups = keep(groups, "radix-groups")
     ended = F.col("size") <= offset + width
-    return dealt.join(groups, [*keys, "digit"]).select(
+    return dealt.join(groups.hint("merge"), [*keys, "digit"]).select(
         "row",
         "doc_id",
         "size",
@@ -74,7 +75,7 @@ def equal_texts(docs: DataFrame, first_bytes: int = FIRST_BYTES, growth: int = G
         sized.groupBy("size", "head").agg(F.count("*").alias("n")).where("n > 1"), "radix-sizes"
     )
     numbered = sized.withColumn("row", F.monotonically_increasing_id())
-    marked = numbered.join(several, ["size", "head"], "left").select(
+    marked = numbered.join(several.hint("merge"), ["size", "head"], "left").select(
         "row",
         "doc_id",
         "text_sha256",
