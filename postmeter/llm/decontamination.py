@@ -25,6 +25,8 @@ from .common import ascii_lower, keep, passing_tables, unused_name
 # All that is not a word character: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ are the words.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
+# Up to so many row numbers are sent to all executors (16 MB at most).
+ASKING_ROWS = 1 << 20
 
 
 def _pieces(text: Column) -> Column:
@@ -133,7 +135,12 @@ def exact_matches(index: DataFrame, sequences: DataFrame, window: int = WINDOW)
         .select("seq", "length", "row", "diagonal", "offset", F.col("own").alias("term")).distinct(),
         "phrase-requests",
     ).withColumn("pos", F.col("diagonal") + F.col("offset"))
-    agreed = asked.join(postings.join(wanted, "term", "left_semi"), ["row", "pos", "term"])
+    answers = postings.join(wanted, "term", "left_semi")
+    # Where few documents ask, the postings of the others need not be sent.
+    asking = keep(asked.select("row").distinct(), "phrase-rows")
+    if asking.count() <= ASKING_ROWS:
+        answers = answers.join(F.broadcast(asking), "row", "left_semi")
+    agreed = asked.join(answers, ["row", "pos", "term"])
     # Offsets in a row differ from their rank by the same number.
     order = Window.partitionBy("row", "seq", "diagonal").orderBy("offset")
     runs = agreed.withColumn("island", F.col("offset") - F.dense_rank().over(order))
