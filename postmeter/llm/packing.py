@@ -61,13 +61,19 @@ class Example:
         )
 
 
+def _sizes(examples: list[Example]) -> np.ndarray:
+    """Tokens, segments and loss tokens of each example."""
+    return np.array([(len(x.ids), 1, x.loss_sums[-1]) for x in examples], np.float64).reshape(-1, 3)
+
+
 class Packer:
     """Takes examples one by one and gives sequences, lists of examples."""
 
     def __init__(self, limits: Limits = Limits(), cut: bool = True, pool: int = POOL):
         self.limits, self.cut, self.pool = limits, cut, pool
         self._waiting: list[Example] = []
-        self._sizes = np.empty((0, 3))
+        # The sizes of the waiting examples, row by row.
+        self._sizes = _sizes([])
 
     def _largest_part(self, example: Example, room: np.ndarray) -> int:
         """Tokens from the start of ``example`` that fit into ``room``."""
@@ -86,32 +92,29 @@ class Packer:
             placed.append(self._waiting[best])
             room -= self._sizes[best]
             free[best] = False
-        rest = [self._waiting[i] for i in np.flatnonzero(free)]
+        left = np.flatnonzero(free)
+        rest, sizes = [self._waiting[i] for i in left], self._sizes[left]
         if self.cut and rest and room[0] > 0 and room[1] > 0:
-            longest = max(range(len(rest)), key=lambda i: len(rest[i].ids))
+            longest = int(sizes[:, 0].argmax())
             size = self._largest_part(rest[longest], room)
             if size:
                 first, other = rest[longest].split(size)
                 placed.append(first)
                 rest[longest] = other
+                sizes[longest] = _sizes([other])
         elif not placed and rest:
             raise ValueError("an example exceeds the limits and may not be cut")
-        self._keep(rest)
+        self._waiting, self._sizes = rest, sizes
         return placed
 
-    def _keep(self, waiting: list[Example]) -> None:
-        self._waiting = waiting
-        self._sizes = np.array(
-            [(len(x.ids), 1, x.loss_sums[-1]) for x in waiting], np.float64
-        ).reshape(-1, 3)
-
     def add(self, examples: list[Example]) -> Iterator[list[Example]]:
         """Sequences that are ready once ``examples`` wait too."""
-        queue = list(examples)
-        while queue:
-            room = self.pool - len(self._waiting)
-            self._keep(self._waiting + queue[:room])
-            queue = queue[room:]
+        at = 0
+        while at < len(examples):
+            more = examples[at : at + self.pool - len(self._waiting)]
+            at += len(more)
+            self._waiting = self._waiting + more
+            self._sizes = np.concatenate([self._sizes, _sizes(more)])
             while len(self._waiting) >= self.pool:
                 yield self._sequence()
 

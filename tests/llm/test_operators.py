@@ -419,6 +419,29 @@ def test_examples_that_may_not_be_cut():
     assert sorted(sum(len(x.ids) for x in s) for s in done) == [10, 10, 10]
 
 
+def test_packer_counts_each_example_once(monkeypatch):
+    """What waits is not measured anew for each sequence."""
+    counted = []
+    sizes = packing._sizes
+    monkeypatch.setattr(packing, "_sizes", lambda examples: counted.append(len(examples)) or sizes(examples))
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 1400, 1500)
+    packer = packing.Packer(pool=200)
+    examples = [packing.Example(i, np.zeros(k, np.uint32), np.ones(k, bool)) for i, k in enumerate(lengths)]
+    done = [*packer.add(examples), *packer.finish()]
+    assert sum(counted) <= len(lengths) + len(done)
+    assert all(sum(len(x.ids) for x in s) == 1024 for s in done[:-1])
+    placed = defaultdict(list)
+    for x in (x for s in done for x in s):
+        placed[x.key].append((x.start, len(x.ids)))
+    for i, k in enumerate(lengths):
+        at = 0
+        for start, own in sorted(placed[i]):
+            assert start == at
+            at += own
+        assert at == k
+
+
 def test_pii_base_spans(spark):
     text = "é😀 mail a.b@c.example.com, 10.0.0.256, 8.8.8.8, 4111 1111 1111 1111 +49 (30) 123456-7 x@y.z_d@e.f"
     row = pii.pii_report(table(spark, [text])).collect()[0]
