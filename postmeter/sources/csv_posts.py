@@ -224,7 +224,8 @@ def read_posts_csv(
     with ``.csv`` files are read with ``recursive`` and refused without.
 
     ``multi_line`` allows line breaks inside quotes.  Files longer than ``range_bytes`` are
-    read by several tasks, after a job over them that finds where records start.
+    read by several tasks, after a job over them that finds where records start; of large
+    uploads the ranges are longer (see ``file_records``).
     Without it Spark's line reader is used, which takes one pass.
 
     ``origin`` adds ``source_file`` to the posts, and ``source_place`` (byte at which the record

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 RANGE_BYTES = 64 << 20
+# Beyond so many ranges they are made longer, up to RANGE_BYTES.
+MOST_RANGES = 128
 # Headers read by one task.
 BUNDLE_FILES = 256
 _CHUNK = 4 << 20
@@ -92,6 +94,11 @@ def _lines(file: pa.NativeFile, start: int, chunk: int) -> Iterator[tuple[int, b
         chunk = max(chunk, len(rest))
 
 
+def _enough(start: int, end: int, chunk: int) -> int:
+    """Bytes to read at a time: of a short range no more than itself and the end of its last record."""
+    return min(chunk, max(end - start, 0) + _HEADER_CHUNK)
+
+
 def _each(lines: bytes) -> list[bytes]:
     own = lines.split(b"\n")
     return own if own[-1] else own[:-1]
@@ -109,7 +116,7 @@ def range_outcomes(path: str, start: int, end: int, chunk: int = _CHUNK) -> tupl
     """Whether the lines that start in the range end inside a quote, from outside and from inside."""
     outside, inside = False, True
     with _open(path) as file:
-        for place, lines in _lines(file, start, chunk):
+        for place, lines in _lines(file, start, _enough(start, end, chunk)):
             own, more = _upto(place, lines, end)
             if b'"' in own:
                 for line in _each(own):
@@ -131,7 +138,7 @@ def records(path: str, start: int, end: int, inside: bool, chunk: int = _CHUNK)
     begun: list[bytes] | None = None
     since = 0
     with _open(path) as file:
-        for place, lines in _lines(file, start, chunk):
+        for place, lines in _lines(file, start, _enough(start, end, chunk)):
             out: list[tuple[int, bytes]] = []
             own, more = _upto(place, lines, end)
             if own and not inside and b'"' not in own:
@@ -227,6 +234,10 @@ class _Reader(DataSourceReader):
     def partitions(self) -> Sequence[InputPartition]:
         return self.bundles
 
+    def __getstate__(self) -> dict:
+        # Every task is sent the reader, and its own bundle beside it.
+        return self.__dict__ | {"bundles": []}
+
     def read(self, partition: _Bundle) -> Iterator[tuple | pa.RecordBatch]:
         for path, start, end, inside in partition.ranges:
             if self.mode == "header":
@@ -310,7 +321,11 @@ def file_records(
 
     ``sizes`` are the files and their lengths.  Files longer than ``range_bytes`` are read
     by several tasks.  With ``header`` each file's own is compared with it.
+
+    Each range costs a task its start, so more than ``MOST_RANGES`` are not made of a length
+    below ``RANGE_BYTES``.
     """
+    range_bytes = max(range_bytes, min(RANGE_BYTES, -(-sum(sizes.values()) // MOST_RANGES)))
     ranges = {
         f: [(at, min(at + range_bytes, size)) for at in range(0, size, range_bytes)] for f, size in sizes.items()
     }

@@ -1,8 +1,10 @@
 """Records by byte ranges against Python's CSV reader and Spark's one-task read."""
 
 import csv
+import json
 import io
 import os
+import pickle
 import random
 
 import pytest
@@ -138,3 +140,44 @@ def test_origin_of_posts(spark, tmp_path):
         ("2023-01-02", None, 19, "2023-01-02,NA"),
     ]
     assert all(r["source_file"].endswith("NA.csv") for r in rows)
+
+
+def test_ranges_of_large_uploads_are_longer(spark, tmp_path, monkeypatch):
+    path = big_file(tmp_path, "big.csv", 20_000)
+    few, _ = read_posts_csv(spark, path, range_bytes=10_000, origin=True)
+    many = few.rdd.getNumPartitions()
+    monkeypatch.setattr(csv_records, "MOST_RANGES", 7)
+    posts, _ = read_posts_csv(spark, path, range_bytes=10_000, origin=True)
+    assert posts.rdd.getNumPartitions() <= 7 < many
+    assert posts.count() == 20_000 and posts.exceptAll(few).isEmpty() and few.exceptAll(posts).isEmpty()
+
+
+def test_short_ranges_read_and_send_little(tmp_path, monkeypatch):
+    path = big_file(tmp_path, "big.csv", 60_000)
+    size, got = os.path.getsize(path), []
+    opened = csv_records._open
+
+    class Counted:
+        def __init__(self, file):
+            self.file = file
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def seek(self, at):
+            self.file.seek(at)
+
+        def read(self, n):
+            got.append(len(data := self.file.read(n)))
+            return data
+
+    monkeypatch.setattr(csv_records, "_open", lambda p: Counted(opened(p)))
+    for at in range(0, size, 100_000):
+        csv_records.range_outcomes(path, at, min(at + 100_000, size))
+    assert sum(got) < 3 * size
+    bundles = [[(path, i, i + 1, False)] for i in range(1000)]
+    reader = csv_records._Reader({"mode": "records", "bundles": json.dumps(bundles)})
+    assert len(reader.partitions()) == 1000 and len(pickle.dumps(reader)) < 1000
