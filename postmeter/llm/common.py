@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +76,64 @@ def keep(df: DataFrame, name: str, path: str | None = None, lasting: bool = Fals
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Numbers of the rows of one file.
+_FILE_ROWS = 1 << 40
+
+
+def numbered_rows(docs: DataFrame, key: str, name: str, stored: bool = False) -> DataFrame:
+    """``docs`` with the number of each row in a column ``key``, the same at every read.
+
+    The numbers are drawn once, in a copy of the table.  A ``stored`` table is one that
+    gives the same rows whenever it is read; where it comes from Parquet files, it needs
+    no copy, and a row is numbered by its file and its place in it.
+    """
+    if stored and "_metadata" not in docs.columns:
+        file, place = unused_name(docs, "file"), unused_name(docs, "place")
+        try:
+            placed = docs.select(
+                "*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place)
+            )
+        except AnalysisException:
+            # Not from such files alone.
+            pass
+        else:
+            paths = sorted(r[0] for r in placed.select(file).distinct().collect())
+            numbers = docs.sparkSession.createDataFrame(list(enumerate(paths)), f"{key} long, {file} string")
+            own = [f"`{c}`" for c in docs.columns]
+            return placed.join(F.broadcast(numbers), file).select(
+                *own, (F.col(key) * F.lit(_FILE_ROWS) + F.col(place)).alias(key)
+            )
+    return keep(docs.withColumn(key, F.monotonically_increasing_id()), name)
+
+
+# Bits of a filter of hashes (2 MB), and of one row of it.
+FILTER_BITS = 1 << 24
+_ROW_BITS = 1 << 15
+
+
+def _filter_place(column: str) -> tuple[Column, Column]:
+    """The row of a hash in a filter, and its bit there."""
+    slot = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1))
+    return F.shiftright(slot, 15), slot.bitwiseAND(F.lit(_ROW_BITS - 1))
+
+
+def hash_filter(hashes: DataFrame, column: str) -> DataFrame:
+    """A table of bits, set where a hash of ``column`` falls; its size is fixed."""
+    row, bit = _filter_place(column)
+    return hashes.groupBy(row.alias("filter_row")).agg(F.bitmap_construct_agg(bit).alias("filter_bits"))
+
+
+def maybe_in(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose hash may be among those of the filter ``wanted``; none that is gets lost."""
+    row, bit = _filter_place(column)
+    place = df.withColumn("filter_row", row).withColumn("filter_bit", bit)
+    byte = "conv(hex(substring(filter_bits, cast(shiftright(filter_bit, 3) as int) + 1, 1)), 16, 10)"
+    found = place.join(F.broadcast(wanted), "filter_row").where(
+        f"cast({byte} as int) & shiftleft(1, cast(filter_bit & 7 as int)) <> 0"
+    )
+    return found.select(*df.columns)
+
+
 def drop_kept(*tables: DataFrame) -> None:
     """Delete kept tables that nothing reads any more."""
     for table in tables:

@@ -30,7 +30,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import gather, text_steps
-from .common import drop_kept, keep, passing_tables, text_or_empty, unused_name
+from .common import (
+    drop_kept, drop_unused_shuffles, hash_filter, keep, maybe_in, numbered_rows, passing_tables, text_or_empty, unused_name
+)
 from .components import components
 
 WORDS = 4
@@ -437,7 +439,11 @@ def _overlap_filter(pairs: DataFrame, prefixes: DataFrame, percent: int) -> Data
                     out.append((head, members[i]))
             yield _pairs_batch(out)
 
-    return _meet(pairs, prefixes.select("member", "n", "prefix")).mapInArrow(run, _PAIRS)
+    # The prefixes of groups in no pair are kept out of the shuffle.
+    asked = pairs.select(F.col("a").alias("member")).union(pairs.select("b"))
+    wanted = keep(hash_filter(asked, "member"), "asked-groups")
+    known = maybe_in(prefixes.select("member", "n", "prefix"), "member", wanted)
+    return _meet(pairs, known).mapInArrow(run, _PAIRS)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -493,22 +499,36 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         ),
         "group-prefixes",
     )
+    drop_unused_shuffles(docs.sparkSession)
     exploded = prefixes.select(F.col("member").alias("grp"), "n", F.posexplode("prefix").alias("pos", "token"))
+    # A row whose neighbours by size are too far off links with none of its list.
+    by_size = Window.partitionBy("token").orderBy("n")
     postings = keep(
-        exploded.withColumn("k", F.count("*").over(Window.partitionBy("token"))).where("k > 1"),
+        exploded.withColumns({
+            "k": F.count("*").over(by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+            "before": F.lag("n").over(by_size),
+            "after": F.lead("n").over(by_size),
+        }).where(f"100 * before >= {percent} * n or 100 * n >= {percent} * after").drop("before", "after"),
         "prefix-postings",
     )
+    drop_unused_shuffles(docs.sparkSession)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Verified pairs; only the texts of members that stand in a pair are fetched."""
+        """Verified pairs; only the texts of members that stand in a pair are fetched.
+
+        A filter of fixed size keeps the other texts out of the shuffle.
+        """
         asked = pairs.select(F.col("a").alias("member")).union(pairs.select("b")).distinct()
         known = keep(asked.join(members.select("member", "text.t1", "text.t2"), "member"), "asked-members")
-        ids = keep(known.select("t1").distinct(), "asked-texts")
+        wanted = keep(hash_filter(known, "t1"), "asked-texts")
         texts = keep(
-            own.select(*hashes, "text").join(ids, "t1").join(known, ["t1", "t2"]).select("member", "text"),
+            maybe_in(own.select(*hashes, "text"), "t1", wanted)
+            .join(known.hint("merge"), ["t1", "t2"]).select("member", "text"),
             "member-texts",
-        ).dropDuplicates(["member"])
-        return keep(_verify(pairs, texts, words, percent), "near-links")
+        )
+        found = keep(_verify(pairs, texts.dropDuplicates(["member"]), words, percent), "near-links")
+        drop_kept(texts)
+        return found
 
     def expanded(near: DataFrame) -> DataFrame:
         of = members.select("grp", "member")
@@ -552,6 +572,7 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         near = keep(_overlap_filter(keep(groups, "group-pairs"), prefixes, percent), "near-groups")
         found = linked(keep(expanded(near).union(inside).distinct(), "near-pairs"))
         links = found if links is None else links.union(found)
+        drop_unused_shuffles(docs.sparkSession)
 
     place = placed(links)
     groups, inside = drawn(place, None)
@@ -602,15 +623,18 @@ def near_report(docs: DataFrame) -> DataFrame:
     return near_components(docs).select("doc_id", "n_shingles", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def drop_near_copies(
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, stored: bool = False
+) -> DataFrame:
     """The rows of ``docs``, one of each component: that with the smallest ``doc_id``.
 
     A null id comes after all others; of rows with one id the one read first stays.
     Texts without words are linked with nothing and stay.  The columns are those of
-    ``docs``, whatever their names; an empty table gives an empty one.
+    ``docs``, whatever their names; an empty table gives an empty one.  A ``stored`` table
+    of Parquet files is read again and not copied (see :func:`numbered_rows`).
     """
     key = unused_name(docs, "row")
-    numbered = keep(docs.withColumn(key, F.monotonically_increasing_id()), "near-docs")
+    numbered = numbered_rows(docs, key, "near-docs", stored)
     # The own row number stands in for the id, ranked as the ids are.
     ranked = numbered.select(F.col(key).alias("doc_id"), "text")
     with passing_tables(docs.sparkSession):
@@ -625,4 +649,5 @@ def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     stay = ids.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", key)).alias("first")
     ).select(F.col("first")[key].alias(key))
-    return numbered.join(stay, key, "left_semi").drop(key)
+    # The rows that stay grow with the corpus: merged at every size.
+    return numbered.join(keep(stay, "near-stay").hint("merge"), key, "left_semi").drop(key)

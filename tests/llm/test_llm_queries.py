@@ -1,9 +1,13 @@
 """Corpus queries against their SQL, and the pipeline against brute force."""
 
+from collections import Counter
+from pathlib import Path
+
 import duckdb
 import pytest
 
 import corpus_pipeline
+from postmeter.llm import common, decontamination, exact_dedup, ngram_join
 from postmeter.llm.queries import ORACLE_SQL, QUERIES
 
 from .test_operators import brute_components
@@ -45,3 +49,72 @@ def test_pipeline_stages(spark):
     assert set(kept["ngram_join"]) == {ids[c] for _, c in want.values()}
     pieces = corpus_pipeline.run(spark, SF_DIR).collect()
     assert {p["doc_id"] for p in pieces} == set(kept["decontamination"])
+
+
+def _kept_folders(spark):
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file:").replace("//", "/")
+    return {f.name.rsplit("-", 1)[0] for f in Path(base).glob("postmeter/*/*")}
+
+
+def test_stages_copy_no_stored_table(spark, tmp_path):
+    """Rows of Parquet files are numbered by file and place; the same rows stay as from a copy."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    twice = docs.union(docs).union(docs.selectExpr("cast(null as long) as doc_id", *docs.columns[1:]))
+    twice.repartition(5).write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    stages = dict(corpus_pipeline.STAGES)
+    drops = {
+        "exact_dedup": (exact_dedup.drop_copies, "radix-docs"),
+        "ngram_join": (
+            lambda d: ngram_join.drop_near_copies(d, corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_PERCENT),
+            "near-docs",
+        ),
+        "decontamination": (
+            lambda d: decontamination.drop_contaminated(d, spark.read.parquet(f"{SF_DIR}/benchmark.parquet")),
+            "decontaminate",
+        ),
+    }
+    for name, (drop, copy) in drops.items():
+        for folder in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")).glob(f"postmeter/*/{copy}-*"):
+            folder.rename(folder.with_name(f"seen-{folder.name}"))
+        found = stages[name](spark, stored, SF_DIR).collect()
+        assert copy not in _kept_folders(spark)
+        assert found and Counter(found) == Counter(drop(stored).collect())
+        assert copy in _kept_folders(spark)
+        # A table that is not read from files is copied.
+        made = spark.createDataFrame(stored.limit(20).collect(), stored.schema)
+        assert Counter(stages[name](spark, made, SF_DIR).collect()) == Counter(drop(made).collect())
+
+
+def test_kept_documents_are_merged_at_every_size(spark, tmp_path):
+    spark.read.parquet(f"{SF_DIR}/documents.parquet").write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    for stage in (corpus_pipeline.exact_copies, corpus_pipeline.near_copies):
+        plan = stage(spark, stored, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "LeftSemi" in plan
+
+
+def test_hash_filter_loses_nothing(spark):
+    ids = spark.range(5000).selectExpr("xxhash64(id) as h")
+    some = ids.where("h % 7 = 0").union(spark.sql("select 0L union all select -1L union all select 9223372036854775807L"))
+    found = {r["h"] for r in common.maybe_in(ids.union(some), "h", common.hash_filter(some, "h")).collect()}
+    want = {r["h"] for r in some.collect()}
+    assert want <= found and len(found) < len(want) + 100
+
+
+def test_rows_without_near_sizes_are_no_postings(spark, monkeypatch):
+    """Texts that share a rare passage and differ much in length send no postings."""
+    stored = []
+    keep = ngram_join.keep
+    def kept(df, name, *args, **more):
+        made = keep(df, name, *args, **more)
+        if name == "prefix-postings":
+            stored.append(made.count())
+        return made
+
+    monkeypatch.setattr(ngram_join, "keep", kept)
+    texts = [" ".join(["one rare passage here", *(f"w{k}x{i}" for i in range(4**k))]) for k in range(1, 6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = ngram_join.near_report(docs).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(texts)
+    assert stored == [0]
