@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keep, passing_tables, unused_name
+from .common import ascii_lower, keep, numbered_rows, passing_tables, unused_name
 
 # All that is not a word character: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ are the words.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -236,10 +236,15 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` of whose words at most the share ``most`` are hit."""
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, most: float = 0.0, stored: bool = False
+) -> DataFrame:
+    """The rows of ``docs`` of whose words at most the share ``most`` are hit.
+
+    A ``stored`` table of Parquet files is read again and not copied (see :func:`numbered_rows`).
+    """
     key = unused_name(docs, "source_row")
-    numbered = keep(docs.withColumn(key, F.monotonically_increasing_id()), "decontaminate")
+    numbered = numbered_rows(docs, key, "decontaminate", stored)
     with passing_tables(docs.sparkSession):
         found = contamination(numbered, benchmark, key=key)
         bad = found.where(F.col("n_hit") > F.lit(most) * F.col("n_words")).select(key)

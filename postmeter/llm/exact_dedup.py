@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keep, passing_tables, text_or_empty, unused_name
+from .common import ascii_lower, keep, numbered_rows, passing_tables, text_or_empty, unused_name
 
 FIRST_BYTES = 32
 GROWTH = 16
@@ -110,19 +110,21 @@ def equal_texts(docs: DataFrame, first_bytes: int = FIRST_BYTES, growth: int = G
     )
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
+def drop_copies(docs: DataFrame, stored: bool = False) -> DataFrame:
     """The rows of ``docs`` without earlier copies, with their own columns.
 
     Rows are told apart as in :func:`equal_texts`: of the rows with one text, the
-    one with the largest ``doc_id`` stays.
+    one with the largest ``doc_id`` stays.  A ``stored`` table of Parquet files is read
+    again and not copied (see :func:`numbered_rows`).
     """
     key = unused_name(docs, "row")
-    numbered = keep(docs.withColumn(key, F.monotonically_increasing_id()), "radix-docs")
+    numbered = numbered_rows(docs, key, "radix-docs", stored)
     as_docs = numbered.select(F.struct("doc_id", key).alias("doc_id"), "text")
     with passing_tables(docs.sparkSession):
         found = equal_texts(as_docs).where("row = keep_row").select(F.col("doc_id")[key].alias(key))
         kept = keep(found, "radix-kept", lasting=True)
-    return numbered.join(kept, key, "left_semi").drop(key)
+    # The kept rows grow with the corpus: merged at every size, as the counts are.
+    return numbered.join(kept.hint("merge"), key, "left_semi").drop(key)
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
