@@ -12,7 +12,7 @@ def components(links: DataFrame) -> DataFrame:
     """``node, component`` of every node of ``links (a, b)``; the smallest node names it.
 
     In each round every node hooks onto its smallest neighbour if that is smaller,
-    pointers are followed to their roots in doubling steps, and the links between
+    pointers are followed to their roots in tripling steps, and the links between
     roots go on.  Every step is a join or a pre-aggregated grouping on node pairs,
     and no neighbourhood is gathered.
     """
@@ -31,10 +31,11 @@ def components(links: DataFrame) -> DataFrame:
             "parents",
         )
         while True:
-            above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+            above = parents.toDF("parent", "above")
+            top = parents.toDF("above", "top")
             jumped = keep(
-                parents.join(above, "parent").select(
-                    "node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")
+                parents.join(above, "parent").join(top, "above").select(
+                    "node", F.col("top").alias("parent"), (F.col("top") != F.col("above")).alias("moved")
                 ),
                 "parents",
             )

@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import gather, text_steps
 from .common import (
-    drop_kept, drop_unused_shuffles, hash_filter, keep, maybe_in, numbered_rows, passing_tables, text_or_empty, unused_name
+    drop_kept, drop_unused_shuffles, give_back_memory, hash_filter, keep, maybe_in, numbered_rows, passing_tables,
+    text_or_empty, unused_name,
 )
 from .components import components
 
@@ -150,13 +151,20 @@ def _commonness(docs: DataFrame, words: int) -> np.ndarray:
     table[found.column("slot").to_numpy()] = np.stack(
         [found.column(f"c{i}").to_numpy() for i in range(_WIDE)], axis=1
     ).reshape(-1, _WIDE)
+    del found
     counts = table.reshape(-1)
     # Counters below the mean come first, so that what many documents share comes
     # late even where rare n-grams load its counter by chance as much.
     mean = max(1.0, counts.sum() / COUNTERS)
-    off = (counts - mean) / mean**0.5
-    near = np.floor(4 * off) + 16
-    return np.clip(np.where(off < 6, near, 40 + np.log2(np.maximum(off, 6) / 6)), 0, 60).astype(np.uint8)
+    kinds = np.empty(COUNTERS, np.uint8)
+    for start in range(0, COUNTERS, rows):
+        off = (counts[start : start + rows] - mean) / mean**0.5
+        near = np.floor(4 * off) + 16
+        kind = np.where(off < 6, near, 40 + np.log2(np.maximum(off, 6) / 6))
+        kinds[start : start + rows] = np.clip(kind, 0, 60)
+    del table, counts
+    give_back_memory()
+    return kinds
 
 
 def _parities(tokens: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -385,14 +393,17 @@ def _meet(pairs: DataFrame, payload: DataFrame) -> DataFrame:
     """Sorted groups ``a, part, member, ...`` in which ``a`` itself comes first.
 
     What ``a`` carries meets what its partners carry; a member with many partners is
-    split over several groups.
+    split over several groups.  What is sent is stored first, so that the plan stays short.
     """
     degree = pairs.groupBy("a").agg(F.count("*").alias("d"))
     split = pairs.join(degree, "a").select(
         "a", "b", F.expr(f"pmod(xxhash64(b), cast(ceil(d / {_PARTNERS}) as bigint))").alias("part")
     )
-    sent = split.select("a", "part", F.col("b").alias("member")).union(
-        split.select("a", "part", F.col("a").alias("member")).distinct()
+    sent = keep(
+        split.select("a", "part", F.col("b").alias("member")).union(
+            split.select("a", "part", F.col("a").alias("member")).distinct()
+        ),
+        "sent-members",
     )
     rows = sent.join(payload, "member").select("a", "part", "member", *payload.drop("member").columns)
     return rows.repartition("a", "part").sortWithinPartitions(
@@ -492,7 +503,9 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         ),
         "shingle-members",
     )
-    leaders = members.groupBy("grp").agg(F.min("member").alias("row"), F.count("*").alias("members"))
+    leaders = keep(
+        members.groupBy("grp").agg(F.min("member").alias("row"), F.count("*").alias("members")), "group-leaders"
+    )
     prefixes = keep(
         sets.select("row", "n", "prefix", "bits").join(leaders, "row").select(
             F.col("grp").alias("member"), "n", "prefix", "bits", (F.col("members") == 1).alias("alone")
@@ -526,69 +539,67 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
             .join(known.hint("merge"), ["t1", "t2"]).select("member", "text"),
             "member-texts",
         )
+        drop_unused_shuffles(docs.sparkSession)
         found = keep(_verify(pairs, texts.dropDuplicates(["member"]), words, percent), "near-links")
         drop_kept(texts)
         return found
 
-    def expanded(near: DataFrame) -> DataFrame:
-        of = members.select("grp", "member")
-        return (
-            near.join(of.toDF("a", "ma"), "a").join(of.toDF("b", "mb"), "b")
-            .select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b"))
-        )
+    def expanded(near: DataFrame, place: DataFrame, inside: DataFrame) -> DataFrame:
+        """Pairs of members of different components: of the group pairs ``near``, and those ``inside`` groups."""
+        between = near.join(place.toDF("a", "ma", "ca"), "a").join(place.toDF("b", "mb", "cb"), "b").where("ca <> cb")
+        return between.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).union(inside).distinct()
 
     # Members of one group stand in one list of their own, in the same rounds.
-    in_group = members.join(leaders.where("members > 1").select("grp", F.col("members").alias("k")), "grp").select(
-        F.col("grp").alias("token"), F.col("member").alias("grp"), "n", "k", F.lit(0).alias("pos"),
-        F.lit(True).alias("alone"), "bits",
+    in_group = keep(
+        members.join(leaders.where("members > 1").select("grp", F.col("members").alias("k")), "grp").select(
+            F.col("grp").alias("token"), F.col("member").alias("grp"), "n", "k", F.lit(0).alias("pos"),
+            F.lit(True).alias("alone"), "bits",
+        ),
+        "group-lists",
     )
     told = postings.join(prefixes.select(F.col("member").alias("grp"), "alone", "bits"), "grp")
 
-    def placed(links: DataFrame | None) -> DataFrame:
-        if links is None:
-            return members.select("grp", "member", F.col("member").alias("component"))
-        label = components(links).withColumnRenamed("node", "member")
-        return keep(
-            members.join(label, "member", "left").select(
-                "grp", "member", F.coalesce("component", "member").alias("component")
+    def placed(place: DataFrame, links: DataFrame) -> DataFrame:
+        """``place`` with the components that ``links`` join as one; only links between components are followed."""
+        of = place.select("member", "component")
+        between = links.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(
+            F.col("ca").alias("a"), F.col("cb").alias("b")
+        )
+        label = components(between).toDF("component", "joined")
+        joined = keep(
+            place.join(label, "component", "left").select(
+                "grp", "member", F.coalesce("joined", "component").alias("component")
             ),
             "member-components",
         )
+        drop_unused_shuffles(docs.sparkSession)
+        return joined
 
     def drawn(place: DataFrame, seed: int | None) -> tuple[DataFrame, DataFrame]:
-        """Candidate pairs of groups, and of members within groups, of different components."""
+        """Candidate pairs of groups, and of members within groups, of different components.
+
+        Each is stored: one plan of all that follows would make the driver hold, at each
+        of its many stages, the metrics of the whole plan anew.
+        """
         spans = place.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         ones = place.select(
             F.col("member").alias("grp"), F.col("component").alias("low"), F.col("component").alias("high")
         )
-        return (
-            _candidates(told.join(spans, "grp"), percent, seed, counted=seed is None),
-            _candidates(in_group.join(ones, "grp"), percent, seed),
-        )
-
-    links = None
-    for seed in range(ROUNDS):
-        groups, inside = drawn(placed(links), seed)
-        near = keep(_overlap_filter(keep(groups, "group-pairs"), prefixes, percent), "near-groups")
-        found = linked(keep(expanded(near).union(inside).distinct(), "near-pairs"))
-        links = found if links is None else links.union(found)
+        groups = keep(_candidates(told.join(spans, "grp"), percent, seed, counted=seed is None), "group-pairs")
+        inside = keep(_candidates(in_group.join(ones, "grp"), percent, seed), "inside-pairs")
         drop_unused_shuffles(docs.sparkSession)
-
-    place = placed(links)
-    groups, inside = drawn(place, None)
-    of = place.select("member", "component")
-    apart = (
-        expanded(groups).union(inside).distinct()
-        .join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b")
-        .where("ca <> cb").select("a", "b")
-    )
-    more = linked(keep(apart, "near-pairs"))
-    final = components(more if links is None else links.union(more))
+        return groups, inside
+
+    place = members.select("grp", "member", F.col("member").alias("component"))
+    for seed in [*range(ROUNDS), None]:
+        groups, inside = drawn(place, seed)
+        near = groups if seed is None else keep(_overlap_filter(groups, prefixes, percent), "near-groups")
+        found = linked(keep(expanded(near, place, inside), "near-pairs"))
+        place = placed(place, found)
     drop_kept(postings)
 
     label = (
-        members.join(final.withColumnRenamed("node", "member"), "member", "left")
-        .select("c1", "c2", F.coalesce("component", "member").alias("component"))
+        members.join(place.select("member", "component"), "member").select("c1", "c2", "component")
     )
     rows = keep(facts.join(label, ["c1", "c2"]).select("row", "doc_id", "component"), "component-rows")
     # Stored, so that the join below may be split where one component holds many rows.

@@ -1,5 +1,6 @@
 """Corpus queries against their SQL, and the pipeline against brute force."""
 
+import random
 from collections import Counter
 
 import duckdb
@@ -102,3 +103,26 @@ def test_rows_without_near_sizes_are_no_postings(spark, monkeypatch):
     found = ngram_join.near_report(docs).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(texts)
     assert stored == [0]
+
+
+def test_no_plan_of_the_near_query_holds_many_stages(spark):
+    # The driver keeps, for each stage of a plan, the metrics of the whole plan.
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(90):
+        own = list(base)
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(120)] = f"x{rng.randrange(9)}"
+        texts.append(" ".join(own))
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def ran():
+        listed = store.executionsList()
+        return {e.executionId(): (e.jobs().size(), e.metrics().size()) for e in map(listed.apply, range(listed.size()))}
+
+    before = set(ran())
+    found = ngram_join.near_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(texts)
+    own = [held for i, held in ran().items() if i not in before]
+    assert own and max(jobs for jobs, _ in own) <= 8 and max(metrics for _, metrics in own) <= 1500
